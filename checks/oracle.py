@@ -231,7 +231,7 @@ VIEWS: dict[str, str] = {
           coalesce(s.sorted_names, '') AS flat_folders
         FROM folder_docs d FULL JOIN folder_subs s ON d.folder = s.parent AND d.page = s.page""",
     "some_summaries": """
-        SELECT *, CASE WHEN doc_type = 'xlsx' THEN '' WHEN doc_type <> 'pdf' THEN summary END AS some
+        SELECT *, CASE WHEN doc_type = 'xlsx' THEN '' WHEN doc_type <> 'pdf' THEN summary END AS part_summary
         FROM docs""",
 }
 
@@ -280,7 +280,7 @@ BODIES: dict[str, str] = {
         SELECT id, file_path, hash, name, summary FROM docs WHERE file_path IN (SELECT file_path FROM stored)""",
     "segments_of_document": """
         SELECT id, document_id FROM segments WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
-    "nonempty_summaries": "SELECT id, some AS summary FROM some_summaries WHERE coalesce(some, '') <> ''",
+    "nonempty_summaries": "SELECT id, part_summary AS summary FROM some_summaries WHERE coalesce(part_summary, '') <> ''",
     "filter_segment_quality": f"SELECT id, text FROM segments WHERE {substantial('text')}",
     "drop_rejected_ids": f"SELECT id, document_id FROM segments WHERE {substantial('text')}",
     "skip_spreadsheet_segments": """
@@ -409,7 +409,7 @@ BODIES: dict[str, str] = {
     "summary_or_default": f"""
         SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN text ELSE {quoted(NO_DOCUMENT_SUMMARY)} END
           AS summary FROM conversations""",
-    "embedding_input": "SELECT id, coalesce(nullif(some, ''), name) AS text FROM some_summaries",
+    "embedding_input": "SELECT id, coalesce(nullif(part_summary, ''), name) AS text FROM some_summaries",
     "json_flag": """
         SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN true ELSE value > 10 END AS meaningful
         FROM events""",

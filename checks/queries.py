@@ -72,7 +72,7 @@ def render_cells(v):
 @query
 def export_folder_contents(v):
     out = new_scratch_path(v.spark, "contents")
-    S.export_contents(v.documents, v.plain_folders, out)
+    S.export_contents(v.index_documents, v.plain_folders, out)
     return v.spark.read.parquet(out).select(
         "folder", "kind_ord", F.col("File").alias("file"), F.col("Summary").alias("summary")
     )
@@ -224,7 +224,7 @@ def list_documents(v):
 
 @query
 def list_folders(v):
-    return O.list_folders(v.plain_folders, v.documents).select(
+    return O.list_folders(v.plain_folders, v.index_documents).select(
         "id", "name", "file_path", "summary", "created_ms", "page",
         joined("documents").alias("documents"), joined("folders").alias("folders"),
     )
@@ -232,7 +232,7 @@ def list_folders(v):
 
 @query
 def list_segments(v):
-    return O.list_segments(v.segments, v.documents)
+    return O.list_segments(v.segments, v.index_documents)
 
 
 @query
@@ -242,12 +242,12 @@ def flatten_documents(v):
 
 @query
 def flatten_folders(v):
-    return O.flat_folders(O.search_folders(v.queries, v.plain_folders, v.documents))
+    return O.flat_folders(O.search_folders(v.queries, v.plain_folders, v.index_documents))
 
 
 @query
 def flatten_segments(v):
-    return O.flat_segments(O.search_segments(v.queries, v.vector_segments, v.documents))
+    return O.flat_segments(O.search_segments(v.queries, v.vector_segments, v.index_documents))
 
 
 # --- joins -----------------------------------------------------------------------------
@@ -261,7 +261,7 @@ def join_segment_document(v):
 
 @query
 def join_folder_documents(v):
-    pages = O.child_pages(v.documents, "folder", ["name", "summary", "file_path"], "documents")
+    pages = O.child_pages(v.index_documents, "folder", ["name", "summary", "file_path"], "documents")
     return pages.select(
         "folder", "page", joined("documents.name").alias("names"),
         joined("documents.summary").alias("summaries"), joined("documents.file_path").alias("paths"),
@@ -318,7 +318,7 @@ def cascade_delete_segments(v):
 
 
 def _fresh_folders(v: Views) -> DataFrame:
-    return O.rollup(v.tree, v.documents, now_ms=F.lit(0).cast("long"))
+    return O.rollup(v.tree, v.index_documents, now_ms=F.lit(0).cast("long"))
 
 
 def _older_folders(fresh: DataFrame) -> DataFrame:
@@ -361,12 +361,12 @@ def folder_sum_text(v):
 
 @query
 def folder_children(v):
-    return O.with_children(v.plain_folders, v.documents)
+    return O.with_children(v.plain_folders, v.index_documents)
 
 
 @query
 def collect_doc_ids(v):
-    return O.folder_document_ids(v.documents).select("folder", "page", joined("ids").alias("ids"))
+    return O.folder_document_ids(v.index_documents).select("folder", "page", joined("ids").alias("ids"))
 
 
 @query
@@ -416,7 +416,7 @@ def extracted_texts(v):
 @query
 def chunk_text(v):
     docs = spread(v.table("documents").select("doc_id", "text"), "doc_id")
-    return docs.select("doc_id", F.posexplode(O.chunk_text(F.col("text"))).alias("ord", "chunk"))
+    return O.chunk_text(docs)
 
 
 @query
@@ -428,7 +428,7 @@ def document_segments(v):
 def chunk_conversations(v):
     """The same cut over another text source."""
     turns = spread(v.table("conversations"), "conv_id")
-    return turns.select("conv_id", "turn", F.posexplode(O.chunk_text(F.col("text"))).alias("ord", "chunk"))
+    return O.chunk_text(turns.select("conv_id", "turn", "text"))
 
 
 @query
@@ -447,7 +447,7 @@ def search_docs(v):
 
 @query
 def search_folders(v):
-    return O.search_folders(v.queries, v.plain_folders, v.documents).select(
+    return O.search_folders(v.queries, v.plain_folders, v.index_documents).select(
         "query_id", "rank", "distance", "id", "name", "file_path", "summary", "page",
         joined("documents.name").alias("documents"), joined("documents.file_path").alias("document_paths"),
         joined("folders.name").alias("folders"),
@@ -456,12 +456,12 @@ def search_folders(v):
 
 @query
 def search_segments(v):
-    return O.search_segments(v.queries, v.vector_segments, v.documents)
+    return O.search_segments(v.queries, v.vector_segments, v.index_documents)
 
 
 @query
 def search_context(v):
-    return O.search_context(v.queries, v.vector_segments, v.documents, word_budget=500)
+    return O.search_context(v.queries, v.vector_segments, v.index_documents, word_budget=500)
 
 
 @query
@@ -477,7 +477,7 @@ def limit_rows(v):
 
 @query
 def sort_summaries(v):
-    return O.bounded_texts(v.documents, "folder").select("folder", "text")
+    return O.bounded_texts(v.index_documents, "folder").select("folder", "text")
 
 
 # --- set operations --------------------------------------------------------------------
@@ -519,7 +519,7 @@ def document_hash(v):
 
 @query
 def folder_hash(v):
-    texts = O.bounded_texts(v.documents, "folder")
+    texts = O.bounded_texts(v.index_documents, "folder")
     return texts.select("folder", C.folder_hash(F.col("folder"), F.col("text")).alias("hash"))
 
 
@@ -543,7 +543,7 @@ def build_prompt(v):
 
 @query
 def build_folder_prompt(v):
-    texts = O.bounded_texts(v.documents, "folder")
+    texts = O.bounded_texts(v.index_documents, "folder")
     return texts.select("folder", C.folder_prompt(C.truncate_words(F.col("text"))["text"]).alias("prompt"))
 
 

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from shelfmark.functions import (
     document_hash, document_id, extracted_text, folder_hash, folder_id, lead_summary,
 )
-from shelfmark.functions.text import DOCUMENT_OPENING, FOLDER_OPENING, NO_DOCUMENT_SUMMARY
-from shelfmark.operators import ancestors, chunk_documents, bounded_texts
-from shelfmark.operators.folders import EMPTY_FOLDER
-from shelfmark.runtime import spread
+from shelfmark.functions.text import DOCUMENT_OPENING, NO_DOCUMENT_SUMMARY
+from shelfmark.operators import ancestors, chunk_documents
+from shelfmark.runtime import materialise, spread
 from shelfmark.sources import corpus_files
 from shelfmark.sources.files import accept
 
@@ -30,7 +29,10 @@ class Views:
     @cached_property
     def files(self) -> DataFrame:
         """Every document as a file ``/corpus/<source>/<lang>/<name>``."""
-        docs = self.table("documents")
+        return self._files(self.table("documents"))
+
+    @staticmethod
+    def _files(docs: DataFrame) -> DataFrame:
         ending = F.element_at(
             F.array(*map(F.lit, (
                 ".txt", ".txt", ".txt", ".txt", ".docx", ".pdf", ".pptx", ".xlsx", ".rtf", ".csv",
@@ -54,20 +56,10 @@ class Views:
 
     @cached_property
     def texts(self) -> DataFrame:
-        """Accepted files with their clean text, hash and id."""
-        return self._texts(self.accepted)
-
-    def spread_texts(self) -> DataFrame:
-        """As ``texts``, over enough partitions for Python work."""
-        docs = spread(self.table("documents"), "doc_id")
-        wider = Views(self.spark, self.sf_dir)
-        wider.table = lambda name: docs if name == "documents" else self.table(name)  # type: ignore
-        return wider.texts
-
-    @staticmethod
-    def _texts(files: DataFrame) -> DataFrame:
+        """Accepted files with their clean text, hash and id, over enough partitions."""
         return (
-            files.withColumn("text", extracted_text(F.col("ext"), F.col("text")))
+            accept(self._files(spread(self.table("documents"), "doc_id")))
+            .withColumn("text", extracted_text(F.col("ext"), F.col("text")))
             .withColumn("hash", document_hash(F.col("path"), F.col("name"), F.col("text")))
             .withColumn("id", document_id(F.col("hash")))
         )
@@ -81,6 +73,11 @@ class Views:
             "hash", summary.alias("summary"), F.lit(0).cast("long").alias("created_ms"), "doc_id",
         )
 
+    @cached_property
+    def index_documents(self) -> DataFrame:
+        """The same as a stored table, for what works on an index rather than on texts."""
+        return materialise(self.documents, "documents")
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(
@@ -89,12 +86,12 @@ class Views:
 
     @cached_property
     def vector_documents(self) -> DataFrame:
-        return self.documents.join(self.vectors, "doc_id")
+        return self.index_documents.join(self.vectors, "doc_id")
 
     @cached_property
     def segments(self) -> DataFrame:
         """Segments of all accepted files, with the ``doc_id`` they come from."""
-        texts = self.spread_texts().select("id", "doc_id", F.col("ext").alias("doc_type"), "text")
+        texts = self.texts.select("id", "doc_id", F.col("ext").alias("doc_type"), "text")
         return chunk_documents(texts).select(
             F.col("segment_id").alias("id"), F.col("id").alias("document_id"), "ord",
             F.col("segment").alias("text"), F.lit(0).cast("long").alias("created_ms"), "doc_id",
@@ -102,7 +99,7 @@ class Views:
 
     @cached_property
     def vector_segments(self) -> DataFrame:
-        return self.segments.join(self.vectors, "doc_id")
+        return materialise(self.segments.join(self.vectors, "doc_id"), "segments")
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -128,11 +125,12 @@ class Views:
         )
         lowest = under.groupBy("path").agg(F.min_by("vector", "doc_id").alias("vector"))
         content = folder_hash(F.col("path"), F.lit(""))
-        return self.tree.join(lowest, "path", "left").select(
+        folders = self.tree.join(lowest, "path", "left").select(
             folder_id(content).alias("id"), "name", F.col("path").alias("file_path"), "parent", "depth",
             content.alias("hash"), F.concat(F.lit("Folder\n"), "path").alias("summary"), "vector",
             F.lit(0).cast("long").alias("created_ms"),
         )
+        return materialise(folders, "folders")
 
     @cached_property
     def scan(self) -> DataFrame:
@@ -194,7 +192,7 @@ class Views:
     @cached_property
     def children(self) -> DataFrame:
         """What each folder holds: documents, and subfolders with a one-line summary."""
-        docs = self.documents.select(
+        docs = self.index_documents.select(
             "folder", F.lit(1).alias("kind_ord"), "id", "summary"
         )
         subs = self.plain_folders.where(F.col("parent").isNotNull()).select(

@@ -154,8 +154,7 @@ def folder_prompt(text: Column) -> Column:
 
 def lead_summary(text: Column, opening: str, n: int = 40) -> Column:
     """``opening`` and the first ``n`` words; null where there is no word."""
-    head = first_words(text, n)
-    return F.when(head != "", F.concat(F.lit(opening), head))
+    return let(first_words(text, n), lambda head: F.when(head != "", F.concat(F.lit(opening), head)))
 
 
 def summary_or_default(summary: Column, message: str) -> Column:
@@ -177,8 +176,8 @@ def sentences(text: Column) -> Column:
 def is_substantial(text: Column, min_words: int = 4, letter_share: float = 0.5) -> Column:
     """False for a bare link, for text with few letters, and for a short line without a
     sentence end (header or footer); true for the rest and where nothing can be said."""
-    letters = F.length(F.regexp_replace(text, "[^\\p{L}]", ""))
-    visible = F.length(F.regexp_replace(text, "[ \\t\\n\\r\\f]", ""))
+    letters = F.length(F.regexp_replace(text, "[^\\p{L}]+", ""))
+    visible = F.length(F.regexp_replace(text, WORD_GAP, ""))
     bare_link = text.rlike("^[ \\t\\n\\r\\f]*(https?://|www\\.)[^ \\t\\n\\r\\f]+[ \\t\\n\\r\\f]*$")
     few_letters = letters < visible * letter_share
     heading = (count_words(text) < min_words) & ~text.rlike("[.!?]")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,45 +17,64 @@ JOINER = "\n\n"
 
 
 def chunk_text(
-    text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
-) -> Column:
-    """``array<string>``: sentences packed in order into segments of at most ``size``
-    characters, the last ``overlap`` characters' worth of sentences opening the next one.
-
-    A sentence longer than ``size`` is a segment of its own. The fold over sentences is
-    sequential within one text and independent between texts, so it runs in Arrow batches
-    where the text already is; nothing is shuffled for it.
-    """
-    import re
+    df: DataFrame,
+    text: str = "text",
+    out: str = "chunk",
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+) -> DataFrame:
+    """One row (.., ord, chunk) per segment of each text; the other columns are kept.
 
-    # The rule of functions.text.sentences, with lengths in characters.
-    gap = re.compile(r"(?<=[.!?])[ \t\r\n]+|\n+")
+    Sentences are packed in order into segments of at most ``size`` characters; the last
+    ``overlap`` characters' worth of sentences open the next one. A sentence longer than
+    ``size`` is a segment of its own. The fold over sentences is sequential within one text
+    and independent between texts, so it runs in Arrow batches where the text already is;
+    nothing is shuffled for it.
+    """
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType(
+        [*kept, T.StructField("ord", T.IntegerType()), T.StructField(out, T.StringType())]
+    )
     joiner, width = JOINER, len(JOINER)
 
-    def pack(value: str | None) -> list[str]:
-        parts = [p for p in gap.split(value) if p] if value else []
+    def pack(parts: list[str]) -> list[str]:
         chunks, first, held = [], 0, 0
         for here, part in enumerate(parts):
             need = len(part)
             if here > first and held + width + need > size:
                 chunks.append(joiner.join(parts[first:here]))
-                while first < here and (
-                    held > overlap or held + need + width > size
-                ):
+                while first < here and (held > overlap or held + need + width > size):
                     held -= len(parts[first]) + (width if first + 1 < here else 0)
                     first += 1
             held += need + (width if here > first else 0)
-        if parts:
-            chunks.append(joiner.join(parts[first:]))
-        stripped = (c.strip() for c in chunks)
-        return [c for c in stripped if c]
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(pack, na_action=None)
-
-    return packed(text)
+        chunks.append(joiner.join(parts[first:]))
+        return [c for c in map(str.strip, chunks) if c]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        import pyarrow as pa
+
+        # The rule of functions.text.sentences, with lengths in characters.
+        gap = re.compile(r"(?<=[.!?])[ \t\r\n]+|\n+")
+        for batch in batches:
+            source, places, chunks = [], [], []
+            for row, value in enumerate(batch.column(len(kept)).to_pylist()):
+                packed = pack([p for p in gap.split(value) if p]) if value else []
+                source += [row] * len(packed)
+                places += range(len(packed))
+                chunks += packed
+            rows = pa.array(source, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(i).take(rows) for i in range(len(kept))],
+                    pa.array(places, pa.int32()),
+                    pa.array(chunks, pa.string()),
+                ],
+                names=schema.names,
+            )
+
+    return df.select(*[f.name for f in kept], text).mapInArrow(cut, schema)
 
 
 def chunk_documents(
@@ -70,15 +89,8 @@ def chunk_documents(
     :func:`shelfmark.functions.is_substantial`; where it is null the segment stays. ``ord``
     is the place among all segments of the document, dropped ones included.
     """
-    cut = (
-        documents.where(F.col("doc_type") != "xlsx")
-        .withColumn("_chunks", chunk_text(F.col("text"), size, overlap))
-        .drop("text")
-    )
-    segments = cut.select(
-        *[c for c in cut.columns if c != "_chunks"],
-        F.posexplode("_chunks").alias("ord", "segment"),
-    )
+    prose = documents.where(F.col("doc_type") != "xlsx")
+    segments = chunk_text(prose, "text", "segment", size, overlap)
     if keep is not None:
         segments = segments.where(F.coalesce(keep(F.col("segment")), F.lit(True)))
     return segments.withColumn("segment_id", segment_id(F.col("id"), F.col("ord")))
