@@ -44,12 +44,12 @@ def drop_repeats(text: str) -> str:
 
 
 def substantial(text: str) -> str:
-    letters = rf"length(regexp_replace({text}, '[^\p{{L}}]', '', 'g'))"
-    visible = rf"length(regexp_replace({text}, '[ \t\n\r\f]', '', 'g'))"
+    readable = rf"length(regexp_replace({text}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+    visible = rf"length(regexp_replace({text}, '[ \t\n\r\f.,;:]', '', 'g'))"
     link = rf"regexp_matches({text}, '^[ \t\n\r\f]*(https?://|www\.)[^ \t\n\r\f]+[ \t\n\r\f]*$')"
     return (
-        f"coalesce(NOT ({link} OR {letters} < {visible} * 0.5 "
-        f"OR (len({words(text)}) < 4 AND NOT regexp_matches({text}, '[.!?]'))), true)"
+        f"coalesce(NOT ({link} OR {readable} < {visible} * 0.8 "
+        f"OR (len(regexp_split_to_array(trim({text}), '{GAP}')) < 4 AND NOT regexp_matches({text}, '[.!?]'))), true)"
     )
 
 

@@ -173,15 +173,16 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, SENTENCE_GAP), lambda s: F.length(s) > 0)
 
 
-def is_substantial(text: Column, min_words: int = 4, letter_share: float = 0.5) -> Column:
-    """False for a bare link, for text with few letters, and for a short line without a
-    sentence end (header or footer); true for the rest and where nothing can be said."""
-    letters = F.length(F.regexp_replace(text, "[^\\p{L}]+", ""))
-    visible = F.length(F.regexp_replace(text, WORD_GAP, ""))
+def is_substantial(text: Column, min_words: int = 4, readable_share: float = 0.8) -> Column:
+    """False for a bare link, for text with many marks among its letters and digits, and for
+    a short line without a sentence end (header or footer); true for the rest and where
+    nothing can be said."""
+    readable = F.length(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", ""))
+    visible = F.length(F.regexp_replace(text, "[ \\t\\n\\r\\f.,;:]+", ""))
     bare_link = text.rlike("^[ \\t\\n\\r\\f]*(https?://|www\\.)[^ \\t\\n\\r\\f]+[ \\t\\n\\r\\f]*$")
-    few_letters = letters < visible * letter_share
-    heading = (count_words(text) < min_words) & ~text.rlike("[.!?]")
-    return F.coalesce(~(bare_link | few_letters | heading), F.lit(True))
+    marks = readable < visible * readable_share
+    heading = (F.size(F.split(F.trim(text), WORD_GAP, min_words)) < min_words) & ~text.rlike("[.!?]")
+    return F.coalesce(~(bare_link | marks | heading), F.lit(True))
 
 
 def json_flag(arguments: Column, key: str = "meaningful") -> Column:

@@ -46,8 +46,8 @@ class LeadSummary:
 class BatchModel:
     """A user model: ``load()`` gives a function from a list of texts to a list of results.
 
-    Null texts are not sent to it. A batch that raises counts as failed: its results are
-    null, for a later provider or a default to fill in.
+    Null texts are not sent to it. If a batch raises, its texts are sent one by one; those
+    that raise again are null, for a later provider or a default to fill in.
     """
 
     load: Callable[[], Callable[[list[str]], Sequence[Any]]]
@@ -57,19 +57,24 @@ class BatchModel:
     def column(self, text: Column) -> Column:
         load, raise_errors = self.load, self.raise_errors
 
+        def ask(model, texts: list[str]) -> list:
+            try:
+                return list(model(texts))
+            except Exception:
+                if raise_errors:
+                    raise
+                if len(texts) == 1:
+                    return [None]
+                return [answer for text in texts for answer in ask(model, [text])]
+
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
-                wanted = texts.notna()
+                wanted = texts.notna().to_numpy().nonzero()[0]
                 results = pd.Series([None] * len(texts), dtype=object)
-                if wanted.any():
-                    try:
-                        answers = list(model(texts[wanted].tolist()))
-                        for place, answer in zip(wanted.to_numpy().nonzero()[0], answers):
-                            results.iat[place] = answer
-                    except Exception:
-                        if raise_errors:
-                            raise
+                if len(wanted):
+                    for place, answer in zip(wanted, ask(model, texts.iloc[wanted].tolist())):
+                        results.iat[place] = answer
                 yield results
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

@@ -29,7 +29,7 @@ from shelfmark.functions.text import (
 from shelfmark.operators.enrich import LeadSummary, Provider, embed, summarise
 from shelfmark.operators.grouping import hot_keys, number_rows
 from shelfmark.runtime import materialise
-from shelfmark.schema import FOLDERS
+from shelfmark.schema import FOLDERS, VECTOR
 
 MAX_CHILDREN = 20_000
 PART_SIZE = 1000
@@ -122,16 +122,23 @@ def _multiset_digest(value: Column) -> list[Column]:
     ]
 
 
-def bounded_texts(children: DataFrame, key: str, max_children: int = MAX_CHILDREN) -> DataFrame:
+def bounded_texts(
+    children: DataFrame,
+    key: str,
+    max_children: int = MAX_CHILDREN,
+    hot: DataFrame | None | str = "count",
+) -> DataFrame:
     """(key, text, mark): sorted summaries of each key, joined.
 
     ``mark`` is null where ``text`` is whole. For a key with more than ``max_children``
-    summaries ``text`` is the first ``max_children`` of them and ``mark`` a digest of all.
+    children ``text`` is made of the first ``max_children`` summaries and ``mark`` is a
+    digest of all. ``hot`` are those keys where the caller has counted already.
     """
     rows = nonempty_summaries(children).select(key, "id", "summary")
     text = F.array_join(F.array_sort(F.collect_list("summary")), SUMMARY_SEPARATOR).alias("text")
     no_mark = F.lit(None).cast("string").alias("mark")
-    hot = hot_keys(rows, key, max_children)
+    if isinstance(hot, str):
+        hot = hot_keys(children, key, max_children)
     if hot is None:
         return rows.groupBy(key).agg(text).select(key, "text", no_mark)
     small = rows.join(hot, key, "left_anti").groupBy(key).agg(text).select(key, "text", no_mark)
@@ -178,6 +185,7 @@ def rollup(
     )
     base = materialise(folders.join(of_documents, "path", "left"), "folders")
     deepest = base.agg(F.max("depth")).first()[0] or 0
+    crowded = hot_keys(base.where(F.col("parent").isNotNull()), "parent", max_children)
 
     levels: list[DataFrame] = []
     below: DataFrame | None = None
@@ -186,7 +194,7 @@ def rollup(
         if below is None:
             level = level.withColumns({"_ft": F.lit(""), "_fm": F.lit(None).cast("string")})
         else:
-            of_folders = bounded_texts(below.where(F.col("parent").isNotNull()), "parent", max_children).select(
+            of_folders = bounded_texts(below, "parent", max_children, crowded).select(
                 F.col("parent").alias("path"), F.col("text").alias("_ft"), F.col("mark").alias("_fm")
             )
             level = level.join(of_folders, "path", "left")
@@ -194,17 +202,18 @@ def rollup(
         level = level.withColumn(
             "hash", folder_hash(F.col("path"), _hashed_text(*map(F.col, ("_ft", "_fm", "_dt", "_dm"))))
         ).drop("_ft", "_fm", "_dt", "_dm")
-        below = materialise(
-            _summarised(level, stored, providers, vectors, prompts, now_ms), f"level{depth}"
-        )
+        below = materialise(_summarised(level, stored, providers, prompts, now_ms), f"level{depth}")
         levels.append(below)
     if not levels:
         return folders.sparkSession.createDataFrame([], FOLDERS)
-    return reduce(DataFrame.unionByName, levels)
+    return _with_vectors(reduce(DataFrame.unionByName, levels), vectors)
 
 
-def _summarised(level, stored, providers, vectors, prompts, now_ms) -> DataFrame:
-    """Records of one level; work only where the hash is not stored yet."""
+def _summarised(level, stored, providers, prompts, now_ms) -> DataFrame:
+    """Records of one level; a summary is asked for only where the hash is not stored yet.
+
+    New records have no vector so far.
+    """
     todo = level
     kept = None
     if stored is not None:
@@ -222,17 +231,23 @@ def _summarised(level, stored, providers, vectors, prompts, now_ms) -> DataFrame
         todo = todo.withColumn("_prompt", folder_prompt(truncate_words(F.col("_text"))["text"]))
     todo = summarise(todo, asked, providers)
     missing = F.when(F.trim("_text") == "", EMPTY_FOLDER).otherwise(NO_FOLDER_SUMMARY)
-    todo = todo.withColumn("summary", F.coalesce("summary", missing))
-    todo = embed(
-        todo.withColumn("_embed", embedding_input(F.col("summary"), F.col("name"))), "_embed", vectors
-    )
     new = todo.select(
         folder_id(F.col("hash")).alias("id"), "name", F.col("path").alias("file_path"), "parent",
-        "depth", "hash", "summary", "vector", now_ms.alias("created_ms"),
+        "depth", "hash", F.coalesce("summary", missing).alias("summary"),
+        F.lit(None).cast(VECTOR).alias("vector"), now_ms.alias("created_ms"),
     )
     return new if kept is None else new.unionByName(kept)
 
 
+def _with_vectors(records: DataFrame, vectors: Provider | None) -> DataFrame:
+    """Vectors for the records that have none: summaries of all levels in one pass."""
+    bare = records.where(F.col("vector").isNull()).withColumn(
+        "_embed", embedding_input(F.col("summary"), F.col("name"))
+    )
+    done = embed(bare.drop("vector"), "_embed", vectors).select(records.columns)
+    return records.where(F.col("vector").isNotNull()).unionByName(done)
+
+
 def stale_folders(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored folders whose path has another hash now. Their documents are not touched."""
     now = fresh.select("file_path", F.col("hash").alias("_now"))

@@ -190,6 +190,8 @@ def nearest(
     queries = _vectors(queries, "query_id", "vector")
     corpus = _vectors(corpus, "id", "vector").withColumn("id", F.col("id").cast("string"))
     few = bounded_rows(queries, max_queries)
+    if few == []:
+        return queries.sparkSession.createDataFrame([], f"{_HITS}, rank int")
     if few is None:
         scored = _grid_scores(queries, corpus, k, digits)
     elif not exact:

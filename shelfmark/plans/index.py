@@ -12,12 +12,11 @@ from shelfmark.functions.text import (
     DOCUMENT_OPENING, FOLDER_OPENING, NO_DOCUMENT_SUMMARY, document_hash, document_id,
     document_prompt, embedding_input, extracted_text, is_substantial, truncate_words,
 )
-from shelfmark.operators.changes import changed_or_new, stale_rows, without
+from shelfmark.operators.changes import cascade_delete, changed_or_new, gone_rows, stale_rows
 from shelfmark.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
 from shelfmark.operators.enrich import LeadSummary, Provider, classify_segments, embed, summarise
 from shelfmark.operators.folders import ancestors, rollup, upsert_folders
-from shelfmark.runtime import materialise
-from shelfmark.schema import DOCUMENTS, FOLDERS, SEGMENTS
+from shelfmark.runtime import materialise, spread
 
 
 @dataclass
@@ -86,7 +85,7 @@ def segment_records(texts: DataFrame, settings: Settings) -> DataFrame:
 def run_index(
     files: DataFrame, stored: dict[str, DataFrame] | None = None, settings: Settings | None = None
 ) -> dict[str, DataFrame]:
-    """The tables of the index after a run over accepted ``files``.
+    """The tables of the index after a run over accepted ``files``, a plain scan.
 
     Documents whose hash is stored are left as they are. The change test moves only paths
     and hashes; texts are read again for the changed documents alone, so a re-run costs
@@ -94,47 +93,41 @@ def run_index(
     :func:`shelfmark.sources.write_snapshot`.
     """
     settings = settings or Settings()
-    spark = files.sparkSession
-    texts = extracted(files)
+    texts = extracted(spread(files, "path"))
     if stored is None:
-        stored = {
-            "documents": spark.createDataFrame([], DOCUMENTS),
-            "segments": spark.createDataFrame([], SEGMENTS),
-            "folders": spark.createDataFrame([], FOLDERS),
-        }
-        changed = texts
-        removed = stored["documents"]
+        documents = materialise(document_records(texts, settings), "documents")
+        segments = materialise(segment_records(texts, settings), "segments")
+        visited = documents
     else:
-        scan = texts.select("path", "hash")
-        todo = materialise(changed_or_new(scan, stored["documents"]).select("path"), "changed")
-        changed = texts.join(todo, "path", "left_semi")
-        removed = stale_rows(todo, stored["documents"])
-        if settings.prune:
-            gone = stored["documents"].join(
-                files.select(F.col("path").alias("file_path")), "file_path", "left_anti"
-            )
-            removed = removed.unionByName(gone.select(removed.columns))
-        removed = materialise(removed.select("id", "file_path"), "removed")
-    new_documents = document_records(changed, settings)
-    new_segments = segment_records(changed, settings)
-    documents = materialise(
-        without(stored["documents"], removed).unionByName(new_documents.select(stored["documents"].columns)),
-        "documents",
+        documents, segments = _refreshed(files, texts, stored, settings)
+        # Folders are summarised from what the scan found, not from records of gone files.
+        visited = documents.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    folders = rollup(
+        ancestors(files, settings.root), visited, stored and stored["folders"],
+        settings.folder_summaries, settings.vectors, settings.prompts, settings.created(),
     )
-    segments = materialise(
-        without(stored["segments"], removed, "document_id").unionByName(
-            new_segments.select(stored["segments"].columns)
-        ),
-        "segments",
-    )
-    # Folders are summarised from what the scan found, not from records of gone files.
-    visited = documents.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    fresh = rollup(
-        ancestors(files, settings.root), visited, stored["folders"], settings.folder_summaries,
-        settings.vectors, settings.prompts, settings.created(),
+    if stored is not None and not settings.prune:
+        folders = upsert_folders(stored["folders"], folders)
+    return {"documents": documents, "segments": segments, "folders": materialise(folders, "folders")}
+
+
+def _refreshed(
+    files: DataFrame, texts: DataFrame, stored: dict[str, DataFrame], settings: Settings
+) -> tuple[DataFrame, DataFrame]:
+    """Documents and segments of a re-run: only changed and new files are worked on."""
+    todo = materialise(
+        changed_or_new(texts.select("path", "hash"), stored["documents"]).select("path"), "changed"
     )
+    removed = stale_rows(todo, stored["documents"]).select("id")
     if settings.prune:
-        folders = fresh
-    else:
-        folders = materialise(upsert_folders(stored["folders"], fresh), "folders")
-    return {"documents": documents, "segments": segments, "folders": folders}
+        scan = files.select("path")
+        removed = removed.unionByName(gone_rows(scan, stored["documents"]).select("id"))
+    removed = materialise(removed, "removed")
+    changed = texts.join(todo, "path", "left_semi")
+    documents, segments = cascade_delete(stored["documents"], stored["segments"], removed)
+    new_documents = document_records(changed, settings).select(documents.columns)
+    new_segments = segment_records(changed, settings).select(segments.columns)
+    return (
+        materialise(documents.unionByName(new_documents), "documents"),
+        materialise(segments.unionByName(new_segments), "segments"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+VECTOR = T.ArrayType(T.FloatType())
 
 
 def _table(*fields: tuple[str, T.DataType]) -> T.StructType:

@@ -18,7 +18,7 @@ def _local_path(path: Column) -> Column:
 
 
 def _tree(spark: SparkSession, root: str) -> DataFrame:
-    # Files whose names start with "_" or "." are left out by every Spark file source.
+    # Every Spark file source leaves out empty files and names that start with "_" or ".".
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = _local_path(F.col("path"))
     return found.select(
