@@ -75,6 +75,7 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Da
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_size")
     )
     # One row per group and partition: a group has at most as many as there are partitions.
+    # Stored, so that its size decides how it is joined and the rows mostly stay in place.
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = pieces.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
@@ -83,6 +84,7 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Da
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
         F.sum("_size").over(W.partitionBy(*group)).alias("n"),
     )
+    offsets = materialise(offsets, "offsets")
     same = placed["_part"] == offsets["_p"]
     for i, g in enumerate(group):
         same = same & placed[g].eqNullSafe(offsets[f"_g{i}"])

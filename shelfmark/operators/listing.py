@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.grouping import child_pages
-from shelfmark.operators.search import folder_pages, segment_documents
+from shelfmark.operators.search import folder_pages, named_segments
+from shelfmark.runtime import materialise
 
 # Fixed value: the most segments one listing gives.
 SEGMENT_LIST_LIMIT = 10_000
@@ -86,8 +87,9 @@ def list_folders(folders: DataFrame, documents: DataFrame) -> DataFrame:
 
 def list_segments(segments: DataFrame, documents: DataFrame, limit: int = SEGMENT_LIST_LIMIT) -> DataFrame:
     """The first ``limit`` segments by id, with the name of their document."""
-    first = segments.select("id", "document_id", "text", "created_ms").orderBy("id").limit(limit)
-    return segment_documents(first, documents).select("id", "text", "document", "created_ms")
+    columns = segments.select("id", "document_id", "text", "created_ms")
+    first = materialise(columns.orderBy("id").limit(limit), "listing")
+    return named_segments(first, documents).select("id", "text", "document", "created_ms")
 
 
 def folder_document_ids(documents: DataFrame) -> DataFrame:

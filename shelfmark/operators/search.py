@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import break_to_html, count_words
 from shelfmark.operators.grouping import child_pages
-from shelfmark.runtime import bounded_rows
+from shelfmark.runtime import bounded_rows, materialise, small
 
 # Fixed value: hits per query where the caller names no number.
 DEFAULT_K = 20
@@ -206,12 +206,18 @@ def nearest(
 # --- the three collections -------------------------------------------------------------
 
 
+def _stored_hits(queries: DataFrame, corpus: DataFrame, k: int, how: dict) -> DataFrame:
+    """The hits as a small stored table: read more than once, and broadcast to the big side
+    when their records are fetched, which then is not shuffled."""
+    return small(materialise(nearest(queries, corpus.select("id", "vector"), k, **how), "hits"))
+
+
 def search_documents(queries: DataFrame, documents: DataFrame, k: int = DEFAULT_K, **how) -> DataFrame:
     """Nearest documents by summary vector, with their record. The record is fetched after
     the top k is known, so only k rows per query are joined."""
-    hits = nearest(queries, documents.select("id", "vector"), k, **how)
+    hits = _stored_hits(queries, documents, k, how)
     record = documents.select("id", "summary", "name", "file_path", "created_ms")
-    return hits.join(record, "id").select(
+    return record.join(hits, "id").select(
         "query_id", "rank", "distance", "id", "name", "file_path", "summary", "created_ms"
     )
 
@@ -223,14 +229,13 @@ def search_folders(
 
     A hit with more children than fit on one page comes as several rows, one per page.
     """
-    hits = nearest(queries, folders.select("id", "vector"), k, **how)
+    hits = _stored_hits(queries, folders, k, how)
     record = folders.select("id", "summary", "name", "file_path", "created_ms")
-    found = hits.join(record, "id")
-    fields = ["name", "summary", "file_path"]
-    wanted = found.select("file_path").distinct()
-    docs = documents.join(wanted.select(F.col("file_path").alias("folder")), "folder", "left_semi")
-    subs = folders.join(wanted.select(F.col("file_path").alias("parent")), "parent", "left_semi")
-    pages = folder_pages(docs, subs, fields)
+    found = materialise(record.join(hits, "id"), "found")
+    wanted = small(found.select("file_path").distinct())
+    docs = documents.join(wanted.withColumnRenamed("file_path", "folder"), "folder", "left_semi")
+    subs = folders.join(wanted.withColumnRenamed("file_path", "parent"), "parent", "left_semi")
+    pages = folder_pages(docs, subs, ["name", "summary", "file_path"])
     return found.join(pages, "file_path", "left").select(
         "query_id", "rank", "distance", "id", "name", "file_path", "summary", "created_ms",
         F.coalesce("page", F.lit("")).alias("page"), "documents", "folders",
@@ -241,9 +246,10 @@ def search_segments(
     queries: DataFrame, segments: DataFrame, documents: DataFrame, k: int = DEFAULT_K, **how
 ) -> DataFrame:
     """Nearest segments with the name of their document, ``''`` if it is gone."""
-    hits = nearest(queries, segments.select("id", "vector"), k, **how)
+    hits = _stored_hits(queries, segments, k, how)
     record = segments.select("id", "document_id", "text", "created_ms")
-    return segment_documents(hits.join(record, "id"), documents).select(
+    found = materialise(record.join(hits, "id"), "found")
+    return named_segments(found, documents).select(
         "query_id", "rank", "distance", "id", "text", "document", "created_ms"
     )
 
@@ -288,6 +294,13 @@ def segment_documents(segments: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
+def named_segments(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """As :func:`segment_documents` for a few stored segments: their documents are picked
+    out with a broadcast first, so the document table is not shuffled."""
+    owners = small(found.select(F.col("document_id").alias("id")).distinct())
+    return segment_documents(found, documents.select("id", "name").join(owners, "id", "left_semi"))
+
+
 def folder_pages(documents: DataFrame, folders: DataFrame, fields: list[str]) -> DataFrame:
     """(file_path, page, documents, folders): the children of each folder, page by page."""
     docs = child_pages(documents, "folder", fields, "documents").withColumnRenamed("folder", "file_path")

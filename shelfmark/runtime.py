@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -77,3 +78,11 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """All rows of ``df`` if there are at most ``limit``, else None."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, else ``df`` as it is.
+
+    Counts, so pass a stored table or something as cheap.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
