@@ -470,6 +470,14 @@ def search_ann(v):
     return O.nearest(v.queries, corpus, k=10, exact=False)
 
 
+@query
+def search_texts(v):
+    """Texts as queries over documents embedded by the default provider, as a user asks."""
+    asked = O.embed(v.table("benchmark").withColumnRenamed("item_id", "query_id"), "text")
+    documents = materialise(O.embed(v.documents, "summary"), "embedded")
+    return O.search_documents(asked, documents).drop("created_ms")
+
+
 @query
 def limit_rows(v):
     return _units(v).orderBy("path", "ord").limit(10_000)

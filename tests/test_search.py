@@ -101,3 +101,20 @@ def test_records_and_context(spark):
     assert (row["n_segments"], row["context"]) == (2, "a b\n\nc d")
     row = search_context(q, segments.limit(0), docs).first()
     assert (row["n_segments"], row["context"]) == (0, None)
+
+
+def test_a_text_finds_itself(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.operators import embed
+
+    texts = spark.createDataFrame(
+        [(1, "harbour budget for spring"), (2, "cats sleep long"), (3, "a budget"), (4, "")], "query_id long, text string"
+    )
+    vectors = embed(texts, "text")
+    corpus = vectors.select(F.col("query_id").cast("string").alias("id"), "vector")
+    got = hits(nearest(vectors, corpus, 2))
+    assert [got[(i, 1)] for i in (1, 2, 3)] == [("1", 0.0), ("2", 0.0), ("3", 0.0)]
+    assert got[(1, 2)][0] == "3" and got[(4, 1)] == ("1", 1.0)
+    table = {r["id"]: np.array(r["vector"], dtype=np.float64) for r in corpus.collect()}
+    assert got[(3, 2)] == ("1", pytest.approx(round(1 - float(table["1"] @ table["3"]), 6), abs=1e-6))
