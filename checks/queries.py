@@ -470,6 +470,15 @@ def search_ann(v):
     return O.nearest(v.queries, corpus, k=10, exact=False)
 
 
+@query
+def search_ann_stored(v):
+    from shelfmark.operators.ann import nearest_stored, write_buckets
+
+    path = new_scratch_path(v.spark, "buckets")
+    write_buckets(v.vectors.select(F.col("doc_id").cast("string").alias("id"), "vector"), path)
+    return nearest_stored(v.queries, path, k=10)
+
+
 @query
 def search_texts(v):
     """Texts as queries over documents embedded by the default provider, as a user asks."""

@@ -178,3 +178,35 @@ def test_status(spark):
     assert {r["status"]: r["n"] for r in index_counts(classify(scan, stored)).collect()} == {
         "unchanged": 1, "replaced": 1, "new": 1,
     }
+
+
+def test_files_to_snapshot_and_back(spark, tmp_path):
+    """The way the README shows, on a real folder."""
+    from shelfmark import read_text_files, restore_snapshot, search_documents, write_snapshot
+    from shelfmark.operators import embed
+
+    root = tmp_path / "corpus"
+    for name, text in {"a/one.txt": "Harbour budget.", "a/b/two.txt": "Cats sleep.", "bad.txt": None}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"\xff" if text is None else text.encode())
+    store = str(tmp_path / "snapshots")
+
+    def run(stored=None):
+        texts = read_text_files(spark, str(root)).where("error is null").drop("error")
+        tables = run_index(texts, stored, Settings(root=str(root)))
+        write_snapshot(tables, store, str(root))
+        return tables
+
+    run()
+    (root / "a/b/two.txt").write_text("Dogs bark.")
+    tables = run(restore_snapshot(spark, store))
+    latest = restore_snapshot(spark, store)
+    assert contents(latest) == contents(tables)
+    assert {r["summary"] for r in latest["documents"].collect()} == {
+        "This document Harbour budget.", "This document Dogs bark.",
+    }
+    assert {r["text"] for r in latest["segments"].collect()} == {"Harbour budget.", "Dogs bark."}
+    assert latest["folders"].count() == 3
+    asked = spark.createDataFrame([(1, "budget of the harbour")], "query_id long, text string")
+    first = search_documents(embed(asked, "text"), latest["documents"], k=1).first()
+    assert first["name"] == "one.txt"

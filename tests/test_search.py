@@ -83,6 +83,19 @@ def test_buckets(data):
     assert all(0 <= r["n_compared"] < 3000 for r in counts)
 
 
+def test_stored_buckets_give_the_same(spark, data, tmp_path):
+    from shelfmark.operators.ann import nearest_stored, write_buckets
+
+    _, _, c, q = data
+    write_buckets(c, str(tmp_path), tables=4, bucket_length=0.5)
+    same(
+        hits(nearest_stored(q, str(tmp_path), 10)),
+        hits(nearest(q, c, 10, exact=False, tables=4, bucket_length=0.5)),
+    )
+    plan = nearest_stored(q.limit(1), str(tmp_path), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(bucket" in plan or "bucket IN" in plan
+
+
 def test_records_and_context(spark):
     docs = spark.createDataFrame(
         [("d1", "one.txt", "/one.txt", "S\n1", [1.0, 0.0], 5), ("d2", "two.txt", "/two.txt", "S2", [0.0, 1.0], 6)],
