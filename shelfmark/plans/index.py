@@ -16,7 +16,8 @@ from shelfmark.operators.changes import cascade_delete, changed_or_new, gone_row
 from shelfmark.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
 from shelfmark.operators.enrich import LeadSummary, Provider, classify_segments, embed, summarise
 from shelfmark.operators.folders import ancestors, rollup, upsert_folders
-from shelfmark.runtime import materialise, spread
+from shelfmark.runtime import materialise, new_scratch_path, spread
+from shelfmark.sources.snapshots import new_snapshot_id, write_manifest, write_table
 
 
 @dataclass
@@ -83,23 +84,29 @@ def segment_records(texts: DataFrame, settings: Settings) -> DataFrame:
 
 
 def run_index(
-    files: DataFrame, stored: dict[str, DataFrame] | None = None, settings: Settings | None = None
+    files: DataFrame,
+    stored: dict[str, DataFrame] | None = None,
+    settings: Settings | None = None,
+    target: str | None = None,
 ) -> dict[str, DataFrame]:
     """The tables of the index after a run over accepted ``files``, a plain scan.
 
     Documents whose hash is stored are left as they are. The change test moves only paths
     and hashes; texts are read again for the changed documents alone, so a re-run costs
-    what changed. Results are written to the shared folder; save them with
-    :func:`shelfmark.sources.write_snapshot`.
+    what changed. The tables are written under ``target``, a folder that is not the one
+    ``stored`` is read from; by default one in the shared folder.
     """
     settings = settings or Settings()
+    target = target or new_scratch_path(files.sparkSession, "index")
     texts = extracted(spread(files, "path"))
     if stored is None:
-        documents = materialise(document_records(texts, settings), "documents")
-        segments = materialise(segment_records(texts, settings), "segments")
-        visited = documents
+        documents, segments = document_records(texts, settings), segment_records(texts, settings)
     else:
         documents, segments = _refreshed(files, texts, stored, settings)
+    documents = write_table(documents, f"{target}/documents")
+    segments = write_table(segments, f"{target}/segments")
+    visited = documents
+    if stored is not None:
         # Folders are summarised from what the scan found, not from records of gone files.
         visited = documents.join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi")
     folders = rollup(
@@ -108,7 +115,8 @@ def run_index(
     )
     if stored is not None and not settings.prune:
         folders = upsert_folders(stored["folders"], folders)
-    return {"documents": documents, "segments": segments, "folders": materialise(folders, "folders")}
+    folders = write_table(folders, f"{target}/folders")
+    return {"documents": documents, "segments": segments, "folders": folders}
 
 
 def _refreshed(
@@ -127,7 +135,19 @@ def _refreshed(
     documents, segments = cascade_delete(stored["documents"], stored["segments"], removed)
     new_documents = document_records(changed, settings).select(documents.columns)
     new_segments = segment_records(changed, settings).select(segments.columns)
-    return (
-        materialise(documents.unionByName(new_documents), "documents"),
-        materialise(segments.unionByName(new_segments), "segments"),
-    )
+    return documents.unionByName(new_documents), segments.unionByName(new_segments)
+
+
+def index_to_snapshot(
+    files: DataFrame,
+    root: str,
+    path: str,
+    stored: dict[str, DataFrame] | None = None,
+    settings: Settings | None = None,
+) -> str:
+    """A run whose tables are written once, as a new snapshot under ``root``; its id."""
+    spark = files.sparkSession
+    snapshot = new_snapshot_id(spark, path)
+    tables = run_index(files, stored, settings, f"{root}/{snapshot}")
+    write_manifest(spark, f"{root}/{snapshot}", tables)
+    return snapshot

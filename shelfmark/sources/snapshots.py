@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,14 @@ MANIFEST = "manifest"
 LOOKUP_COLUMNS = ("id", "hash", "file_path", "document_id")
 
 
-def _write(df: DataFrame, path: str) -> None:
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a table so that point lookups can skip row groups; return it as stored."""
     writer = df.write
     for column in LOOKUP_COLUMNS:
         if column in df.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_snapshot_id(spark: SparkSession, path: str) -> str:
@@ -32,18 +35,23 @@ def new_snapshot_id(spark: SparkSession, path: str) -> str:
     return row.first()["id"]
 
 
+def write_manifest(spark: SparkSession, folder: str, tables: Iterable[str]) -> None:
+    """Mark a snapshot as complete. Without the mark it is never restored."""
+    names = spark.createDataFrame([(name,) for name in tables], "table string")
+    names.coalesce(1).write.parquet(f"{folder}/{MANIFEST}")
+
+
 def write_snapshot(tables: dict[str, DataFrame], root: str, path: str) -> str:
     """Save ``tables`` under a new dated id that carries the indexed path; return the id.
 
-    The manifest is written last. A snapshot without one was cut short and is not restored.
+    The manifest is written last. See also :func:`shelfmark.plans.index_to_snapshot`, which
+    writes the tables of a run in place.
     """
     spark = next(iter(tables.values())).sparkSession
     snapshot = new_snapshot_id(spark, path)
     for name, df in tables.items():
-        _write(df, f"{root}/{snapshot}/{name}")
-    spark.createDataFrame([(name,) for name in tables], "table string").coalesce(1).write.parquet(
-        f"{root}/{snapshot}/{MANIFEST}"
-    )
+        write_table(df, f"{root}/{snapshot}/{name}")
+    write_manifest(spark, f"{root}/{snapshot}", tables)
     return snapshot
 
 

@@ -182,7 +182,7 @@ def test_status(spark):
 
 def test_files_to_snapshot_and_back(spark, tmp_path):
     """The way the README shows, on a real folder."""
-    from shelfmark import read_text_files, restore_snapshot, search_documents, write_snapshot
+    from shelfmark import index_to_snapshot, read_text_files, restore_snapshot, search_documents
     from shelfmark.operators import embed
 
     root = tmp_path / "corpus"
@@ -193,9 +193,8 @@ def test_files_to_snapshot_and_back(spark, tmp_path):
 
     def run(stored=None):
         texts = read_text_files(spark, str(root)).where("error is null").drop("error")
-        tables = run_index(texts, stored, Settings(root=str(root)))
-        write_snapshot(tables, store, str(root))
-        return tables
+        name = index_to_snapshot(texts, store, str(root), stored, Settings(root=str(root)))
+        return restore_snapshot(spark, store, name)
 
     run()
     (root / "a/b/two.txt").write_text("Dogs bark.")

@@ -83,7 +83,8 @@ def test_buckets(data):
     assert all(0 <= r["n_compared"] < 3000 for r in counts)
 
 
-def test_stored_buckets_give_the_same(spark, data, tmp_path):
+def test_stored_buckets_give_the_same(spark, data, tmp_path, monkeypatch):
+    from shelfmark.operators import ann
     from shelfmark.operators.ann import nearest_stored, write_buckets
 
     _, _, c, q = data
@@ -92,6 +93,9 @@ def test_stored_buckets_give_the_same(spark, data, tmp_path):
         hits(nearest_stored(q, str(tmp_path), 10)),
         hits(nearest(q, c, 10, exact=False, tables=4, bucket_length=0.5)),
     )
+    monkeypatch.setattr(ann, "MAX_QUERIES", 3)
+    same(hits(nearest_stored(q, str(tmp_path), 10)), hits(nearest(q, c, 10)))
+    monkeypatch.undo()
     plan = nearest_stored(q.limit(1), str(tmp_path), 10)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(bucket" in plan or "bucket IN" in plan
 
