@@ -430,6 +430,9 @@ BODIES: dict[str, str] = {
           WHEN NOT contains(text, {NL}) THEN coalesce({lead('text', 'Lines: ', 5)}, 'no answer')
           ELSE 'no answer' END AS answer FROM conversations""",
     "classify_segments": "SELECT id, regexp_matches(text, '[.!?]') AS meaningful FROM segments",
+    "refresh_index": """
+        SELECT id, name, file_path, hash, summary, coalesce(n, 0)::BIGINT AS n_segments FROM docs LEFT JOIN (
+          SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) USING (doc_id)""",
     "run_index": "SELECT id, name, file_path, folder, doc_type, hash, summary FROM docs",
 }
 

@@ -684,6 +684,24 @@ def run_index(v):
     return tables["documents"].select("id", "name", "file_path", "folder", "doc_type", "hash", "summary")
 
 
+@query
+def refresh_index(v):
+    """A run over an older state, then one over all files as they are: labelled documents
+    were there, those of low quality with other text."""
+    from shelfmark.plans import Settings
+    from shelfmark.plans import run_index as run
+
+    settings = Settings(root="/corpus", now_ms=F.lit(0).cast("long"))
+    older = v.accepted.join(v.table("labels"), "doc_id").withColumn(
+        "text", F.when(F.col("quality") == 0, F.concat(F.lit("Older.\n"), "text")).otherwise(F.col("text"))
+    ).select(v.accepted.columns)
+    tables = run(v.accepted, run(older, settings=settings), settings)
+    counts = tables["segments"].groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return tables["documents"].join(counts, "id", "left").select(
+        "id", "name", "file_path", "hash", "summary", F.coalesce("n", F.lit(0)).alias("n_segments")
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: fn(Views(spark, sf_dir))

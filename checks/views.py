@@ -147,9 +147,10 @@ class Views:
             F.concat(F.lit("/corpus/gone/"), "name").alias("file_path"),
             F.concat(F.lit("gone-"), "hash").alias("hash"),
         )
-        return here.unionByName(gone).select(
+        stored = here.unionByName(gone).select(
             document_id(F.col("hash")).alias("id"), "file_path", "hash"
         )
+        return materialise(stored, "stored")
 
     @cached_property
     def stored_segments(self) -> DataFrame:
