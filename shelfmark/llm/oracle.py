@@ -112,9 +112,33 @@ FROM words LEFT JOIN found USING (row_no)
 """
 
 
+# The rendering's length follows from its rules: control strings of a template of three marks
+# of eight characters a turn, and two more characters for each escape.
+CHAT_FORMAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, role || text AS both_, role || chr(10) || text || chr(10) AS said,
+         CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM rows),
+escaped AS (
+  SELECT *, 24 + len(both_) + len(both_) - len(replace(both_, '\', ''))
+         + 2 * len(regexp_extract_all(role, '<\|(?:turn|says|done|endoftext|im_start|im_end)\|>|</?s>|\[/?INST\]'))
+         + 2 * len(regexp_extract_all(text, '<\|(?:turn|says|done|endoftext|im_start|im_end)\|>|</?s>|\[/?INST\]')) AS chars
+  FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(said, '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       len(string_agg(loss, '' ORDER BY turn NULLS LAST, role, text)) AS loss_chars,
+       sha256(string_agg(loss, '' ORDER BY turn NULLS LAST, role, text)) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op3_mix_sources": MIX_SOURCES,
         "op6_license_scan": license_scan(),
         "op7_exact_dedup": EXACT_DEDUP,
+        "op8_chat_format": CHAT_FORMAT,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe_codec, exact_dedup, license_scan, mixing, token_counts
+from shelfmark.llm import bpe_codec, chat_format, exact_dedup, license_scan, mixing, pii_scan, token_counts
 from shelfmark.runtime import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,5 +60,27 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_duplicates(docs, keep="largest").select("doc_id", "dedup.*")
 
 
+# A conversation made of control strings (fixed values).
+HARD_CONVERSATION = [(-7, t, role, "</s>[INST] ok [/INST]") for t, role in enumerate(("user", "assistant"))]
+
+
+@query
+def op8_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(HARD_CONVERSATION, rows.schema))
+    formatted = chat_format.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json"))
+    return chat_format.read_back(formatted).select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+@query
+def op9_pii_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_scan.span_digests(pii_scan.find_pii(docs))
+
+
 def registered() -> dict[str, Query]:
     return dict(REGISTRY)
