@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe_codec, chat_format, exact_dedup, license_scan, mixing, pii_scan, token_counts
+from shelfmark.llm import bpe_codec, chat_format, edit_fingerprint, exact_dedup, license_scan, mixing, pii_scan, token_counts
 from shelfmark.runtime import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op3_mix_sources(spark, sf_dir):
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_edit_fingerprint(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edit_fingerprint.compare_with_next(docs)
+
+
 @query
 def op5_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
