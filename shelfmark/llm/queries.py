@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe_codec, chat_format, edit_fingerprint, exact_dedup, license_scan, mixing, pii_scan, token_counts
+from shelfmark.llm import bpe_codec, chat_format, edit_fingerprint, exact_dedup, license_scan, mixing, pii_scan, token_counts, toxicity
 from shelfmark.runtime import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, model).select(
+        "doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= toxicity.threshold_of(model, "lang")).cast("int").alias("rejected"),
+    )
+
+
 @query
 def op2_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
