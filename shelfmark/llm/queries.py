@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe_codec, chat_format, edit_fingerprint, exact_dedup, license_scan, mixing, pii_scan, token_counts, toxicity
+from shelfmark.llm import bpe_codec, chat_format, edit_fingerprint, exact_dedup, jaccard_join, license_scan, mixing, pii_scan, token_counts, toxicity
 from shelfmark.runtime import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,5 +99,11 @@ def op9_pii_scan(spark, sf_dir):
     return pii_scan.span_digests(pii_scan.find_pii(docs))
 
 
+@query
+def op10_jaccard_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.join_sets(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def registered() -> dict[str, Query]:
     return dict(REGISTRY)
