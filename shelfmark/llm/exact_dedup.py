@@ -1,7 +1,9 @@
 """Exact duplicates by sorting contents: equal texts become neighbours and are compared in full.
 
 The texts are dealt by value ranges between sampled splitters and sorted externally, so equal
-texts end up next to each other in one partition; within a run of equal texts the first row
+texts end up next to each other in one partition. A splitter is the beginning of a text and a
+hash of it, so the sample that Spark draws stays small and texts that only begin alike are
+still dealt apart; within a run of equal texts the first row
 in identifier order stays. A text with so many copies that its run would fill more than a part
 of one task (``HOT_SHARE``) is not sorted at all: its copies are grouped where they are read
 (one row per text and map task crosses the network) and the result is joined back by digest.
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import fresh
 from shelfmark.runtime import bounded_rows
 
+# Characters of a text in a splitter.
+HEAD_CHARS = 24
 # A text is hot if it holds this share of all rows of one of the sort's tasks, or more.
 HOT_SHARE = 0.25
 # Below this many copies no text is hot: so short a run costs nothing.
@@ -57,7 +61,9 @@ def mark_duplicates(
     ``normalise`` maps the text column to what is compared. If ``docs`` has a column ``dedup``
     the new one is ``_dedup``.
     """
-    out, was_null, content, hot, first = fresh(docs, "dedup", "was_null", "content", "hot", "first")
+    out, was_null, content, hot, first, head, mark = fresh(
+        docs, "dedup", "was_null", "content", "hot", "first", "head", "mark"
+    )
     spark = docs.sparkSession
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted: Column = F.col(id_col).desc_nulls_last() if keep == "largest" else F.col(id_col).asc_nulls_first()
@@ -81,11 +87,12 @@ def mark_duplicates(
         flag = F.xxhash64(content) == F.col(hot)
         rest = work.join(hot_table, flag, "left_anti")
 
-    # The range partitioning by content satisfies the window: one shuffle, one external sort.
-    run = W.partitionBy(content)
+    # The range partitioning satisfies the window: one shuffle, one external sort by content.
+    run = W.partitionBy(head, mark, content)
     order = run.orderBy(wanted)
     everything = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    sorted_rows = rest.repartitionByRange(n_tasks, F.col(content)).select(
+    headed = rest.withColumns({head: F.substring(content, 1, HEAD_CHARS), mark: F.xxhash64(content)})
+    sorted_rows = headed.repartitionByRange(n_tasks, head, mark).select(
         *work.columns,
         F.struct(
             F.first(id_col).over(everything).alias("keep_id"),
