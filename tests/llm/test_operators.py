@@ -1,0 +1,413 @@
+"""The operators of the llm package against brute force, with awkward rows."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from checks.compare import compare, connect
+from shelfmark.llm import (
+    bpe_codec, chat_format, edit_fingerprint, exact_dedup, jaccard_join, license_scan, mixing,
+    oracle, pii_scan, queries, token_counts, toxicity,
+)
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, dedup string, ids string, score string"
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and repeated rows, a long text, ties, and columns with clashing names."""
+    long = "word " * 9000 + "Mail a.b@c.example or call +1 (555) 123-4567 now"
+    rows = [
+        (1, "same text here", "en", "a"), (2, "same text here", "en", "b"), (2, "same text here", "en", "b"),
+        (3, None, None, None), (4, "", "de", "a"), (None, "same text here", "en", None), (None, None, None, None),
+        (5, long, "en", "a"), (6, long, "fr", "a"), (7, "x", "en", "c"), (8, " \t\n", "en", "c"),
+        (9, "The MIT  License, see GNU General Public License v2. Apache License", "en", "b"),
+    ]
+    return spark.createDataFrame([(*r, 0, "d", "i", "s") for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def con(small_tables):
+    return connect(small_tables)
+
+
+@pytest.mark.parametrize("name", sorted(oracle.statements()))
+def test_twins(spark, con, small_tables, name):
+    good, line = compare(spark, con, small_tables, name, queries.registered()[name], oracle.statements()[name])
+    assert good, line
+
+
+# --- exact dedup -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("hot", [False, True])
+def test_exact_dedup(spark, odd, keep, hot, monkeypatch):
+    if hot:
+        monkeypatch.setattr(exact_dedup, "HOT_LEAST", 1)
+        monkeypatch.setattr(exact_dedup, "HOT_SHARE", 0.0)
+    rows = exact_dedup.mark_duplicates(odd, keep=keep).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["text"] or ""].append(r)
+    assert len(rows) == odd.count()
+    for text, members in groups.items():
+        ids = [m["doc_id"] for m in members]
+        known = [i for i in ids if i is not None]
+        want = max(known) if keep == "largest" else (None if None in ids else min(known))
+        assert sum(m["_dedup"]["kept"] for m in members) == 1
+        for m in members:
+            assert m["_dedup"]["keep_id"] == want and m["_dedup"]["group_size"] == len(members)
+            assert m["_dedup"]["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+            assert not m["_dedup"]["kept"] or m["doc_id"] == want
+    left = exact_dedup.drop_duplicates(odd, keep=keep)
+    assert left.columns == odd.columns and left.count() == len(groups)
+
+
+def test_exact_dedup_normalised(spark, empty):
+    df = spark.createDataFrame([(1, "A b"), (2, "a B"), (3, None)], "doc_id long, text string")
+    rows = exact_dedup.mark_duplicates(df, normalise=F.lower).collect()
+    assert {(r["doc_id"], r["text"], r["dedup"]["keep_id"]) for r in rows} == {(1, "A b", 1), (2, "a B", 1), (3, None, 3)}
+    assert exact_dedup.mark_duplicates(empty).count() == 0
+
+
+# --- license scan ----------------------------------------------------------------------
+
+
+def test_license_scan(odd, empty):
+    rows = license_scan.scan_licenses(odd).collect()
+    assert len(rows) == odd.count()
+    by_id = {r["doc_id"]: r for r in rows}
+    nine = by_id[9]
+    assert (nine["n_words"], nine["n_base"], nine["first_word"], nine["last_word"]) == (11, 3, 1, 9)
+    assert nine["base_labels"] == "apache,gpl,mit" and nine["score"] == 0.9
+    assert by_id[3]["n_words"] == 0 and by_id[3]["first_word"] is None and by_id[3]["labels"] == ""
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_license_containment(spark):
+    text = "under the gnu general public license version 3 or later; mit licensed. mit license mit license"
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    found = license_scan.detections(df).where("rule is not null").collect()
+    base = [d for d in found if d["label"] == "gpl" and d["end_word"] - d["start_word"] == 4 and d["kind"] == 4]
+    assert base and base[0]["suppressed"] and base[0]["copies"] == 2
+    assert {(r["n_base"], r["labels"]) for r in license_scan.scan_licenses(df).collect()} == {(3, "gpl,gpl-3.0,mit")}
+
+
+# --- mixing ----------------------------------------------------------------------------
+
+
+def test_mixing(odd, empty):
+    rows = mixing.mix_sources(odd).collect()
+    assert len(rows) == odd.count() and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in rows)
+    assert mixing.mix_sources(empty).count() == 0 and mixing.take_mixture(empty).count() == 0
+    assert mixing.take_mixture(odd).columns == odd.columns
+    taken = sum(r["taken"] for r in rows)
+    again = mixing.take_mixture(odd).select(mixing.word_count(F.coalesce("text", F.lit(""))).alias("n")).agg(F.sum("n")).first()[0]
+    assert taken == again
+
+
+def test_mixing_reaches_targets(spark):
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.randint(1, 9), rnd.choice(["big"] * 5 + ["s1", "s2", "s3", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(df).join(df.select("doc_id", "source"), "doc_id")
+    sums = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("s")).collect()
+    assert all(abs(r["t"] - r["g"]) <= 9 and r["g"] <= 2 * r["s"] for r in sums)
+    total = sum(r["s"] for r in sums)
+    assert abs(sum(r["g"] for r in sums) - 1.5 * total) < 1e-6 * total
+    # A smaller budget takes a subset.
+    less = {r["doc_id"] for r in mixing.mix_sources(df, share=(1, 2)).where("taken > 0").collect()}
+    more = {r["doc_id"] for r in mixing.mix_sources(df, share=(3, 4)).where("taken > 0").collect()}
+    assert less < more
+
+
+# --- BPE and token counts --------------------------------------------------------------
+
+
+@pytest.mark.parametrize("chunk, overlap", [(64, 8), (40, 20), (32_768, 1_024)])
+def test_bpe(spark, odd, chunk, overlap):
+    hard = [(10, " " * 500 + "a" * 500 + "9" * 300), (11, "it's 'll don't " * 40 + "  \n\n x"), (11, "ñandú 😀 日本語 " * 30)]
+    df = odd.select("doc_id", "text", "ids").unionByName(spark.createDataFrame([(*r, "i") for r in hard], "doc_id long, text string, ids string"))
+    codec = bpe_codec.encoding(RANKS, PATTERN)
+    rows = bpe_codec.decode(bpe_codec.encode(df, RANKS, PATTERN, chunk=chunk, overlap=overlap), RANKS, PATTERN, "_ids").collect()
+    assert len(rows) == df.count()
+    for r in rows:
+        assert list(r["_ids"]) == codec.encode_ordinary(r["text"] or "") and bytes(r["decoded"]).decode() == (r["text"] or "")
+
+
+def test_bpe_empty(empty):
+    assert bpe_codec.encode(empty, RANKS, PATTERN).count() == 0
+
+
+def test_token_counts(spark, odd, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    model = Tokenizer.from_file(path)
+    df = odd.unionByName(odd.where("doc_id = 1").withColumn("text", F.lit("<|endoftext|> é")))
+    rows = token_counts.count_tokens(df, path, cache, limit=100).join(df.select("doc_id").distinct(), "doc_id", "left").collect()
+    assert len(rows) == df.count()
+    texts = defaultdict(set)
+    for r in df.select("doc_id", "text").collect():
+        t = r["text"] or ""
+        n = len(model.encode(t, add_special_tokens=False).ids)
+        texts[r["doc_id"]].add((len(t.encode()), n, n > 100))
+    assert all((r["n_bytes"], r["n_tokens"], r["over_limit"]) in texts[r["doc_id"]] for r in rows)
+    # A second run finds all in the cache and appends nothing.
+    before = spark.read.parquet(cache).count()
+    assert token_counts.count_tokens(odd, path, cache).count() == odd.count()
+    assert spark.read.parquet(cache).count() == before == df.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert token_counts.count_tokens(empty, path, cache).count() == 0
+
+
+def test_token_counts_sentencepiece(spark, tmp_path):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    df = spark.createDataFrame([(1, "Some words"), (2, "más palabras")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, path, str(tmp_path)).collect()}
+    assert got == {r["doc_id"]: len(model.encode(r["text"])) for r in df.collect()}
+
+
+# --- personal data ---------------------------------------------------------------------
+
+REGEXES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def regex_spans(text):
+    found = []
+    for kind, pattern in REGEXES.items():
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in re.sub("[^0-9]", "", m.group())]
+            luhn = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+            good = {
+                "email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")),
+                "card": 13 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                found.append((kind, *m.span()))
+    return found
+
+
+def test_pii_against_regexes():
+    rnd = random.Random(1)
+    for i in range(20_000):
+        text = "".join(rnd.choice("ab@@..++-- ()0123456789é\n%_:/") for _ in range(rnd.randint(0, 40)))
+        if i % 3 == 0:
+            text = "".join(rnd.choice("0123456789 -.") for _ in range(rnd.randint(0, 40))) + text
+        assert [s for s in pii_scan.find_spans(text) if s[0] in pii_scan.BASE_KINDS] == regex_spans(text), text
+
+
+def test_pii_more_kinds():
+    text = "é see https://x.example/a?b=1, iban DE89 3704 0044 0532 0130 00 and SSN: 123-45-6789. 4111 1111 1111 1111"
+    spans = {text[a:b]: kind for kind, a, b in pii_scan.find_spans(text)}
+    assert spans["https://x.example/a?b=1"] == "url" and spans["123-45-6789"] == "ssn"
+    assert "account" in spans.values() and spans["4111 1111 1111 1111"] == "card"
+
+
+def test_pii_table(odd, empty):
+    rows = pii_scan.span_digests(pii_scan.find_pii(odd)).collect()
+    assert len(rows) == odd.count()
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    for r in rows:
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in regex_spans(texts[r["doc_id"]])) if r["doc_id"] else ""
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert pii_scan.find_pii(empty).count() == 0
+
+
+# --- chat ------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_chat(spark, block):
+    said = ["</s>[INST] ok [/INST]", "<|turn|>x<|says|>\\-\\\\", " lead\n\n", "", None, "😀 é\n", "tail<|done|", "<<s>s>"]
+    rows = [(c, t, "assistant" if (t + c) % 2 else "user", said[(t * 3 + c) % len(said)]) for c in range(4) for t in range(9)]
+    rows += [(9, 1, None, "a"), (9, 1, "assistant", "b"), (9, None, "assistant", "late"), (None, 0, "user", None), (9, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    formatted = chat_format.format_conversations(df, path, turns_per_block=block)
+    got = {r["conv_id"]: r for r in chat_format.read_back(formatted).collect()}
+    want = defaultdict(list)
+    for c, t, role, text in rows:
+        want[c].append((t is None, t or 0, role or "", text or ""))
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        turns.sort()
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns"] == "".join(f"{role}\n{text}\n" for *_, role, text in turns)
+        assert got[c]["loss_text"] == "".join(text for *_, role, text in turns if role == "assistant")
+    assert chat_format.format_conversations(df.limit(0), path).count() == 0
+
+
+# --- fingerprints ----------------------------------------------------------------------
+
+
+def test_fingerprints(spark, odd, empty):
+    rows = edit_fingerprint.compare_with_next(odd, n_ranges=4).collect()
+    docs = sorted(odd.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"] or ""))
+    assert len(rows) == len(docs)
+    texts = [r["text"] or "" for r in docs]
+    edited = defaultdict(list)
+    for r, a, b in zip(docs, texts, texts[1:] + texts[:1]):
+        text = edit_fingerprint.edited_text(a, b)
+        edited[r["doc_id"]].append((len(a), hashlib.sha256(text.encode()).hexdigest(), bytes(edit_fingerprint.fingerprint_texts([text])[0]).hex()))
+    for r in rows:
+        assert (r["n_chars"], r["edited_sha256"], r["edited_fingerprint"]) in edited[r["doc_id"]]
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    prints = {r["doc_id"]: r["fingerprint"] for r in rows}
+    assert prints[1] == prints[2] and prints[5] == prints[6] != prints[7]
+    assert edit_fingerprint.compare_with_next(empty).count() == 0 and edit_fingerprint.fingerprints(empty).count() == 0
+
+
+def test_fingerprint_likeness(spark):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(500)]
+    texts = [" ".join(rnd.choice(words) for _ in range(400)) for _ in range(30)]
+    near = [t[:700] + "yz" + t[701:] for t in texts]
+    a, b = edit_fingerprint.fingerprint_texts(texts), edit_fingerprint.fingerprint_texts(near)
+    assert edit_fingerprint.likeness(a, b).mean() > 0.9
+    assert edit_fingerprint.likeness(a[1:], a[:-1]).mean() < 0.1
+    rows = [(2 * i, t) for i, t in enumerate(texts)] + [(2 * i + 1, t) for i, t in enumerate(near)]
+    prints = edit_fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r["doc_id"], r["leader"]) for r in edit_fingerprint.near_documents(prints).collect()}
+    assert len(found & {(2 * i + 1, 2 * i) for i in range(30)}) >= 27 and len(found) <= 30
+
+
+# --- toxicity --------------------------------------------------------------------------
+
+
+def toxic_texts(n, rnd):
+    rows = []
+    for i in range(n):
+        lang = rnd.choice(["en", "de"])
+        words = [f"{lang}{rnd.randint(0, 400)}" for _ in range(rnd.randint(3, 60))]
+        toxic = int(rnd.random() < 0.3)
+        if toxic:
+            words[rnd.randrange(len(words))] = rnd.choice([f"bad{lang}{k}" for k in range(4)])
+        rows.append((i, " ".join(words), lang, toxic))
+    return rows
+
+
+def test_toxicity_held_out_accuracy(spark, empty):
+    rows = toxic_texts(1500, random.Random(4))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, *_, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score_texts(docs.withColumn("score", F.lit("s")), model)
+    held = scored.withColumn("h", toxicity.is_held_out("doc_id")).where("h").join(labels.where("toxic is not null"), "doc_id").collect()
+    assert sum((r["_score"] >= 0.5) == bool(r["toxic"]) for r in held) / len(held) > 0.93
+    # Labels of held-out rows change nothing.
+    turned = labels.withColumn("toxic", F.when(toxicity.is_held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit(docs, turned)
+    assert (again.weights == model.weights).all() and again.thresholds == model.thresholds
+    kept = toxicity.drop_toxic(docs, labels)
+    clean = sum(1 - r[3] for r in rows)
+    assert kept.columns == docs.columns and abs(kept.count() - clean) < 0.1 * clean
+    odd_rows = spark.createDataFrame([(None, None, None), (1, "", "xx"), (1, "", "xx")], docs.schema)
+    assert toxicity.score_texts(odd_rows, model).where("score between 0 and 1").count() == 3
+    assert toxicity.score_texts(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_without_labels(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit(odd, none) is None and toxicity.drop_toxic(odd, none).count() == odd.count()
+    one = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(odd, one) is None and toxicity.fit(empty, one) is None
+
+
+def test_toxicity_long_text(monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(5)
+    words = toxicity.word_buckets()
+    rows = toxic_texts(300, rnd)
+    model = toxicity.train([np.array(words(t), np.int32) for _, t, _, _ in rows], np.array([y for *_, y in rows]))
+    text = " ".join(t for _, t, _, _ in rows)
+    own = toxicity.word_buckets(model.rows)(text)
+    whole = model.logits([own])[0]
+    assert np.isfinite(whole) and whole == pytest.approx(model.logits([own, own])[1])
+
+
+# --- Jaccard join ----------------------------------------------------------------------
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, k):
+    w = WORDS.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def components(rows, k, percent):
+    sets, parent = [shingles(t, k) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                parent[root(i)] = root(j)
+    smallest = {}
+    for i, (d, _) in enumerate(rows):
+        smallest[root(i)] = min(smallest.get(root(i), d), d)
+    return {d: (len(sets[i]), smallest[root(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def near_copies(rnd, groups):
+    vocabulary, rows = [f"w{i}" for i in range(400)], []
+    for _ in range(groups):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.choice([1, 3, 5, 6, 7, 8, 10, 15, 30, 60, 120, 300]))]
+        for _ in range(rnd.randint(1, 10)):
+            text = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 12))):
+                at = rnd.randrange(len(text) + 1)
+                if rnd.random() < 0.5 and text:
+                    del text[min(at, len(text) - 1)]
+                else:
+                    text.insert(at, rnd.choice(vocabulary))
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
+def test_jaccard_join(spark, k, percent):
+    rows = near_copies(random.Random(k), 40)
+    for text in ("", None, " \n", "A b", "a B", "a b c d", "a b c"):
+        rows.append((len(rows), text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_sets(df, k=k, percent=percent).collect()}
+    assert got == components(rows, k, percent)
+    kept = {r["doc_id"] for r in jaccard_join.keep_one(df, k=k, percent=percent).collect()}
+    assert kept == {d for d, (n, c) in got.items() if n == 0 or c == d}
+
+
+def test_jaccard_join_odd_rows(odd, empty):
+    rows = jaccard_join.join_sets(odd).collect()
+    assert len(rows) == odd.count()
+    assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 5, 6)} == {1, 5}
+    kept = jaccard_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 7, 8, 9]
+    assert jaccard_join.join_sets(empty).count() == 0 and jaccard_join.keep_one(empty).count() == 0
