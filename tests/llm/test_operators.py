@@ -288,7 +288,10 @@ def test_fingerprint_likeness(spark):
     rows = [(2 * i, t) for i, t in enumerate(texts)] + [(2 * i + 1, t) for i, t in enumerate(near)]
     prints = edit_fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
     found = {(r["doc_id"], r["leader"]) for r in edit_fingerprint.near_documents(prints).collect()}
-    assert len(found & {(2 * i + 1, 2 * i) for i in range(30)}) >= 27 and len(found) <= 30
+    # Equal fingerprints are one candidate; the others must be found if they are alike enough.
+    differ = {(2 * i + 1, 2 * i) for i in range(30) if (a[i] != b[i]).any()}
+    alike = {(2 * i + 1, 2 * i) for i in range(30) if 0.8 <= edit_fingerprint.likeness(a, b)[i] < 1}
+    assert alike <= found <= differ
 
 
 # --- toxicity --------------------------------------------------------------------------
