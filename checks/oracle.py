@@ -8,7 +8,7 @@ groups and marks.
 from __future__ import annotations
 
 from shelfmark.functions.text import (
-    _FOLDER, _START_ONLY, _WHOLE, NO_DOCUMENT_SUMMARY, NO_FOLDER_SUMMARY,
+    _ANSWER, _FOLDER, _START_ONLY, _WHOLE, NO_DOCUMENT_SUMMARY, NO_FOLDER_SUMMARY,
 )
 from shelfmark.operators.folders import EMPTY_FOLDER
 
@@ -65,6 +65,14 @@ def distance(a: str, b: str) -> str:
     return f"round(1 - list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
 
 
+def mark(summary: str) -> str:
+    """A digest over a group's summaries, whatever their order."""
+    lanes = " || ':' || ".join(
+        f"sum(('0x' || substr(sha256({summary}), {1 + 15 * i}, 15))::BIGINT::HUGEINT)::VARCHAR" for i in range(4)
+    )
+    return f"count(*) || ':' || {lanes}"
+
+
 def cut(name: str, source: str, key: str) -> dict[str, str]:
     """Views that cut the texts of ``source`` (key, text) into segments: one step of the
     walk looks at one sentence, with the open segment as places ``a..e`` in the list."""
@@ -175,16 +183,19 @@ VIEWS: dict[str, str] = {
     "blob_times": """
         SELECT string_split(name, '/')[1] AS snapshot, max(last_modified) AS last_modified FROM blobs
         WHERE contains(name, '/') GROUP BY 1""",
-    "doc_texts": f"SELECT folder, string_agg(summary, {SEP} ORDER BY summary) AS text FROM docs GROUP BY folder",
+    "doc_texts": f"""
+        SELECT folder, string_agg(summary, {SEP} ORDER BY summary) AS text, {mark('summary')} AS mark
+        FROM docs GROUP BY folder""",
     **{
         f"level{d}": f"""
         SELECT *, sha256('folder:' || hash) AS id, coalesce({lead('text', 'This folder ')}, CASE
             WHEN trim(text) = '' THEN {quoted(EMPTY_FOLDER)} ELSE {quoted(NO_FOLDER_SUMMARY)} END) AS summary
-        FROM (SELECT *, sha256(path || '+' || text) AS hash FROM (
-          SELECT t.*, {'' if d == 3 else "coalesce(k.text, '') || "}coalesce(x.text, '') AS text FROM tree t
+        FROM (SELECT *, sha256(path || '+' || mark) AS hash FROM (
+          SELECT t.*, {'' if d == 3 else "coalesce(k.text, '') || "}coalesce(x.text, '') AS text,
+            {"''" if d == 3 else "coalesce(k.mark, '')"} || '|' || coalesce(x.mark, '') AS mark FROM tree t
           LEFT JOIN doc_texts x ON x.folder = t.path
-          {'' if d == 3 else f'''LEFT JOIN (SELECT parent, string_agg(summary, {SEP} ORDER BY summary) AS text
-            FROM level{d + 1} GROUP BY parent) k ON k.parent = t.path'''} WHERE depth = {d}))"""
+          {'' if d == 3 else f'''LEFT JOIN (SELECT parent, string_agg(summary, {SEP} ORDER BY summary) AS text,
+            {mark('summary')} AS mark FROM level{d + 1} GROUP BY parent) k ON k.parent = t.path'''} WHERE depth = {d}))"""
         for d in (3, 2, 1)
     },
     "fresh": "SELECT * FROM level3 UNION ALL SELECT * FROM level2 UNION ALL SELECT * FROM level1",
@@ -214,6 +225,11 @@ VIEWS: dict[str, str] = {
         SELECT * FROM (SELECT query_id, s.id, distance, s.text, s.document_id,
             row_number() OVER (PARTITION BY query_id ORDER BY distance, s.id)::INT AS rank
           FROM doc_distances JOIN segments s USING (doc_id)) WHERE rank <= 20""",
+    "contexts": f"""
+        SELECT query_id, count(*) AS n, string_agg(text, {NL} || {NL} ORDER BY rank) AS context FROM (
+          SELECT *, coalesce(sum(len({words('text')})) OVER (PARTITION BY query_id ORDER BY rank
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM segment_hits)
+        WHERE b < 500 GROUP BY 1""",
     "folder_docs": f"""
         SELECT folder, page, {bars('name', 'id')} AS names, {bars('summary', 'id')} AS summaries,
           {bars('file_path', 'id')} AS paths, string_agg(name, '<br>– ' ORDER BY name) AS sorted_names,
@@ -260,7 +276,10 @@ BODIES: dict[str, str] = {
         ORDER BY blob_times.last_modified DESC, snapshot DESC LIMIT 1""",
     "snapshot_times": """
         SELECT snapshot, strftime(last_modified, '%Y-%m-%d %H:%M:%S') AS last_modified FROM blob_times""",
-    "restore_snapshot": "SELECT id, name, file_path, folder, doc_type, hash, summary FROM docs",
+    "restore_snapshot": """
+        SELECT 'documents' AS table_name, id, name, file_path, hash, summary, round(list_sum(vector::DOUBLE[]), 4) AS vector_sum
+        FROM docs JOIN vectors USING (doc_id)
+        UNION ALL SELECT 'folders', id, name, file_path, hash, summary, round(list_sum(vector::DOUBLE[]), 4) FROM folders""",
     "reconcile_schema": "SELECT doc_id, text, 9 AS n_null FROM documents",
     "insert_object": """
         SELECT id, file_path, hash, NULL AS name FROM stored
@@ -295,8 +314,10 @@ BODIES: dict[str, str] = {
           coalesce(p.documents, '') AS documents, coalesce(p.folders, '') AS folders
         FROM folders f LEFT JOIN folder_pages p USING (file_path)""",
     "list_segments": """
+        SELECT s.id, s.text, t.name AS document, s.created_ms FROM segments s JOIN texts t USING (doc_id)""",
+    "list_segments_limited": """
         SELECT s.id, s.text, t.name AS document, s.created_ms FROM segments s JOIN texts t USING (doc_id)
-        ORDER BY s.id LIMIT 10000""",
+        ORDER BY s.id LIMIT 1000""",
     "flatten_documents": """
         SELECT query_id, distance, name, file_path, replace(summary, chr(10), '<br/>') AS summary
         FROM doc_hits JOIN docs USING (id)""",
@@ -374,13 +395,18 @@ BODIES: dict[str, str] = {
         SELECT {_HIT_COLUMNS}, h.text, d.name AS document, 0::BIGINT AS created_ms
         FROM segment_hits h JOIN docs d ON d.id = h.document_id""",
     "search_context": f"""
-        SELECT q.query_id, coalesce(n, 0)::INT AS n_segments, context FROM queries q LEFT JOIN (
-          SELECT query_id, count(*) AS n, string_agg(text, {NL} || {NL} ORDER BY rank) AS context FROM (
-            SELECT *, coalesce(sum(len({words('text')})) OVER (PARTITION BY query_id ORDER BY rank
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM segment_hits)
-          WHERE b < 500 GROUP BY 1) USING (query_id)""",
-    "limit_rows": "SELECT path, ord, text FROM units ORDER BY path, ord LIMIT 10000",
-    "sort_summaries": "SELECT folder, text FROM doc_texts",
+        SELECT q.query_id, coalesce(n, 0)::INT AS n_segments, context FROM queries q LEFT JOIN contexts USING (query_id)""",
+    "search_answers": f"""
+        SELECT query_id, n::INT AS n_segments, 'A prompt of ' || length({quoted(_ANSWER)} || {NL} || '###' || {NL}
+          || 'QUESTION:' || {NL} || 'What is topic ' || query_id || '?' || {NL} || '###' || {NL} || 'PASSAGES:' || {NL}
+          || context) AS answer FROM contexts
+        UNION ALL SELECT -1, 0, NULL""",
+    "limit_rows": "SELECT path, ord, text FROM units ORDER BY path, ord LIMIT 5000",
+    "sort_summaries": f"""
+        SELECT folder, (rn - 1) // 1000 AS part,
+          string_agg(summary || CASE WHEN rn < n THEN {SEP} ELSE '' END, '' ORDER BY rn) AS text
+        FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY summary, id) AS rn,
+          count(*) OVER (PARTITION BY folder) AS n FROM docs) GROUP BY ALL""",
     "upsert_documents": """
         SELECT id, file_path, hash FROM stored WHERE file_path NOT IN (SELECT path FROM changed)
         UNION ALL SELECT sha256('document:' || hash), path, hash FROM changed""",
@@ -392,7 +418,7 @@ BODIES: dict[str, str] = {
         SELECT id, path AS file_path, hash, summary FROM fresh
         UNION ALL SELECT id, file_path, hash, summary FROM older WHERE file_path NOT IN (SELECT path FROM fresh)""",
     "document_hash": "SELECT path, sha256(path || '+' || name || '+' || text) AS hash FROM accepted",
-    "folder_hash": "SELECT folder, sha256(folder || '+' || text) AS hash FROM doc_texts",
+    "folder_hash": "SELECT folder, sha256(folder || '+' || mark) AS hash FROM doc_texts",
     "truncate_tokens": f"""
         SELECT doc_id, CASE WHEN len(w) > 5000 THEN array_to_string(w[1:5000], ' ') ELSE text END AS text,
           len(w) > 5000 AS truncated FROM (SELECT doc_id, text, {words('text')} AS w FROM documents)""",
@@ -430,6 +456,14 @@ BODIES: dict[str, str] = {
           WHEN NOT contains(text, {NL}) THEN coalesce({lead('text', 'Lines: ', 5)}, 'no answer')
           ELSE 'no answer' END AS answer FROM conversations""",
     "classify_segments": "SELECT id, regexp_matches(text, '[.!?]') AS meaningful FROM segments",
+    "run_index_models": """
+        SELECT id, file_path, 'Of ' || length(t.text) || ' characters' AS summary,
+          length('Of ' || length(t.text) || ' characters')::DOUBLE AS v0,
+          len(regexp_extract_all('Of ' || length(t.text) || ' characters', 'e'))::DOUBLE AS v1,
+          coalesce(n, 0)::BIGINT AS n_segments, coalesce(chars, 0)::DOUBLE AS n_chars
+        FROM (SELECT doc_id, id, path AS file_path, text FROM texts) t LEFT JOIN (
+          SELECT doc_id, count(*) AS n, sum(length(text)) AS chars FROM chunks WHERE length(text) % 3 <> 0
+          GROUP BY 1) USING (doc_id)""",
     "refresh_index": """
         SELECT id, name, file_path, hash, summary, coalesce(n, 0)::BIGINT AS n_segments FROM docs LEFT JOIN (
           SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) USING (doc_id)""",

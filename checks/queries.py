@@ -108,10 +108,19 @@ def snapshot_times(v):
 @query
 def restore_snapshot(v):
     root = new_scratch_path(v.spark, "snapshots")
-    S.write_snapshot({"documents": v.documents.limit(0)}, root, "/older")
-    S.write_snapshot({"documents": v.documents.drop("doc_id")}, root, "/corpus")
-    restored = S.restore_snapshot(v.spark, root)["documents"]
-    return restored.select("id", "name", "file_path", "folder", "doc_type", "hash", "summary")
+    indexed = v.vector_documents.drop("doc_id")
+    S.write_snapshot({"documents": indexed, "folders": v.plain_folders}, root, "/corpus")
+    S.write_snapshot({"documents": indexed.where("doc_type = 'pdf'")}, root, "/other")
+    tables = S.restore_snapshot(v.spark, root, path="/corpus")
+    fields = ["id", "name", "file_path", "hash", "summary"]
+    one = lambda name: tables[name].select(
+        F.lit(name).alias("table_name"), *fields,
+        F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("vector_sum"),
+    )
+    empty = tables["segments"].select(
+        F.lit("segments"), "id", F.lit(""), F.lit(""), F.lit(""), "text", F.lit(0.0)
+    )
+    return one("documents").unionByName(one("folders")).union(empty)
 
 
 @query
@@ -234,6 +243,11 @@ def list_segments(v):
     return O.list_segments(v.segments, v.index_documents)
 
 
+@query
+def list_segments_limited(v):
+    return O.list_segments(v.segments, v.index_documents, limit=1000)
+
+
 @query
 def flatten_documents(v):
     return O.flat_documents(O.search_documents(v.queries, v.vector_documents))
@@ -339,7 +353,7 @@ def stale_folders(v):
 
 @query
 def query_corpus_pairs(v):
-    """Every query vector against every corpus vector, block by block: the way taken for
+    """Every query vector against every corpus vector, batch by batch: the way taken for
     more queries than are broadcast."""
     corpus = v.vectors.select(F.col("doc_id").cast("string").alias("id"), "vector")
     return O.nearest(v.queries, corpus, k=15, max_queries=4)
@@ -463,6 +477,26 @@ def search_context(v):
     return O.search_context(v.queries, v.vector_segments, v.index_documents, word_budget=500)
 
 
+@query
+def search_answers(v):
+    """The context of each query with an answer; the provider tells how long its prompt is."""
+
+    @dataclass(frozen=True)
+    class Length:
+        def column(self, text: Column) -> Column:
+            return F.concat(F.lit("A prompt of "), F.length(text).cast("string"))
+
+    asked = v.queries.withColumn("question", F.concat(F.lit("What is topic "), "query_id", F.lit("?")))
+    without = v.spark.range(1).select(
+        F.lit(-1).cast("long").alias("query_id"), F.lit(None).cast("array<float>").alias("vector"),
+        F.lit("No vector?").alias("question"),
+    )
+    asked = asked.unionByName(without)
+    return O.search_context(
+        asked, v.vector_segments, v.index_documents, word_budget=500, provider=Length()
+    ).select("query_id", "n_segments", "answer")
+
+
 @query
 def search_ann(v):
     corpus = v.vectors.select(F.col("doc_id").cast("string").alias("id"), "vector")
@@ -488,12 +522,13 @@ def search_texts(v):
 
 @query
 def limit_rows(v):
-    return _units(v).orderBy("path", "ord").limit(10_000)
+    return O.limit_rows(_units(v), 5000, "path", "ord")
 
 
 @query
 def sort_summaries(v):
-    return O.bounded_texts(v.index_documents, "folder").select("folder", "text")
+    documents = v.index_documents.select("folder", F.lit(1).alias("kind_ord"), "id", "summary")
+    return O.summary_text_parts(documents).select("folder", "part", "text")
 
 
 # --- set operations --------------------------------------------------------------------
@@ -535,8 +570,8 @@ def document_hash(v):
 
 @query
 def folder_hash(v):
-    texts = O.bounded_texts(v.index_documents, "folder")
-    return texts.select("folder", C.folder_hash(F.col("folder"), F.col("text")).alias("hash"))
+    marks = O.content_marks(v.index_documents, "folder")
+    return marks.select("folder", C.folder_hash(F.col("folder"), F.col("mark")).alias("hash"))
 
 
 @query
@@ -559,7 +594,7 @@ def build_prompt(v):
 
 @query
 def build_folder_prompt(v):
-    texts = O.bounded_texts(v.index_documents, "folder")
+    texts = O.beginning_texts(v.index_documents, "folder")
     return texts.select("folder", C.folder_prompt(C.truncate_words(F.col("text"))["text"]).alias("prompt"))
 
 
@@ -683,6 +718,36 @@ def run_index(v):
     return tables["documents"].select("id", "name", "file_path", "folder", "doc_type", "hash", "summary")
 
 
+@query
+def run_index_models(v):
+    """A run with a chat model, an embedding model and a segment check, all of them Python."""
+    from shelfmark.plans import Settings
+    from shelfmark.plans import run_index as run
+
+    def chat():
+        return lambda texts: [f"Of {len(t)} characters" for t in texts]
+
+    def vectors():
+        return lambda texts: [[float(len(t)), float(sum(c == "e" for c in t))] for t in texts]
+
+    def check():
+        return lambda texts: [len(t) % 3 != 0 for t in texts]
+
+    model = O.BatchModel(chat)
+    tables = run(v.accepted, settings=Settings(
+        root="/corpus", now_ms=F.lit(0).cast("long"), document_summaries=(model,), folder_summaries=(model,),
+        vectors=O.BatchModel(vectors, "array<float>"), check_segments=True, segment_check=O.BatchModel(check, "boolean"),
+    ))
+    segments = tables["segments"].groupBy(F.col("document_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_segments"), F.sum(F.get("vector", F.lit(0))).alias("n_chars")
+    )
+    return tables["documents"].join(segments, "id", "left").select(
+        "id", "file_path", "summary", F.get("vector", F.lit(0)).cast("double").alias("v0"),
+        F.get("vector", F.lit(1)).cast("double").alias("v1"),
+        F.coalesce("n_segments", F.lit(0)).alias("n_segments"), F.coalesce("n_chars", F.lit(0.0)).alias("n_chars"),
+    )
+
+
 @query
 def refresh_index(v):
     """A run over an older state, then one over all files as they are: labelled documents

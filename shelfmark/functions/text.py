@@ -139,6 +139,10 @@ _FOLDER = (
     "the folder is about as a whole, without naming single documents or folders. If there are "
     "no summaries, say that the folder is empty. Begin with 'This folder'"
 )
+_ANSWER = (
+    "Answer the question from the passages below and from nothing else. If they do not hold the "
+    "answer, say so."
+)
 
 
 def document_prompt(doc_type: Column, text: Column, truncated: Column) -> Column:
@@ -152,6 +156,11 @@ def folder_prompt(text: Column) -> Column:
     return F.concat(F.lit(f"{_FOLDER} \n###\n "), text)
 
 
+def question_prompt(question: Column, context: Column) -> Column:
+    """What a model is asked to answer from the context; null without a context."""
+    return F.concat(F.lit(f"{_ANSWER}\n###\nQUESTION:\n"), question, F.lit("\n###\nPASSAGES:\n"), context)
+
+
 def lead_summary(text: Column, opening: str, n: int = 40) -> Column:
     """``opening`` and the first ``n`` words; null where there is no word."""
     return let(first_words(text, n), lambda head: F.when(head != "", F.concat(F.lit(opening), head)))

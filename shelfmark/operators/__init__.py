@@ -11,12 +11,12 @@ from shelfmark.operators.enrich import (
     BatchModel, LeadSummary, Provider, classify_segments, embed, fallback, hashed_vectors, summarise,
 )
 from shelfmark.operators.folders import (
-    ancestors, bounded_texts, count_items, nonempty_summaries, rollup, stale_folders,
+    ancestors, beginning_texts, content_marks, count_items, nonempty_summaries, rollup, stale_folders,
     summary_text_parts, upsert_folders, with_children,
 )
 from shelfmark.operators.grouping import child_pages, hot_keys, number_rows
 from shelfmark.operators.listing import (
-    document_segments, folder_document_ids, linked_documents, list_documents, list_folders,
+    document_segments, folder_document_ids, limit_rows, linked_documents, list_documents, list_folders,
     list_segments, lookup, segments_of,
 )
 from shelfmark.operators.search import (

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.vectors import l2_norm
 from shelfmark.operators.search import (
-    _HITS, DEFAULT_K, DIGITS, MAX_QUERIES, _kernel, _vectors, nearest, top_k,
+    _HITS, DEFAULT_K, DIGITS, MAX_QUERIES, _in_batches, _kernel, _vectors, nearest, top_k,
 )
 from shelfmark.runtime import bounded_rows
 
@@ -158,14 +158,12 @@ def nearest_stored(queries: DataFrame, path: str, k: int = DEFAULT_K, digits: in
     """As ``nearest(exact=False)`` over vectors stored by :func:`write_buckets`.
 
     The buckets asked for are a filter on the clustered column, so the scan skips the row
-    groups of other buckets. More queries than are broadcast are answered exactly, from the
-    vectors of the first hash table, which holds each vector once.
+    groups of other buckets. More queries than are broadcast go in batches.
     """
     spark = queries.sparkSession
     few = bounded_rows(_vectors(queries, "query_id", "vector"), MAX_QUERIES)
     if few is None:
-        first = F.col("bucket").between(-TABLE_STEP // 2, TABLE_STEP // 2)
-        return nearest(queries, spark.read.parquet(f"{path}/vectors").where(first), k, digits=digits)
+        return _in_batches(queries, MAX_QUERIES, lambda part: nearest_stored(part, path, k, digits))
     if not few:
         return nearest(queries, queries.selectExpr("string(query_id) id", "vector"), k)
     model = BucketedRandomProjectionLSHModel.load(f"{path}/model")

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from shelfmark.functions.text import (
     DOCUMENT_OPENING, first_words, lead_summary, summary_or_default,
 )
+from shelfmark.runtime import materialise
 from shelfmark.schema import VECTOR
 
 # Fixed value: the longest summary, in words.
@@ -46,7 +47,8 @@ class LeadSummary:
 class BatchModel:
     """A user model: ``load()`` gives a function from a list of texts to a list of results.
 
-    Null texts are not sent to it. If a batch raises, its texts are sent one by one; those
+    Null texts are not sent to it. Its column is not deterministic, so Spark never computes it
+    twice for one use nor moves a filter on it in front of it. If a batch raises, its texts are sent one by one; those
     that raise again are null, for a later provider or a default to fill in.
     """
 
@@ -78,7 +80,7 @@ class BatchModel:
                 yield results
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(run, self.returns)(text)
+        return F.pandas_udf(run, self.returns).asNondeterministic()(text)
 
 
 def fallback(
@@ -131,19 +133,20 @@ def embed(
 ) -> DataFrame:
     """Add a vector for the text of each row.
 
-    With a provider, each distinct text is sent to it once and the vector is joined back on
-    the digest of the text. Copies are folded before the shuffle, and the join's side of
-    vectors has one row per digest, so a text that a third of the rows share only makes one
-    large probe partition, which adaptive execution splits.
+    With a provider, ``df`` is stored once: its texts may come from another model, which must
+    not be asked again. Each distinct text is sent to the provider once and the vector, stored
+    too, is joined back on the digest of the text. Copies are folded before the shuffle, and
+    the join's side of vectors has one row per digest, so a text that a third of the rows share
+    only makes one large probe partition, which adaptive execution splits.
     """
     if provider is None:
         return hashed_vectors(df, text, out)
-    keyed = df.withColumn("_digest", F.sha2(F.col(text), 256))
+    keyed = materialise(df.withColumn("_digest", F.sha2(F.col(text), 256)), "embedded")
     distinct = keyed.where(F.col(text).isNotNull()).groupBy("_digest").agg(
         F.first(text).alias("_text")
     )
-    vectors = distinct.select(
-        F.col("_digest"), provider.column(F.col("_text")).cast(VECTOR).alias(out)
+    vectors = materialise(
+        distinct.select(F.col("_digest"), provider.column(F.col("_text")).cast(VECTOR).alias(out)), "vectors"
     )
     return keyed.join(vectors, "_digest", "left").drop("_digest")
 

@@ -5,11 +5,10 @@ documents, joined. Two forms of it:
 
 * :func:`summary_text_parts` gives the whole text of any folder, in ordered parts, however
   many children it has.
-* :func:`rollup` needs it twice per folder: for the content hash and, up to the word
-  budget, as input for the summary. Up to ``MAX_CHILDREN`` summaries per kind the text is
-  one value and the hash is the digest of it. Beyond that one value would not hold it; the
-  beginning, exact and longer than the word budget, goes into the summary, and the hash is
-  made from an order-free digest over *all* summaries. It changes when any of them does.
+* :func:`rollup` needs its content hash, made from an order-free digest over all summaries, and
+  its first words up to the word budget, as input for the summary. Summaries have a word each
+  at least, so as many summaries as the budget has words hold that beginning. Both rules are
+  the same for a folder of any size.
 """
 
 from __future__ import annotations
@@ -23,15 +22,14 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import ancestor_paths, base_name, parent_path
 from shelfmark.functions.text import (
-    FOLDER_OPENING, NO_FOLDER_SUMMARY, SUMMARY_SEPARATOR, embedding_input, folder_hash, folder_id,
+    FOLDER_OPENING, NO_FOLDER_SUMMARY, SUMMARY_SEPARATOR, WORD_BUDGET, embedding_input, folder_hash, folder_id,
     folder_prompt, truncate_words,
 )
-from shelfmark.operators.enrich import LeadSummary, Provider, embed, summarise
+from shelfmark.operators.enrich import SUMMARY_WORDS, LeadSummary, Provider, embed, summarise
 from shelfmark.operators.grouping import hot_keys, number_rows
 from shelfmark.runtime import materialise
 from shelfmark.schema import FOLDERS, VECTOR
 
-MAX_CHILDREN = 20_000
 PART_SIZE = 1000
 EMPTY_FOLDER = f"{FOLDER_OPENING}is empty"
 
@@ -108,56 +106,43 @@ def summary_text_parts(children: DataFrame, part_size: int = PART_SIZE) -> DataF
     )
 
 
-# --- bounded text and digest, per folder -----------------------------------------------
+# --- digest and beginning, per folder ---------------------------------------------------
 
 # Hex digits in each of the four lanes that a SHA-256 digest is summed in.
 _LANE = 15
 
 
-def _multiset_digest(value: Column) -> list[Column]:
-    digest = F.sha2(value, 256)
-    return [
+def content_marks(children: DataFrame, key: str) -> DataFrame:
+    """(key, mark): a digest over all non-empty summaries of each key, whatever their order.
+
+    Sums of digest lanes, so it is combined where the summaries are read.
+    """
+    digest = F.sha2("summary", 256)
+    lanes = [
         F.sum(F.conv(F.substring(digest, 1 + _LANE * i, _LANE), 16, 10).cast("decimal(38,0)")).alias(f"_lane{i}")
         for i in range(4)
     ]
+    sums = nonempty_summaries(children).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *lanes)
+    return sums.select(key, F.concat_ws(":", "_n", *[F.col(f"_lane{i}") for i in range(4)]).alias("mark"))
 
 
-def bounded_texts(
-    children: DataFrame,
-    key: str,
-    max_children: int = MAX_CHILDREN,
-    hot: DataFrame | None | str = "count",
+def beginning_texts(
+    children: DataFrame, key: str, n_words: int = WORD_BUDGET, hot: DataFrame | None | str = "count"
 ) -> DataFrame:
-    """(key, text, mark): sorted summaries of each key, joined.
+    """(key, text): the first ``n_words`` words, at least, of the sorted summaries of each key.
 
-    ``mark`` is null where ``text`` is whole. For a key with more than ``max_children``
-    children ``text`` is made of the first ``max_children`` summaries and ``mark`` is a
-    digest of all. ``hot`` are those keys where the caller has counted already.
+    Of a key with more summaries than that only the first ``n_words`` in order, and one more for
+    the separator after them, are collected; ``hot`` are those keys where the caller has counted already.
     """
-    rows = nonempty_summaries(children).select(key, "id", "summary")
+    rows = children.where(F.trim(F.coalesce("summary", F.lit(""))) != "").select(key, "id", "summary")
     text = F.array_join(F.array_sort(F.collect_list("summary")), SUMMARY_SEPARATOR).alias("text")
-    no_mark = F.lit(None).cast("string").alias("mark")
     if isinstance(hot, str):
-        hot = hot_keys(children, key, max_children)
+        hot = hot_keys(rows, key, n_words)
     if hot is None:
-        return rows.groupBy(key).agg(text).select(key, "text", no_mark)
-    small = rows.join(hot, key, "left_anti").groupBy(key).agg(text).select(key, "text", no_mark)
-    large = rows.join(hot.select(key), key, "left_semi")
-    begin = (
-        number_rows(large, [key], ["summary", "id"])
-        .where(F.col("rn") <= max_children)
-        .groupBy(key)
-        .agg(text)
-    )
-    lanes = large.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *_multiset_digest(F.col("summary")))
-    mark = F.concat_ws(":", "_n", *[F.col(f"_lane{i}") for i in range(4)])
-    return small.unionByName(
-        begin.join(lanes.select(key, mark.alias("mark")), key).select(key, "text", "mark")
-    )
-
-
-def _hashed_text(folders: Column, folders_mark: Column, documents: Column, documents_mark: Column) -> Column:
-    return F.concat(F.coalesce(folders_mark, folders), F.coalesce(documents_mark, documents))
+        return rows.groupBy(key).agg(text)
+    few = rows.join(hot, key, "left_anti").groupBy(key).agg(text)
+    many = number_rows(rows.join(hot.select(key), key, "left_semi"), [key], ["summary", "id"])
+    return few.unionByName(many.where(F.col("rn") <= n_words + 1).groupBy(key).agg(text))
 
 
 def rollup(
@@ -168,7 +153,8 @@ def rollup(
     vectors: Provider | None = None,
     prompts: bool = False,
     now_ms: Column | None = None,
-    max_children: int = MAX_CHILDREN,
+    word_budget: int = WORD_BUDGET,
+    summary_words: int = SUMMARY_WORDS,
 ) -> DataFrame:
     """Folder records, leaves first: each level is summarised from the level below it.
 
@@ -176,67 +162,62 @@ def rollup(
     There is one pass per level of the tree, over that level's folders only; documents are
     grouped once, before. Every level is written to the shared folder, so the lineage stays
     one level deep. A folder whose hash is in ``stored`` keeps the stored record, and no
-    provider is called for it. With ``prompts`` providers get the whole prompt rather than
-    the text.
+    provider is called for it. Providers get the first ``word_budget`` words of a folder's
+    text or, with ``prompts``, the prompt around them.
     """
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
-    of_documents = bounded_texts(documents, "folder", max_children).select(
-        F.col("folder").alias("path"), F.col("text").alias("_dt"), F.col("mark").alias("_dm")
-    )
-    base = materialise(folders.join(of_documents, "path", "left"), "folders")
+
+    def read(children: DataFrame, key: str, text: str, mark: str, hot) -> DataFrame:
+        found = content_marks(children, key).join(beginning_texts(children, key, word_budget, hot), key, "left")
+        return found.select(F.col(key).alias("path"), F.col("text").alias(text), F.col("mark").alias(mark))
+
+    base = materialise(folders.join(read(documents, "folder", "_dt", "_dm", "count"), "path", "left"), "folders")
     deepest = base.agg(F.max("depth")).first()[0] or 0
-    crowded = hot_keys(base.where(F.col("parent").isNotNull()), "parent", max_children)
+    crowded = hot_keys(base.where(F.col("parent").isNotNull()), "parent", word_budget)
 
     levels: list[DataFrame] = []
     below: DataFrame | None = None
     for depth in range(deepest, 0, -1):
         level = base.where(F.col("depth") == depth)
         if below is None:
-            level = level.withColumns({"_ft": F.lit(""), "_fm": F.lit(None).cast("string")})
+            level = level.withColumns({"_ft": F.lit(""), "_fm": F.lit("")})
         else:
-            of_folders = bounded_texts(below, "parent", max_children, crowded).select(
-                F.col("parent").alias("path"), F.col("text").alias("_ft"), F.col("mark").alias("_fm")
-            )
-            level = level.join(of_folders, "path", "left")
-        level = level.na.fill("", ["_ft", "_dt"]).withColumn("_text", F.concat("_ft", "_dt"))
-        level = level.withColumn(
-            "hash", folder_hash(F.col("path"), _hashed_text(*map(F.col, ("_ft", "_fm", "_dt", "_dm"))))
-        ).drop("_ft", "_fm", "_dt", "_dm")
-        below = materialise(_summarised(level, stored, providers, prompts, now_ms), f"level{depth}")
+            level = level.join(read(below, "parent", "_ft", "_fm", crowded), "path", "left")
+        level = level.na.fill("", ["_ft", "_fm", "_dt", "_dm"])
+        level = level.withColumns({
+            "_text": truncate_words(F.concat("_ft", "_dt"), word_budget)["text"],
+            "hash": folder_hash(F.col("path"), F.concat_ws("|", "_fm", "_dm")),
+        }).drop("_ft", "_fm", "_dt", "_dm")
+        known = None if stored is None else stored.where(F.col("depth") == depth)
+        below = materialise(_summarised(level, known, providers, prompts, now_ms, summary_words), f"level{depth}")
         levels.append(below)
     if not levels:
         return folders.sparkSession.createDataFrame([], FOLDERS)
     return _with_vectors(reduce(DataFrame.unionByName, levels), vectors)
 
 
-def _summarised(level, stored, providers, prompts, now_ms) -> DataFrame:
+def _summarised(level, stored, providers, prompts, now_ms, summary_words) -> DataFrame:
     """Records of one level; a summary is asked for only where the hash is not stored yet.
 
-    New records have no vector so far.
+    New records have no vector so far. A provider gets null, and skips it, for known folders.
     """
-    todo = level
-    kept = None
-    if stored is not None:
-        known = stored.select("hash", *[F.col(c).alias(f"_{c}") for c in ("id", "summary", "vector", "created_ms")])
-        known = known.dropDuplicates(["hash"])
-        kept = level.join(known, "hash").select(
-            F.col("_id").alias("id"), "name", F.col("path").alias("file_path"), "parent", "depth",
-            "hash", F.col("_summary").alias("summary"), F.col("_vector").alias("vector"),
-            F.col("_created_ms").alias("created_ms"),
-        )
-        todo = level.join(known.select("hash"), "hash", "left_anti")
-    asked = "_text"
-    if prompts:
-        asked = "_prompt"
-        todo = todo.withColumn("_prompt", folder_prompt(truncate_words(F.col("_text"))["text"]))
-    todo = summarise(todo, asked, providers)
+    fields = ("id", "summary", "vector", "created_ms")
+    if stored is None:
+        level = level.withColumns({"_id": F.lit(None).cast("string"), "_summary": F.lit(None).cast("string"),
+                                   "_vector": F.lit(None).cast(VECTOR), "_created_ms": F.lit(None).cast("long")})
+    else:
+        known = stored.select("hash", *[F.col(c).alias(f"_{c}") for c in fields]).dropDuplicates(["hash"])
+        level = level.join(known, "hash", "left")
+    text = folder_prompt(F.col("_text")) if prompts else F.col("_text")
+    level = level.withColumn("_asked", F.when(F.col("_id").isNull(), text))
+    done = summarise(level, "_asked", providers, max_words=summary_words)
     missing = F.when(F.trim("_text") == "", EMPTY_FOLDER).otherwise(NO_FOLDER_SUMMARY)
-    new = todo.select(
-        folder_id(F.col("hash")).alias("id"), "name", F.col("path").alias("file_path"), "parent",
-        "depth", "hash", F.coalesce("summary", missing).alias("summary"),
-        F.lit(None).cast(VECTOR).alias("vector"), now_ms.alias("created_ms"),
+    fresh = F.col("_id").isNull()
+    return done.select(
+        F.coalesce("_id", folder_id(F.col("hash"))).alias("id"), "name", F.col("path").alias("file_path"), "parent",
+        "depth", "hash", F.when(fresh, F.coalesce("summary", missing)).otherwise(F.col("_summary")).alias("summary"),
+        F.col("_vector").alias("vector"), F.when(fresh, now_ms).otherwise(F.col("_created_ms")).alias("created_ms"),
     )
-    return new if kept is None else new.unionByName(kept)
 
 
 def _with_vectors(records: DataFrame, vectors: Provider | None) -> DataFrame:

@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.grouping import child_pages
-from shelfmark.operators.search import folder_pages, named_segments
+from shelfmark.operators.search import folder_pages, named_segments, segment_documents
 from shelfmark.runtime import materialise
 
-# Fixed value: the most segments one listing gives.
-SEGMENT_LIST_LIMIT = 10_000
-
 
 def lookup(
     table: DataFrame,
@@ -85,10 +82,17 @@ def list_folders(folders: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def list_segments(segments: DataFrame, documents: DataFrame, limit: int = SEGMENT_LIST_LIMIT) -> DataFrame:
-    """The first ``limit`` segments by id, with the name of their document."""
+def limit_rows(table: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in the given order."""
+    return table.orderBy(*order).limit(n)
+
+
+def list_segments(segments: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """All segments, or the first ``limit`` by id, with the name of their document."""
     columns = segments.select("id", "document_id", "text", "created_ms")
-    first = materialise(columns.orderBy("id").limit(limit), "listing")
+    if limit is None:
+        return segment_documents(columns, documents).select("id", "text", "document", "created_ms")
+    first = materialise(limit_rows(columns, limit, "id"), "listing")
     return named_segments(first, documents).select("id", "text", "document", "created_ms")
 
 

@@ -3,13 +3,14 @@
 Every query vector has to be compared with every corpus vector, but no pair is ever a row:
 a task multiplies its block of corpus vectors with a block of queries and keeps the k best
 per query, so what leaves it is k rows per query. Up to ``MAX_QUERIES`` query vectors are
-broadcast and the corpus is read in place, without a shuffle. Beyond that, queries and
-corpus meet block by block on a grid.
+broadcast and the corpus is read in place, without a shuffle. More queries go in batches of
+that size, one after the other, each past the corpus where it lies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import break_to_html, count_words
+from shelfmark.functions.text import WORD_BUDGET, break_to_html, count_words, question_prompt
+from shelfmark.operators.enrich import Provider
 from shelfmark.operators.grouping import child_pages
 from shelfmark.runtime import bounded_rows, materialise, small
 
@@ -25,7 +27,6 @@ from shelfmark.runtime import bounded_rows, materialise, small
 DEFAULT_K = 20
 DIGITS = 6
 MAX_QUERIES = 4096
-GRID_ROWS = 16_384
 MERGE_SALT = 64
 
 _HITS = "query_id long, id string, distance double"
@@ -108,48 +109,16 @@ def _broadcast_scores(queries: list, corpus: DataFrame, k: int, digits: int) ->
     return corpus.mapInArrow(scan, _HITS)
 
 
-def _grid_scores(queries: DataFrame, corpus: DataFrame, k: int, digits: int) -> DataFrame:
-    """As above for any number of queries: blocks of both sides meet on a grid."""
-    matrix, best = _kernel()
-    n_queries = queries.count()
-    n_rows = corpus.count()
-    q_blocks = -(-n_queries // MAX_QUERIES) or 1
-    c_blocks = -(-n_rows // GRID_ROWS) or 1
-
-    def block(column: str, blocks: int):
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+def _in_batches(queries: DataFrame, max_queries: int, ask) -> DataFrame:
+    """Hits of more queries than are broadcast: ``ask`` for each batch, stored before the next.
 
-    left = queries.withColumn("qb", block("query_id", q_blocks)).withColumn("cb", every(c_blocks))
-    right = corpus.withColumn("cb", block("id", c_blocks)).withColumn("qb", every(q_blocks))
-
-    def score(q: pa.Table, c: pa.Table) -> pa.Table:
-        import numpy as np
-        import pyarrow as pa
-
-        names, found, near = [], [], []
-        if q.num_rows and c.num_rows:
-            ids = c.column("id").to_numpy()
-            scores = matrix(q.column("vector")) @ matrix(c.column("vector")).T
-            for name, row in zip(q.column("query_id").to_pylist(), scores):
-                distances = np.round(1.0 - row, digits) + 0.0
-                places = best(distances, ids, k)
-                names += [name] * len(places)
-                found += ids[places].tolist()
-                near += distances[places].tolist()
-        return pa.table(
-            {
-                "query_id": pa.array(names, pa.int64()),
-                "id": pa.array(found, pa.string()),
-                "distance": pa.array(near, pa.float64()),
-            }
-        )
-
-    return (
-        left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(score, _HITS)
-    )
+    Batches are dealt by hash, half full on average; one that is too full is dealt again.
+    """
+    parts = -(-2 * queries.count() // max_queries)
+    batch = F.pmod(F.xxhash64("query_id", F.lit(parts)), F.lit(parts))
+    dealt = materialise(queries.withColumn("_batch", batch), "queries")
+    found = [materialise(ask(dealt.where(F.col("_batch") == i).drop("_batch")), "hits") for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def top_k(scored: DataFrame, k: int, salt: int = MERGE_SALT) -> DataFrame:
@@ -193,14 +162,13 @@ def nearest(
     if few == []:
         return queries.sparkSession.createDataFrame([], f"{_HITS}, rank int")
     if few is None:
-        scored = _grid_scores(queries, corpus, k, digits)
-    elif not exact:
+        again = lambda part: nearest(part, corpus, k, exact, digits, max_queries, **lsh)
+        return _in_batches(queries, max_queries, again)
+    if not exact:
         from shelfmark.operators.ann import nearest_in_buckets
 
         return nearest_in_buckets(few, corpus, k, digits, **lsh)
-    else:
-        scored = _broadcast_scores(few, corpus, k, digits)
-    return top_k(scored, k)
+    return top_k(_broadcast_scores(few, corpus, k, digits), k)
 
 
 # --- the three collections -------------------------------------------------------------
@@ -259,13 +227,16 @@ def search_context(
     segments: DataFrame,
     documents: DataFrame,
     k: int = DEFAULT_K,
-    word_budget: int = 5000,
+    word_budget: int = WORD_BUDGET,
+    provider: Provider | None = None,
+    question: str = "question",
     **how,
 ) -> DataFrame:
     """(query_id, n_segments, context): the hits of each query as one text for an answer.
 
     Segments are taken in rank order while the words before them are within the budget. A
-    query without hits has a null context.
+    query without hits has a null context. With a ``provider`` there is a column ``answer``:
+    what it says to the query's ``question`` and context; null where there is no context.
     """
     hits = search_segments(queries, segments, documents, k, **how)
     before = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
@@ -278,9 +249,14 @@ def search_context(
         F.size("parts").alias("n_segments"),
         F.array_join(F.col("parts.text"), "\n\n").alias("context"),
     )
-    return queries.select("query_id").join(texts, "query_id", "left").select(
-        "query_id", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), "context"
+    found = queries.select("query_id", *([question] if provider else [])).join(texts, "query_id", "left").withColumn(
+        "n_segments", F.coalesce("n_segments", F.lit(0))
     )
+    columns = ["query_id", "n_segments", "context"]
+    if provider is None:
+        return found.select(columns)
+    asked = materialise(found.withColumn("_asked", question_prompt(F.col(question), F.col("context"))), "asked")
+    return asked.select(*columns, provider.column(F.col("_asked")).alias("answer"))
 
 
 # --- joins and flat rows ---------------------------------------------------------------

@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import (
-    DOCUMENT_OPENING, FOLDER_OPENING, NO_DOCUMENT_SUMMARY, document_hash, document_id,
+    DOCUMENT_OPENING, FOLDER_OPENING, NO_DOCUMENT_SUMMARY, WORD_BUDGET, document_hash, document_id,
     document_prompt, embedding_input, extracted_text, is_substantial, truncate_words,
 )
 from shelfmark.operators.changes import cascade_delete, changed_or_new, gone_rows, stale_rows
 from shelfmark.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
-from shelfmark.operators.enrich import LeadSummary, Provider, classify_segments, embed, summarise
+from shelfmark.operators.enrich import (
+    SUMMARY_WORDS, LeadSummary, Provider, classify_segments, embed, summarise,
+)
 from shelfmark.operators.folders import ancestors, rollup, upsert_folders
-from shelfmark.runtime import materialise, new_scratch_path, spread
+from shelfmark.runtime import bounded_rows, materialise, new_scratch_path, spread
 from shelfmark.sources.snapshots import new_snapshot_id, write_manifest, write_table
 
 
@@ -28,6 +30,8 @@ class Settings:
     folder_summaries: Sequence[Provider] = (LeadSummary(FOLDER_OPENING),)
     vectors: Provider | None = None
     prompts: bool = False
+    word_budget: int = WORD_BUDGET
+    summary_words: int = SUMMARY_WORDS
     check_segments: bool = False
     segment_check: Provider | None = None
     chunk_size: int = CHUNK_SIZE
@@ -51,12 +55,14 @@ def document_records(texts: DataFrame, settings: Settings) -> DataFrame:
     """Document records of extracted files, with summary and vector."""
     asked = "text"
     if settings.prompts:
-        cut = truncate_words(F.col("text"))
+        cut = truncate_words(F.col("text"), settings.word_budget)
         texts = texts.withColumn("_cut", cut).withColumn(
             "_prompt", document_prompt(F.col("ext"), F.col("_cut.text"), F.col("_cut.truncated"))
         )
         asked = "_prompt"
-    done = summarise(texts, asked, settings.document_summaries, message=NO_DOCUMENT_SUMMARY)
+    done = summarise(
+        texts, asked, settings.document_summaries, message=NO_DOCUMENT_SUMMARY, max_words=settings.summary_words
+    )
     done = done.select(
         document_id(F.col("hash")).alias("id"), "name", F.col("path").alias("file_path"), "folder",
         F.col("ext").alias("doc_type"), "hash", "summary",
@@ -92,14 +98,15 @@ def run_index(
     """The tables of the index after a run over accepted ``files``, a plain scan.
 
     Documents whose hash is stored are left as they are. The change test moves only paths
-    and hashes; texts are read again for the changed documents alone, so a re-run costs
-    what changed. The tables are written under ``target``, a folder that is not the one
+    and hashes; the texts of changed documents alone are stored and worked on. The tables are written under ``target``, a folder that is not the one
     ``stored`` is read from; by default one in the shared folder.
     """
     settings = settings or Settings()
     target = target or new_scratch_path(files.sparkSession, "index")
     texts = extracted(spread(files, "path"))
     if stored is None:
+        # Stored once: documents and segments are made from the same reading of each file.
+        texts = materialise(texts, "texts")
         documents, segments = document_records(texts, settings), segment_records(texts, settings)
     else:
         documents, segments = _refreshed(files, texts, stored, settings)
@@ -112,6 +119,7 @@ def run_index(
     folders = rollup(
         ancestors(files, settings.root), visited, stored and stored["folders"],
         settings.folder_summaries, settings.vectors, settings.prompts, settings.created(),
+        settings.word_budget, settings.summary_words,
     )
     if stored is not None and not settings.prune:
         folders = upsert_folders(stored["folders"], folders)
@@ -119,6 +127,24 @@ def run_index(
     return {"documents": documents, "segments": segments, "folders": folders}
 
 
+# Slots of the filter that keeps unchanged texts out of a shuffle.
+PATH_SLOTS = 1 << 20
+
+
+def _rows_at(texts: DataFrame, paths: DataFrame, few_paths: int = 200_000) -> DataFrame:
+    """The rows of ``texts`` at the stored ``paths``, without moving the other texts.
+
+    A few paths are broadcast. Of more, first the slots that their hashes fall in are (at most
+    ``PATH_SLOTS`` numbers), so only texts in those slots are shuffled for the exact join.
+    """
+    if bounded_rows(paths, few_paths) is not None:
+        return texts.join(F.broadcast(paths), "path", "left_semi")
+    slot = F.pmod(F.xxhash64("path"), F.lit(PATH_SLOTS)).alias("_slot")
+    slots = materialise(paths.select(slot).distinct(), "slots")
+    near = texts.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+    return near.join(paths, "path", "left_semi")
+
+
 def _refreshed(
     files: DataFrame, texts: DataFrame, stored: dict[str, DataFrame], settings: Settings
 ) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +157,7 @@ def _refreshed(
         scan = files.select("path")
         removed = removed.unionByName(gone_rows(scan, stored["documents"]).select("id"))
     removed = materialise(removed, "removed")
-    changed = texts.join(todo, "path", "left_semi")
+    changed = materialise(_rows_at(texts, todo), "texts")
     documents, segments = cascade_delete(stored["documents"], stored["segments"], removed)
     new_documents = document_records(changed, settings).select(documents.columns)
     new_segments = segment_records(changed, settings).select(segments.columns)
@@ -149,5 +175,5 @@ def index_to_snapshot(
     spark = files.sparkSession
     snapshot = new_snapshot_id(spark, path)
     tables = run_index(files, stored, settings, f"{root}/{snapshot}")
-    write_manifest(spark, f"{root}/{snapshot}", tables)
+    write_manifest(spark, f"{root}/{snapshot}", tables, path)
     return snapshot

@@ -13,19 +13,28 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def session(app: str = "shelfmark", cores: str = "*") -> SparkSession:
-    """A session with the settings the operators are written for."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+def session(app: str = "shelfmark", **settings: str) -> SparkSession:
+    """A session with the settings the operators are written for.
+
+    Master, memory and shuffle partitions come from the submitted configuration, or from
+    ``settings`` (dots as double underscores: ``spark__master="local[8]"``).
+    """
+    builder = (
+        SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "12g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
+    )
+    for name, value in settings.items():
+        builder = builder.config(name.replace("__", "."), value)
+    return builder.getOrCreate()
+
+
+def local_session(app: str, cores: str = "*") -> SparkSession:
+    """For benchmarks and checks on one machine."""
+    return session(
+        app, spark__master=f"local[{cores}]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g",
+        spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
     )
 
 

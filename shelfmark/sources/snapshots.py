@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from shelfmark.schema import INDEX_TABLES
 from shelfmark.sources.reconcile import reconcile
 
 MANIFEST = "manifest"
+MANIFEST_SCHEMA = "table string, path string"
 # Point lookups are by these columns; their values are random digests or long paths, so
 # row-group bloom filters prune where min/max ranges cannot.
 LOOKUP_COLUMNS = ("id", "hash", "file_path", "document_id")
@@ -35,9 +37,9 @@ def new_snapshot_id(spark: SparkSession, path: str) -> str:
     return row.first()["id"]
 
 
-def write_manifest(spark: SparkSession, folder: str, tables: Iterable[str]) -> None:
-    """Mark a snapshot as complete. Without the mark it is never restored."""
-    names = spark.createDataFrame([(name,) for name in tables], "table string")
+def write_manifest(spark: SparkSession, folder: str, tables: Iterable[str], path: str) -> None:
+    """Mark a snapshot of the indexed ``path`` as complete. Without the mark it is never restored."""
+    names = spark.createDataFrame([(name, path) for name in tables], MANIFEST_SCHEMA)
     names.coalesce(1).write.parquet(f"{folder}/{MANIFEST}")
 
 
@@ -51,7 +53,7 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, path: str) -> str:
     snapshot = new_snapshot_id(spark, path)
     for name, df in tables.items():
         write_table(df, f"{root}/{snapshot}/{name}")
-    write_manifest(spark, f"{root}/{snapshot}", tables)
+    write_manifest(spark, f"{root}/{snapshot}", tables, path)
     return snapshot
 
 
@@ -85,19 +87,36 @@ def latest_snapshot(blobs: DataFrame) -> DataFrame:
     return snapshot_times(blobs).orderBy(F.desc("last_modified"), F.desc("snapshot")).limit(1)
 
 
+def complete_snapshots(spark: SparkSession, root: str, path: str | None = None) -> DataFrame:
+    """(snapshot, last_modified) of the complete snapshots under ``root``, of one indexed
+    ``path`` if it is given. Only manifests are listed."""
+    try:
+        manifests = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/*/{MANIFEST}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "snapshot string, last_modified timestamp")
+    if path is not None:
+        manifests = manifests.where(F.col("path") == path)
+    name = F.substring_index(F.substring_index("_metadata.file_path", f"/{MANIFEST}/", 1), "/", -1)
+    return manifests.groupBy(name.alias("snapshot")).agg(
+        F.max("_metadata.file_modification_time").alias("last_modified")
+    )
+
+
 def restore_snapshot(
-    spark: SparkSession, root: str, snapshot: str | None = None
+    spark: SparkSession, root: str, snapshot: str | None = None, path: str | None = None
 ) -> dict[str, DataFrame]:
-    """The tables of the named snapshot, or of the newest complete one."""
+    """The tables of the named snapshot, or of the newest complete one, of the indexed ``path``
+    if it is given. Declared tables that the snapshot lacks are there, empty."""
     if snapshot is None:
-        complete = blobs_under(spark, root).where(F.col("name").contains(f"/{MANIFEST}/"))
-        newest = latest_snapshot(complete).first()
+        order = [F.desc("last_modified"), F.desc("snapshot")]
+        newest = complete_snapshots(spark, root, path).orderBy(*order).first()
         if newest is None:
-            raise LookupError(f"no complete snapshot under {root}")
+            raise LookupError(f"no complete snapshot under {root}" + (f" of {path}" if path else ""))
         snapshot = newest["snapshot"]
     stored = spark.read.parquet(f"{root}/{snapshot}/{MANIFEST}").collect()
     tables = {r["table"]: spark.read.parquet(f"{root}/{snapshot}/{r['table']}") for r in stored}
-    return {
-        name: reconcile(df, INDEX_TABLES[name]) if name in INDEX_TABLES else df
-        for name, df in tables.items()
-    }
+    for name, schema in INDEX_TABLES.items():
+        tables[name] = reconcile(tables[name], schema) if name in tables else spark.createDataFrame([], schema)
+    return tables

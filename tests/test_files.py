@@ -119,3 +119,17 @@ def test_export_replaces_the_older_one(spark, documents, tmp_path):
         assert {r["File"] for r in rows if r["folder"] == "/r"} == {"f0", "f1", "e"}
         assert {r["kind_ord"] for r in rows if r["folder"] == "/r/f0"} == {0}
         assert "/r/e" not in {r["folder"] for r in rows}
+
+
+def test_restore_by_path_and_missing_tables(spark, documents, tmp_path):
+    root = str(tmp_path)
+    one, two = documents.where("id = id"), documents.limit(1)
+    write_snapshot({"documents": one}, root, "/Data A")
+    write_snapshot({"documents": two}, root, "/data a")
+    restored = restore_snapshot(spark, root, path="/Data A")
+    assert restored["documents"].count() == one.count() != 1
+    assert restored["folders"].count() == 0 and "hash" in restored["segments"].columns or "text" in restored["segments"].columns
+    with pytest.raises(LookupError):
+        restore_snapshot(spark, root, path="/none")
+    with pytest.raises(LookupError):
+        restore_snapshot(spark, f"{root}/empty")

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import bounded_texts, child_pages, hot_keys, number_rows, summary_text_parts
+from shelfmark.operators import beginning_texts, child_pages, content_marks, hot_keys, number_rows, summary_text_parts
 
 
 @pytest.fixture(scope="module")
@@ -84,27 +84,26 @@ def test_text_parts_are_the_whole_text(spark, children):
         assert "".join(p[2] for p in sorted(parts[folder])) == want
 
 
-def test_bounded_texts(spark, children):
+@pytest.mark.parametrize("n_words", [300, 100_000])
+def test_beginning_texts(spark, children, n_words):
     rows, df = children
-    got = {r["folder"]: r for r in bounded_texts(df, "folder", max_children=300).collect()}
+    got = {r["folder"]: r["text"] for r in beginning_texts(df, "folder", n_words).collect()}
     for folder in {r[0] for r in rows}:
-        mine = [r for r in rows if r[0] == folder]
-        if len(mine) > 300:
-            first = sorted(r[3] for r in mine if r[3])[:300]
-            assert got[folder]["text"] == "###\n".join(first)
-            assert got[folder]["mark"]
-        elif text_of(mine):
-            assert got[folder]["text"] == text_of(mine) and got[folder]["mark"] is None
+        whole = text_of([r for r in rows if r[0] == folder])
+        assert got.get(folder, "").split()[:n_words] == whole.split()[:n_words]
 
 
 def test_mark_sees_every_summary_and_no_order(spark, children):
     rows, df = children
 
     def mark(frame):
-        return {r["folder"]: r["mark"] for r in bounded_texts(frame, "folder", 300).collect()}["/hot"]
+        return {r["folder"]: r["mark"] for r in content_marks(frame, "folder").collect()}["/hot"]
 
     before = mark(df)
     assert mark(df.repartition(3, "summary")) == before
     last = max((r[3], r[2]) for r in rows if r[0] == "/hot")[1]
     assert mark(df.withColumn("summary", F.when(F.col("id") == last, "zz").otherwise(F.col("summary")))) != before
     assert mark(df.where(F.col("id") != last)) != before
+    # A child without a summary changes nothing, whatever the size of the folder.
+    empty = spark.createDataFrame([("/hot", 1, "none", "")], df.select("folder", "kind_ord", "id", "summary").schema)
+    assert mark(df.select("folder", "kind_ord", "id", "summary").unionByName(empty)) == before

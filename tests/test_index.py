@@ -42,6 +42,11 @@ def lead(opening, text):
     return opening + " ".join(text.split()[:40])
 
 
+def mark(summaries):
+    lanes = [sum(int(sha(s)[15 * i : 15 * i + 15], 16) for s in summaries) for i in range(4)]
+    return ":".join(map(str, [len(summaries), *lanes])) if summaries else ""
+
+
 def folder_twin(summaries):
     """path -> (hash, summary) by walking the tree bottom up."""
     paths = {"/r"}
@@ -53,7 +58,7 @@ def folder_twin(summaries):
         subs = sorted(done[p][1] for p in done if p.rpartition("/")[0] == path)
         docs = sorted(s for p, s in summaries.items() if p.rpartition("/")[0] == path and s)
         text = "###\n".join(subs) + "###\n".join(docs)
-        done[path] = (sha(f"{path}+{text}"), lead("This folder ", text) if text.strip() else "This folder is empty")
+        done[path] = (sha(f"{path}+{mark(subs)}|{mark(docs)}"), lead("This folder ", text) if text.strip() else "This folder is empty")
     return done
 
 
@@ -124,6 +129,20 @@ def test_one_change(spark, first):
     assert scan.count() == 6
 
 
+@pytest.mark.parametrize("few", [100, 1])
+def test_changed_texts_are_picked_without_moving_others(spark, few):
+    from shelfmark.plans.index import _rows_at
+
+    texts = spark.range(500).selectExpr("concat('/r/', id) path", "concat('text ', id) text")
+    paths = texts.where("path like '%7'").select("path")
+    picked = _rows_at(texts, paths, few)
+    assert {r["path"] for r in picked.collect()} == {r["path"] for r in paths.collect()}
+    if few == 1:
+        # The filter by slots is a broadcast below the exchange of the exact join.
+        plan = picked._jdf.queryExecution().explainString(picked.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert "BroadcastHashJoin" in plan
+
+
 def test_gone_files_stay_unless_pruned(spark, first):
     fewer = {p: t for p, t in TREE.items() if not p.startswith("/r/z")}
     kept = run_index(files(spark, fewer), first, settings())
@@ -148,6 +167,58 @@ def test_models_are_not_asked_again(spark, first):
     assert contents(again) == contents(first)
 
 
+def test_all_models_together_each_asked_once(spark, tmp_path):
+    """Random answers: kept, never asked for twice, no vector lost."""
+    log = str(tmp_path)
+
+    def model(name, answer):
+        def load():
+            import os
+            import uuid
+
+            def ask(batch):
+                for _ in batch:
+                    open(os.path.join(log, f"{name}-{uuid.uuid4().hex}"), "w").close()
+                return [answer() for _ in batch]
+
+            return ask
+
+        return load
+
+    def words():
+        import uuid
+
+        return f"Summary {uuid.uuid4().hex}"
+
+    def numbers():
+        import random
+
+        return [random.random(), 1.0]
+
+    def verdict():
+        import random
+
+        return random.random() < 0.7
+
+    chat = BatchModel(model("chat", words))
+    more = dict(
+        document_summaries=(chat,), folder_summaries=(chat,), vectors=BatchModel(model("vector", numbers), "array<float>"),
+        check_segments=True, segment_check=BatchModel(model("check", verdict), "boolean"), chunk_size=40,
+    )
+    tree = {**TREE, "/r/a/long.txt": "A full sentence that is fine. " * 20}
+    tables = run_index(files(spark, tree), settings=settings(**more))
+    asked = lambda: {k: sum(p.name.startswith(k) for p in tmp_path.iterdir()) for k in ("chat", "check", "vector")}
+    assert all(t.where("vector is null").count() == 0 for t in tables.values())
+    n_docs, n_folders, kept = (tables[t].count() for t in ("documents", "folders", "segments"))
+    first = asked()
+    cut = run_index(files(spark, tree), settings=settings(chunk_size=40))["segments"].count()
+    texts = tables["segments"].select("text").distinct().count()
+    assert first == {"chat": n_docs + n_folders, "check": cut, "vector": n_docs + n_folders + texts}
+    assert 0 < kept < cut
+    again = run_index(files(spark, tree), tables, settings(**more))
+    assert contents(again) == contents(tables) and asked() == first
+
+
 def test_prompts_reach_the_model(spark):
     echo = BatchModel(lambda: lambda batch: [t.splitlines()[-1] for t in batch])
     tables = run_index(

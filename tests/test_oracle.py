@@ -5,13 +5,14 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracle, queries
 from checks.compare import compare, connect
 
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES, TWINS = queries.registered(), oracle.statements()
 
 
 def test_twins_belong_to_queries():
-    assert set(TWINS) <= set(QUERIES)
+    assert set(TWINS) <= set(QUERIES) <= set(entry.queries())
     assert set(QUERIES) - set(TWINS) == {"search_ann", "search_ann_stored", "search_texts", "embed"}
 
 

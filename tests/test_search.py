@@ -51,13 +51,11 @@ def test_exact(data, k):
     same(hits(nearest(q, c, k)), brute(corpus, queries, k))
 
 
-def test_grid_gives_the_same(data, monkeypatch):
-    from shelfmark.operators import search
-
-    monkeypatch.setattr(search, "MAX_QUERIES", 4)
-    monkeypatch.setattr(search, "GRID_ROWS", 500)
+def test_batches_give_the_same(data):
     corpus, queries, c, q = data
     same(hits(nearest(q, c, 20, max_queries=4)), brute(corpus, queries, 20))
+    some = hits(nearest(q, c, 20, exact=False))
+    same(hits(nearest(q, c, 20, exact=False, max_queries=4)), some)
 
 
 def test_empty_sides(data):
@@ -93,8 +91,9 @@ def test_stored_buckets_give_the_same(spark, data, tmp_path, monkeypatch):
         hits(nearest_stored(q, str(tmp_path), 10)),
         hits(nearest(q, c, 10, exact=False, tables=4, bucket_length=0.5)),
     )
+    some = hits(nearest_stored(q, str(tmp_path), 10))
     monkeypatch.setattr(ann, "MAX_QUERIES", 3)
-    same(hits(nearest_stored(q, str(tmp_path), 10)), hits(nearest(q, c, 10)))
+    same(hits(nearest_stored(q, str(tmp_path), 10)), some)
     monkeypatch.undo()
     plan = nearest_stored(q.limit(1), str(tmp_path), 10)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(bucket" in plan or "bucket IN" in plan
