@@ -18,7 +18,7 @@ from shelfmark.operators.enrich import (
     SUMMARY_WORDS, LeadSummary, Provider, classify_segments, embed, summarise,
 )
 from shelfmark.operators.folders import ancestors, rollup, upsert_folders
-from shelfmark.runtime import bounded_rows, materialise, new_scratch_path, spread
+from shelfmark.runtime import bounded_rows, materialise, new_scratch_path, spread, temporary_scratch
 from shelfmark.sources.snapshots import new_snapshot_id, write_manifest, write_table
 
 
@@ -171,9 +171,13 @@ def index_to_snapshot(
     stored: dict[str, DataFrame] | None = None,
     settings: Settings | None = None,
 ) -> str:
-    """A run whose tables are written once, as a new snapshot under ``root``; its id."""
+    """A run whose tables are written once, as a new snapshot under ``root``; its id.
+
+    The scratch tables of the run are deleted at its end.
+    """
     spark = files.sparkSession
     snapshot = new_snapshot_id(spark, path)
-    tables = run_index(files, stored, settings, f"{root}/{snapshot}")
-    write_manifest(spark, f"{root}/{snapshot}", tables, path)
+    with temporary_scratch(spark):
+        tables = run_index(files, stored, settings, f"{root}/{snapshot}")
+        write_manifest(spark, f"{root}/{snapshot}", tables, path)
     return snapshot

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +56,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+_scratch_paths: list[str] = []
+
+
 def new_scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/shelfmark-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/shelfmark-{label}-{uuid.uuid4().hex}"
+    _scratch_paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary_scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables that are made inside, once their results are stored elsewhere."""
+    before = len(_scratch_paths)
+    try:
+        yield
+    finally:
+        for name in _scratch_paths[before:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del _scratch_paths[before:]
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

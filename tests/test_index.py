@@ -1,6 +1,7 @@
 """Whole runs: first run, re-run, changes, removals, and the folder tree against a twin."""
 
 import hashlib
+import os
 from collections import defaultdict
 
 import pytest
@@ -267,7 +268,12 @@ def test_files_to_snapshot_and_back(spark, tmp_path):
         name = index_to_snapshot(texts, store, str(root), stored, Settings(root=str(root)))
         return restore_snapshot(spark, store, name)
 
+    from shelfmark.runtime import scratch_dir
+
+    scratch = lambda: set(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    before = scratch()
     run()
+    assert scratch() == before
     (root / "a/b/two.txt").write_text("Dogs bark.")
     tables = run(restore_snapshot(spark, store))
     latest = restore_snapshot(spark, store)
