@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ CLOCK = 4096  # the walk's random bits repeat after this many ticks
 CLASSES = 64  # characters are told apart by the walk up to this many classes
 BATCH_CHARS = 3_000_000
 MAX_TIME = 1 << 40
+RANGES_PER_TASK = 4
 SEED = 20_240_607
 
 
@@ -213,10 +215,14 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(ids: DataFrame, n: int) -> list[int]:
-    """At most ``n`` - 1 splitters that deal the identifiers out evenly, descending."""
-    found = ids.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    return sorted(set(found or []), reverse=True)
+def _ranges(ids: DataFrame, n: int) -> Bucketizer:
+    """Places ``at`` in up to ``n`` ranges that deal the identifiers out evenly.
+
+    As doubles the identifiers keep their order, which is all that the ranges need.
+    """
+    found = ids.select(F.percentile_approx("at", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    splits = [float("-inf"), *sorted(set(found or [0.0])), float("inf")]
+    return Bucketizer(splits=splits, inputCol="at", outputCol="place", handleInvalid="keep")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_ranges: int | None = None) -> DataFrame:
@@ -231,29 +237,30 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text more per range.
     """
     spark = docs.sparkSession
-    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("content"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    splits = _ranges(ids, n)
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ident = F.col(id_col).cast("long")
+    rows = docs.select(ident.alias("doc_id"), text_of(text_col).alias("content"), ident.cast("double").alias("at"))
+    ids = docs.select(ident.alias("doc_id"), ident.cast("double").alias("at"))
+    # Several ranges a task, so that hashing them to tasks comes out even.
+    ranges = _ranges(ids, n_ranges or RANGES_PER_TASK * n_tasks)
     # Range 0 has the largest identifiers; those without one come last.
-    place = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(
-        sum((F.col("doc_id") < s).cast("int") for s in splits) if splits else F.lit(0)
-    ).cast("int")
+    last = len(ranges.getSplits()) - 1
+    place = F.when(F.col("doc_id").isNull(), last).otherwise(last - 1 - F.col("place")).cast("int").alias("range")
     # One row per range comes to the driver: its first identifier.
     firsts = sorted(
         (r["range"], r["first"])
-        for r in ids.groupBy(place.alias("range")).agg(F.max("doc_id").alias("first")).collect()
+        for r in ranges.transform(ids).groupBy(place).agg(F.max("doc_id").alias("first")).collect()
     )
     before = {r: firsts[i - 1][0] for i, (r, _) in enumerate(firsts)}
     heads = spark.createDataFrame([(r, first, before[r]) for r, first in firsts], "head_range int, head long, to int")
 
-    dealt = rows.withColumn("range", place).withColumn("halo", F.lit(False))
+    dealt = ranges.transform(rows).select("doc_id", "content", place, F.lit(False).alias("halo"))
     # Of documents with the first identifier the first by text is the first of the range.
     at_head = dealt.join(F.broadcast(heads), (F.col("range") == F.col("head_range")) & F.col("doc_id").eqNullSafe(F.col("head")))
     halo = at_head.groupBy("to", "doc_id").agg(F.min("content").alias("content")).select(
         "doc_id", "content", F.col("to").alias("range"), F.lit(True).alias("halo")
     )
-    together = dealt.unionByName(halo).repartition(max(1, len(firsts)), "range").sortWithinPartitions(
+    together = dealt.unionByName(halo).repartition(n_tasks, "range").sortWithinPartitions(
         "range", "halo", F.col("doc_id").desc_nulls_last(), "content"
     )
 
