@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-# ASCII white space, as a character set for regular expressions: blank and \t \n \v \f \r.
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+# Runs of anything but ASCII white space: blank and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,8 +43,13 @@ def map_batches(
 ) -> DataFrame:
     """Arrow batches of ``df`` through a function that each task makes once with ``make``.
 
-    The function gives one dict of columns per batch, or several.
+    The function gives one dict of columns per batch, or several. Rows here are whole texts, so
+    the session's batches are set to ``BATCH_ROWS`` rows at most: a task then holds a few
+    megabytes of them on either side, not a few hundred.
     """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ROWS_PER_BATCH)) <= BATCH_ROWS:
+        conf.set(ROWS_PER_BATCH, BATCH_ROWS)
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(schema)
 

@@ -49,8 +49,8 @@ CALIBRATION_FOLD = 5
 LEAST_FOR_LANGUAGE = 40
 PUNCTUATION = ".,;:!?\"'()[]{}"
 # Words given to the filters at a time when scoring.
-BATCH_WORDS = 400_000
-_MEMO_LIMIT = 300_000
+BATCH_WORDS = 100_000
+_MEMO_LIMIT = 100_000
 
 
 def word_buckets(rows: dict[int, int] | None = None) -> Callable[[str], list[int]]:
