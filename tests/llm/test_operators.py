@@ -414,3 +414,14 @@ def test_jaccard_join_odd_rows(odd, empty):
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 7, 8, 9]
     assert jaccard_join.join_sets(empty).count() == 0 and jaccard_join.keep_one(empty).count() == 0
+
+
+def test_jaccard_components_without_identifiers_of_their_own(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " more"), (7, texts[2]), (7, texts[3]), (8, texts[3]), (7, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = jaccard_join.join_sets(df)
+    assert {r["component_id"] for r in marks.where("doc_id is null").collect()} == {None}
+    assert marks.select("c1", "c2").distinct().count() == 4
+    kept = sorted((r["doc_id"] or 0, r["text"][0]) for r in jaccard_join.keep_one(df).collect())
+    assert kept == [(0, "a"), (0, "b"), (7, "c"), (7, "d")]
