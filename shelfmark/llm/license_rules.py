@@ -2,7 +2,9 @@
 
 A rule is (label, kind, keyword, pattern) over normalised words: lower-case words with one blank
 between them. ``kind`` is the priority class; a detection inside one of a stronger class is
-suppressed. The keyword must occur in a text for the pattern to be tried. Patterns use only
+suppressed. The keyword must occur in a text for the pattern to be tried, so it is a part of
+whatever the pattern matches. ``cues`` are whole words of which such a text has one; without them,
+the keyword's longest word is one. Patterns use only
 what Java's and RE2's regular expressions share, and match whole words.
 """
 
@@ -20,6 +22,7 @@ class Rule:
     kind: int
     keyword: str
     pattern: str
+    cues: tuple[str, ...] = ()
 
 
 # Phrases and labels whose places every scan must report (fixed values).
@@ -45,10 +48,10 @@ SENTENCES = (
     ("gpl-3.0", "general public license", "gnu general public license( as published by the free software foundation)? (either )?version 3"),
     ("gpl-2.0", "general public license", "gnu general public license( as published by the free software foundation)? (either )?version 2"),
     ("gpl", "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "lesser general public", "under the terms of the gnu (lesser|library) general public license"),
+    ("lgpl", "general public license", "under the terms of the gnu (lesser|library) general public license"),
     ("agpl-3.0", "affero", "gnu affero general public license( as published by the free software foundation)? (either )?version 3"),
     ("gfdl", "free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
-    ("mpl-2.0", "mozilla public", "subject to the terms of the mozilla public license v(ersion)? ?2( 0)?"),
+    ("mpl-2.0", "mozilla public", "subject to the terms of the mozilla public license v(ersion)?( )?2( 0)?"),
     ("mpl-1.1", "mozilla public", "subject to the mozilla public license version 1 1"),
     ("isc", "with or without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("zlib", "altered source versions", "altered source versions must be plainly marked as such and must not be misrepresented"),
@@ -60,8 +63,8 @@ SENTENCES = (
     ("cddl", "common development", "the contents of this file are subject to the terms of the common development and distribution license"),
     ("cc0-1.0", "dedicated the work", "has dedicated the work to the public domain by waiving all of (his|her|their|his or her) rights"),
     ("cc-by", "creative commons", "licensed under a creative commons attribution [1-4]( 0| 5)? (international|unported|generic)"),
-    ("cc-by-sa", "creative commons", "licensed under a creative commons attribution share ?alike [1-4]( 0| 5)?"),
-    ("cc-by-nc", "creative commons", "licensed under a creative commons attribution non ?commercial [1-4]( 0| 5)?"),
+    ("cc-by-sa", "creative commons", "licensed under a creative commons attribution share( )?alike [1-4]( 0| 5)?"),
+    ("cc-by-nc", "creative commons", "licensed under a creative commons attribution non( )?commercial [1-4]( 0| 5)?"),
     ("ofl-1.1", "sil open font", "this font software is licensed under the sil open font license"),
     ("artistic-2.0", "artistic license", "under the terms of the artistic license( version)? 2( 0)?"),
     ("proprietary", "all rights reserved", "all rights reserved"),
@@ -127,21 +130,22 @@ FAMILIES = (
     ("llama", "llama community license", ("2", "3", "3 1"), "ai meta com llama license"),
 )
 
-# Weak hints, reported only where nothing stronger covers them: label, keyword, pattern.
+# Weak hints, reported only where nothing stronger covers them: label, keyword, pattern, and cues
+# where the keyword's words are beginnings of words.
 HINTS = (
     ("mit", "mit licence", "mit licence"),
     ("mit", "mit licensed", "mit licensed"),
     ("apache", "apache 2", "apache 2( 0)?"),
     ("apache", "asl 2", "asl 2( 0)?"),
-    ("gpl", "gplv", "gplv[123]( or later)?"),
-    ("lgpl", "lgplv", "lgplv[23]( 1)?( or later)?"),
-    ("agpl", "agplv", "agplv3( or later)?"),
+    ("gpl", "gplv", "gplv[123]( or later)?", ("gplv1", "gplv2", "gplv3")),
+    ("lgpl", "lgplv", "lgplv[23]( 1)?( or later)?", ("lgplv2", "lgplv3")),
+    ("agpl", "agplv", "agplv3( or later)?", ("agplv3",)),
     ("gpl", "copyleft", "copyleft license"),
     ("gpl", "gnu gpl", "gnu gpl"),
     ("bsd", "bsd style", "bsd style( license)?"),
     ("bsd", "bsd licensed", "bsd licensed"),
     ("bsd", "simplified bsd", "simplified bsd( license)?"),
-    ("bsd", "modified bsd", "(new|modified|revised) bsd( license)?"),
+    ("bsd", "bsd", "(new|modified|revised) bsd( license)?"),
     ("cc-by", "creative commons", "creative commons licen[cs]e"),
     ("public-domain", "public domain", "(in|into|to) the public domain"),
     ("open-source", "open source", "open source (software )?licen[cs]e"),
@@ -173,7 +177,7 @@ def all_rules() -> list[Rule]:
     rules = [Rule(label, SENTENCE, k, p) for label, k, p in SENTENCES]
     rules += _family_rules()
     rules += BASE_RULES
-    rules += [Rule(label, HINT, k, p) for label, k, p in HINTS]
+    rules += [Rule(label, HINT, *rest) for label, *rest in HINTS]
     return sorted(rules, key=lambda r: r.kind)
 
 
@@ -181,7 +185,7 @@ def spaced(pattern: str) -> str:
     """``pattern`` for texts in which each word has a blank of its own on either side.
 
     So neighbouring matches never share a blank, and no look-around is needed. A blank
-    inside a bracket expression stays one blank.
+    inside a bracket expression stays one blank. A blank that may be missing is ``( )?``.
     """
     out, in_set = [], False
     for c in f" {pattern} ":

@@ -32,16 +32,17 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(lower, SEPARATORS, " "))
 
 
-def cue_of(rule: Rule) -> str:
-    """The word that gates the keyword test: the longest of the keyword."""
-    return max(rule.keyword.split(), key=len)
+def cues_of(rule: Rule) -> tuple[str, ...]:
+    """The words that gate the keyword test, of which a text needs one: the rule's own, or the
+    longest of the keyword."""
+    return rule.cues or (max(rule.keyword.split(), key=len),)
 
 
 def _rule_array(rules: list[Rule]) -> Column:
     return F.array(*[
         F.struct(
             F.lit(i).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.label).alias("label"),
-            F.lit(cue_of(r)).alias("cue"), F.lit(r.keyword).alias("keyword"),
+            F.array(*map(F.lit, cues_of(r))).alias("cues"), F.lit(r.keyword).alias("keyword"),
             F.lit(spaced(r.pattern)).alias("pattern"),
         )
         for i, r in enumerate(rules)
@@ -60,7 +61,7 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rules = all_rules() if rules is None else rules
     table = _rule_array(rules)
-    cues = F.array(*map(F.lit, sorted({cue_of(r) for r in rules})))
+    cues = F.array(*map(F.lit, sorted({c for r in rules for c in cues_of(r)})))
     words = docs.select(F.col(id_col).alias("doc_id"), plain_words(text_of(text_col)).alias("words"))
     gated = words.withColumn("list", F.split("words", " ")).select(
         "doc_id", "words",
@@ -70,7 +71,7 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tried = gated.select(
         "doc_id", "words", "n_words", F.xxhash64("words").alias("digest"),
         F.explode_outer(F.when(F.size("cues") > 0, F.filter(
-            table, lambda r: F.array_contains("cues", r["cue"]) & F.contains(F.col("words"), r["keyword"])
+            table, lambda r: F.arrays_overlap("cues", r["cues"]) & F.contains(F.col("words"), r["keyword"])
         ))).alias("r"),
     )
     padded = F.concat(F.lit(" "), F.replace("words", F.lit(" "), F.lit("  ")), F.lit(" "))

@@ -105,6 +105,53 @@ def test_license_containment(spark):
     assert {(r["n_base"], r["labels"]) for r in license_scan.scan_licenses(df).collect()} == {(3, "gpl,gpl-3.0,mit")}
 
 
+def examples(pattern):
+    """Texts that a rule's pattern matches: every branch, every optional part with and without."""
+    parser = re._parser
+
+    def texts(parts):
+        found = [""]
+        for op, value in parts:
+            if op is parser.LITERAL:
+                more = [chr(value)]
+            elif op is parser.IN:
+                more = [chr(v) if o is parser.LITERAL else chr(v[0]) for o, v in value if (o, v) != (parser.LITERAL, 32)]
+            elif op is parser.SUBPATTERN:
+                more = texts(value[-1])
+            elif op is parser.BRANCH:
+                more = [t for branch in value[1] for t in texts(branch)]
+            else:
+                assert op is parser.MAX_REPEAT, op
+                least, most, inner = value
+                more = [t * n for t in texts(inner) for n in ((0, 1) if (least, most) == (0, 1) else (least,))]
+            found = [f + m for f in found for m in more]
+        return found
+
+    return sorted(set(texts(parser.parse(pattern))))
+
+
+def test_license_rules_fire_on_every_branch(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rules = license_scan.all_rules()
+    rows = [(i, f"x {text} x") for i, r in enumerate(rules) for text in examples(r.pattern)]
+    assert {r[1] for r in rows} >= {"x gplv3 x", "x lgplv2 1 x", "x agplv3 x", "x revised bsd x", "x new bsd license x"}
+    pq.write_table(pa.table({"doc_id": range(len(rows)), "text": [t for _, t in rows]}), tmp_path / "documents.parquet")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r["doc_id"], r["rule"]) for r in license_scan.detections(docs).select("doc_id", "rule").collect()}
+    assert [(rows[n], rules[rows[n][0]].label) for n in range(len(rows)) if (n, rows[n][0]) not in found] == []
+    few = tmp_path / "few"
+    few.mkdir()
+    hints = [(0, "Under GPLv3 or later."), (1, "LGPLv2.1"), (2, "AGPLv3"), (3, "the Revised BSD License"), (4, "new BSD"),
+             (5, "under the terms of the GNU Library General Public License"), (6, "gplv xgplv3")]
+    pq.write_table(pa.table({"doc_id": [i for i, _ in hints], "text": [t for _, t in hints]}), few / "documents.parquet")
+    good, line = compare(spark, connect(str(few)), str(few), "op6_license_scan", queries.op6_license_scan, oracle.license_scan())
+    assert good, line
+    labels = {r["doc_id"]: r["labels"] for r in queries.op6_license_scan(spark, str(few)).collect()}
+    assert labels == {0: "gpl", 1: "lgpl", 2: "agpl", 3: "bsd", 4: "bsd", 5: "lgpl", 6: ""}
+
+
 # --- mixing ----------------------------------------------------------------------------
 
 
