@@ -6,8 +6,9 @@ and checks it. The parsers are deterministic: their spans are those of the kind'
 expression, leftmost and without overlap.
 
 Base kinds: email, ip, card, phone. The method adds url (a scheme and what follows), account
-(IBANs with valid check digits) and ssn (three groups of digits after a cue). Offsets count
-code points, ends are exclusive.
+(IBANs with valid check digits) and ssn (three groups of digits after a cue). An IBAN ends at its
+country's length; of a country without a known length, at the last blank or end that the check
+digits confirm. Cues count in any case. Offsets count code points, ends are exclusive.
 
 Cases: null and empty texts have no spans. Rows that repeat each get their result. Null
 identifiers are kept. An empty table gives an empty table. Other columns are ignored.
@@ -28,8 +29,8 @@ from shelfmark.llm.common import map_batches, text_of
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "ssn")
 SCHEMES = ("http://", "https://", "ftp://")
-IBAN_CUES = ("iban", "IBAN", "Iban")
-SSN_CUES = ("ssn", "SSN", "social security")
+IBAN_CUES = ("iban",)
+SSN_CUES = ("ssn", "social security")
 CUE_REACH = 24  # characters between a cue and what it announces
 
 _DIGITS = frozenset("0123456789")
@@ -41,10 +42,21 @@ _IP_PART = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s<>\"']*)?")
+_IBAN_HEAD = re.compile(r"(?=([A-Z]{2})[0-9]{2})")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?")
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LENGTH_OF = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
 
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -72,6 +84,32 @@ def valid_iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+@lru_cache(maxsize=64)
+def _iban_of(length: int) -> re.Pattern:
+    """IBANs of a length, in groups of four with single blanks between them or without."""
+    groups, rest = divmod(length - 4, 4)
+    return re.compile(f"[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{groups}}}" + f"(?: ?[0-9A-Z]{{{rest}}})" * (rest > 0) + "(?![0-9A-Z])")
+
+
+def find_iban(text: str, start: int, last: int) -> tuple[int, int] | None:
+    """The first valid IBAN that begins at a place from ``start`` to ``last``."""
+    for head in _IBAN_HEAD.finditer(text, start, last + 4):
+        at, length = head.start(), _LENGTH_OF.get(head.group(1))
+        match = (_iban_of(length) if length else _IBAN).match(text, at)
+        end = match.end() if match else at
+        while end > at and not valid_iban(text[at:end]):
+            end = at if length else max(at, text.rfind(" ", at, end))
+        if end > at:
+            return at, end
+    return None
+
+
+def lower_case(text: str) -> str:
+    """``text`` in lower case, with every character at its place."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else text.translate(_LOWER)
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by kind in the order of ``KINDS``, then start."""
     found: dict[str, list[tuple[int, int]]] = {}
@@ -84,7 +122,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         if good:
             found.setdefault(kind, []).append((start, end))
 
-    for last, (anchor, length) in _automaton().iter(text):
+    for last, (anchor, length) in _automaton().iter(lower_case(text)):
         if anchor == "digit":
             if last >= runs:
                 # A maximal run of digits with single blanks or hyphens between them.
@@ -115,11 +153,13 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if start >= done["url"] and (url := _URL.match(text, start)):
                 end = start + len(url.group().rstrip(".,;:!?)"))
                 add("url", start, end, end > start + length)
+        elif anchor == "iban":
+            if span := find_iban(text, max(last + 1, done["account"]), last + 1 + CUE_REACH):
+                add("account", *span, True)
         else:
-            kind, pattern = ("account", _IBAN) if anchor == "iban" else ("ssn", _SSN)
-            near = pattern.search(text, last + 1, last + 1 + CUE_REACH + 42)
-            if near and near.start() <= last + 1 + CUE_REACH and near.start() >= done[kind]:
-                add(kind, near.start(), near.end(), kind == "ssn" or valid_iban(near.group()))
+            near = _SSN.search(text, last + 1, last + 1 + CUE_REACH + 42)
+            if near and near.start() <= last + 1 + CUE_REACH and near.start() >= done["ssn"]:
+                add("ssn", *near.span(), True)
     return [(kind, *span) for kind in KINDS for span in sorted(found.get(kind, ()))]
 
 

@@ -270,6 +270,32 @@ def test_pii_more_kinds():
     assert "account" in spans.values() and spans["4111 1111 1111 1111"] == "card"
 
 
+@pytest.mark.parametrize("iban", [
+    "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947",
+    "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "GB29NWBK60161331926819",
+])
+@pytest.mark.parametrize("after", ["", ".", " BIC GKCCBEBB", " 2024 and", " IBAN DE89 3704 0044 0532 0130 00"])
+def test_pii_account_ends_at_its_length(iban, after):
+    text = f"My Iban: {iban}{after}"
+    found = [text[a:b] for kind, a, b in pii_scan.find_spans(text) if kind == "account"]
+    assert found == [iban] + ["DE89 3704 0044 0532 0130 00"] * ("DE89" in after)
+
+
+def test_pii_account_odd():
+    accounts = lambda text: [text[a:b] for kind, a, b in pii_scan.find_spans(text) if kind == "account"]
+    assert accounts("IBAN BE69 5390 0754 7034 BIC") == [] and accounts("IBAN BE68539007547034X") == []
+    # What looks like the head of a number before it does not hide it; a country without a known length.
+    assert accounts("iban REF12 1234 5678 9012, BE68 5390 0754 7034 BIC") == ["BE68 5390 0754 7034"]
+    code = next(f"ZZ{n:02d}" for n in range(100) if pii_scan.valid_iban(f"ZZ{n:02d}539007547034"))
+    assert accounts(f"iban {code} 5390 0754 7034 BIC") == [f"{code} 5390 0754 7034"]
+
+
+@pytest.mark.parametrize("cue", ["Social Security Number: ", "SOCIAL SECURITY ", "Ssn ", "İ social Security no. "])
+def test_pii_cues_in_any_case(cue):
+    text = f"{cue}123-45-6789"
+    assert pii_scan.find_spans(text) == [("ssn", len(cue), len(text))]
+
+
 def test_pii_table(odd, empty):
     rows = pii_scan.span_digests(pii_scan.find_pii(odd)).collect()
     assert len(rows) == odd.count()
