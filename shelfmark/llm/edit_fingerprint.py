@@ -42,6 +42,7 @@ CLASSES = 64  # characters are told apart by the walk up to this many classes
 BATCH_CHARS = 3_000_000
 MAX_TIME = 1 << 40
 RANGES_PER_TASK = 4
+BLOCK_MEMBERS = 4096  # members of a bucket that are compared with each other at a time, about
 SEED = 20_240_607
 
 
@@ -183,30 +184,105 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, f"doc_id {kind}, fingerprint string", make)
 
 
-def near_documents(prints: DataFrame, least: float = 0.8, bands: int = BANDS) -> DataFrame:
-    """(doc_id, leader, likeness): distinct fingerprints that share a band with the smallest
-    identifier of the band and reach ``least`` likeness with it.
+def near_documents(prints: DataFrame, least: float = 0.8, bands: int = BANDS, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """(doc_id, leader, likeness, fingerprint, leader_fingerprint): links between distinct
+    fingerprints that share a band and reach ``least`` likeness. The leader is the smaller one, by
+    identifier, nulls last, then by fingerprint.
 
-    Equal fingerprints are one candidate. A band links each member with its leader only, so
-    the rows grow with the members of a bucket, not with its pairs.
+    Any two fingerprints that share a band and reach ``least`` are connected by links, though not
+    always by one of their own: a bucket's members are linked with its leader, the smallest. Members
+    not like their leader are compared exactly with the bucket's other members, in pairs of blocks
+    inside tasks, which link what is not connected there yet. So the rows grow with the members
+    of a bucket, not with its pairs; the comparisons grow with the pairs of such members.
+
+    Equal fingerprints are one candidate, with the smallest identifier; one that has only null
+    identifiers keeps null.
     """
     width = 2 * SLOTS // bands
-    ids = prints.where(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    ids = materialise(ids, "prints")
-    bits = ids.select("doc_id", F.posexplode(F.array(*[
-        F.substring("fingerprint", 1 + i * width, width) for i in range(bands)
+    ids = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    ids = materialise(ids.select(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fingerprint").alias("m")), "prints")
+    bits = ids.select("m", F.posexplode(F.array(*[
+        F.substring("m.fingerprint", 1 + i * width, width) for i in range(bands)
     ])).alias("band", "bits"))
-    leaders = bits.groupBy("band", "bits").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = bits.join(leaders, ["band", "bits"]).where("doc_id <> leader").select("doc_id", "leader").distinct()
-    other = ids.select(F.col("doc_id").alias("leader"), F.col("fingerprint").alias("leader_print"))
+    leaders = bits.groupBy("band", "bits").agg(F.min("m").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = bits.join(leaders, ["band", "bits"]).where("m <> l")
     same = F.size(F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: (
-        F.substring(F.col("fingerprint"), 2 * i + 1, F.lit(2)) == F.substring(F.col("leader_print"), 2 * i + 1, F.lit(2))
+        F.substring(F.col("m.fingerprint"), 2 * i + 1, F.lit(2)) == F.substring(F.col("l.fingerprint"), 2 * i + 1, F.lit(2))
     )))
-    return (
-        pairs.join(ids, "doc_id").join(other, "leader")
-        .select("doc_id", "leader", (same / SLOTS).alias("likeness"))
-        .where(F.col("likeness") >= least)
+    compared = materialise(met.select("m", "l").distinct().withColumn("likeness", same / SLOTS), "compared")
+
+    # Buckets with a member unlike the leader, and all their members but the leader.
+    odd = compared.select(
+        F.col("m.fingerprint").alias("f"), F.col("l.fingerprint").alias("lf"), (F.col("likeness") < least).alias("odd")
+    )
+    marked = met.join(odd, (F.col("m.fingerprint") == F.col("f")) & (F.col("l.fingerprint") == F.col("lf")))
+    marked = materialise(marked.select("band", "bits", "n", "odd", "m"), "marked")
+    open_buckets = marked.where("n > 2").groupBy("band", "bits").agg(F.count_if("odd").alias("n_odd")).where("n_odd > 0").select("band", "bits")
+    blocks = F.ceil(F.col("n") / block_members)
+    # A member of block i goes to every pair of blocks that has i.
+    dealt = marked.join(open_buckets, ["band", "bits"]).withColumn("block", F.pmod(F.xxhash64("m.fingerprint"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    ).select("band", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "odd", "m")
+    rows = dealt.repartition("band", "bits", "i", "j").sortWithinPartitions("band", "bits", "i", "j", "m").select(
+        "band", "bits", "i", "j", "block", "odd", "m.doc_id", "m.fingerprint"
+    )
+    kind = prints.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, leader {kind}, likeness double, fingerprint string, leader_fingerprint string"
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, key = [], None
+
+        def settle():
+            table = pa.Table.from_batches(held).combine_chunks()
+            names, idents = table.column("fingerprint"), table.column("doc_id")
+            slots = np.frombuffer(bytes.fromhex("".join(names.to_pylist())), np.uint8).reshape(-1, SLOTS)
+            odd, block = (table.column(c).to_numpy() for c in ("odd", "block"))
+            found = unconnected_links(slots, odd, block if key[2] != key[3] else None, least)
+            if found:
+                x, y, alike = zip(*found)
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (
+                    idents.take(y), idents.take(x), pa.array(alike, pa.float64()), names.take(y), names.take(x)
+                )], names=["doc_id", "leader", "likeness", "fingerprint", "leader_fingerprint"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
+            begin = 0
+            for end in range(1, len(keys) + 1):
+                if end < len(keys) and keys[end] == keys[begin]:
+                    continue
+                if held and keys[begin] != key:
+                    yield from settle()
+                    held.clear()
+                key = keys[begin]
+                held.append(batch.slice(begin, end - begin))
+                begin = end
+        if held:
+            yield from settle()
+
+    led = compared.where(F.col("likeness") >= least).select(
+        "m.doc_id", F.col("l.doc_id").alias("leader"), "likeness", "m.fingerprint", F.col("l.fingerprint").alias("leader_fingerprint")
     )
+    return led.unionByName(rows.mapInArrow(run, schema)).distinct()
+
+
+def unconnected_links(slots: np.ndarray, odd: np.ndarray, block: np.ndarray | None, least: float) -> list[tuple[int, int, float]]:
+    """(smaller, larger, likeness) places of rows of ``slots`` that reach ``least`` likeness, of which one
+    is ``odd``, and that no earlier link connects. Rows that are not odd are connected. With
+    ``block``, only rows of different blocks are compared."""
+    found = []
+    group = np.where(odd, np.arange(len(slots)) + 1, 0)
+    for x in np.flatnonzero(odd):
+        alike = likeness(slots, slots[x])
+        good = (alike >= least) & (group != group[x])
+        if block is not None:
+            good &= block != block[x]
+        places = np.flatnonzero(good)
+        joined, first = np.unique(group[places], return_index=True)
+        found += [(int(min(x, y)), int(max(x, y)), float(alike[y])) for y in places[first]]
+        group[np.isin(group, joined)] = group[x]
+    return found
 
 
 def edited_text(text: str, following: str) -> str:

@@ -367,6 +367,44 @@ def test_fingerprint_likeness(spark):
     assert alike <= found <= differ
 
 
+@pytest.mark.parametrize("block_members", [4096, 60])
+def test_near_documents_in_a_large_bucket(spark, block_members):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    bases = rng.integers(0, 256, (40, 128), np.uint8)
+    # All share the first band with a leader that is like none of them.
+    prints = [bases[0]] + [bases[1 + i % 39].copy() for i in range(400)]
+    for p in prints[1:]:
+        p[rng.integers(4, 128, rng.integers(0, 25))] = rng.integers(0, 256)
+    for p in prints:
+        p[:4] = 7
+    ids = [n if n % 5 else None for n in range(1, 402)]
+    df = spark.createDataFrame([(i, bytes(p).hex()) for i, p in zip(ids, prints)], "doc_id long, fingerprint string")
+    rows = edit_fingerprint.near_documents(df, block_members=block_members).collect()
+    ident, slots = {}, {bytes(p).hex(): p for p in prints}
+    for i, p in zip(ids, prints):
+        known = [n for n in (i, ident.get(bytes(p).hex())) if n is not None]
+        ident[bytes(p).hex()] = min(known, default=None)
+    names, parent = list(slots), {n: n for n in slots}
+    want = {n: {m for m in names if (slots[n] == slots[m]).mean() >= 0.8} for n in names}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in rows:
+        a, b = r["fingerprint"], r["leader_fingerprint"]
+        assert a != b and b in want[a] and r["likeness"] == (slots[a] == slots[b]).mean()
+        assert (r["doc_id"], r["leader"]) == (ident[a], ident[b])
+        assert (ident[b] is None, ident[b] or 0, b) < (ident[a] is None, ident[a] or 0, a)
+        parent[root(a)] = root(b)
+    assert all(root(a) == root(b) for a in names for b in want[a])
+    if block_members > len(prints):
+        assert len(rows) < 32 * len(names)
+
+
 # --- toxicity --------------------------------------------------------------------------
 
 
