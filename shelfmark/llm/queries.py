@@ -86,11 +86,7 @@ def op8_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(HARD_CONVERSATION, rows.schema))
     formatted = chat_format.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json"))
-    return chat_format.read_back(formatted).select(
-        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
-        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
-        "formatted_chars",
-    )
+    return chat_format.read_digests(formatted)
 
 
 @query

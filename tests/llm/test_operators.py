@@ -330,6 +330,28 @@ def test_chat(spark, block):
     assert chat_format.format_conversations(df.limit(0), path).count() == 0
 
 
+def test_chat_blocks_are_bounded(spark):
+    said = ["hello", None, "<|done|> é", "long " * 30, "", "\\-"]
+    rows = [(None, None, "assistant" if i % 3 else "user", f"{said[i % 6]} {i}") for i in range(300)]
+    rows += [(1, 4, "assistant", said[i % 6]) for i in range(300)] + [(2, i, "user", "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    formatted = chat_format.format_conversations(df, public_tokenizers.path("byte_bpe_50k.json"), turns_per_block=20).cache()
+    assert max(len(chat_format.read_turns(r["formatted"])) for r in formatted.select("formatted").collect()) <= 20
+    got = {r["conv_id"]: r for r in chat_format.read_digests(formatted).collect()}
+    whole = {r["conv_id"]: r for r in chat_format.read_back(formatted).collect()}
+    want = defaultdict(list)
+    for c, t, role, text in rows:
+        want[c].append((t or 0, role, text or ""))
+    assert set(got) == set(whole) == set(want)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for c, turns in want.items():
+        turns.sort()
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), len(loss), sha(loss))
+        assert got[c]["turns_sha256"] == sha("".join(f"{role}\n{text}\n" for _, role, text in turns)) == sha(whole[c]["turns"])
+        assert got[c]["formatted_chars"] == whole[c]["formatted_chars"]
+
+
 # --- fingerprints ----------------------------------------------------------------------
 
 
