@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe_codec, chat_format, edit_fingerprint, exact_dedup, jaccard_join, license_scan, mixing, pii_scan, token_counts, toxicity
+from shelfmark.llm import (
+    bpe_codec, chat_format, edit_fingerprint, exact_dedup, fill_in_middle, jaccard_join, license_scan, mixing, pii_scan,
+    token_counts, toxicity,
+)
 from shelfmark.runtime import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,5 +104,13 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_sets(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    pieces = fill_in_middle.output_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fill_in_middle.restored(pieces, fill_in_middle.Digest).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.col("restored").alias("restored_sha256")
+    )
+
+
 def registered() -> dict[str, Query]:
     return dict(REGISTRY)
