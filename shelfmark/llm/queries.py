@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    bpe_codec, chat_format, edit_fingerprint, exact_dedup, fill_in_middle, jaccard_join, license_scan, mixing, pii_scan,
-    token_counts, toxicity,
+    bpe_codec, chat_format, edit_fingerprint, exact_dedup, fill_in_middle, jaccard_join, license_scan, mixing,
+    periodic_runs, pii_scan, token_counts, toxicity,
 )
+from shelfmark.llm.common import WORD, text_of
 from shelfmark.runtime import new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,5 +113,34 @@ def op11_fill_in_middle(spark, sf_dir):
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` where the words of every tenth text, by a hash of its identifier, repeat from some
+    word on: word i >= a becomes word a + (i - a) % p. Rows without an identifier stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(text_of("text"), F.lit(f"({WORD})"), F.lit(1)))
+    g, n = F.floor(h / 10), F.size("words")
+    drawn = docs.select("doc_id", "text", g.alias("g"), words.alias("words")).withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n))
+    drawn = drawn.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p = F.col("a"), F.col("p")
+    turned = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", (a + (i - a) % p).cast("int"))))
+    return drawn.select("doc_id", F.when(F.col("n") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")
+    )))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return periodic_runs.find_runs(docs).withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), "longest.length",
+        (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def registered() -> dict[str, Query]:
     return dict(REGISTRY)
