@@ -2,6 +2,7 @@ r"""DuckDB SQL for the queries of this package that SQL can express."""
 
 from __future__ import annotations
 
+from shelfmark.llm import quality_rules as qr
 from shelfmark.llm.license_rules import BASE, all_rules, spaced
 from shelfmark.llm.license_scan import CLASS_SCORES
 from shelfmark.llm.mixing import SHARE, WEIGHTS
@@ -158,6 +159,61 @@ FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
 
+def quality_rules(rounds: int = qr.ROUNDS) -> str:
+    """Counts and votes, then as many steps of expectation-maximisation as the query takes."""
+    rules = range(len(qr.RULES))
+    counted = ", ".join(f"len(regexp_extract_all(t, {quoted(p)})) AS {c}" for c, p in qr.PATTERNS.items())
+    common = ", ".join(map(quoted, qr.FUNCTION_WORDS))
+    votes = ", ".join(
+        f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v{i}" for i, r in enumerate(qr.RULES)
+    )
+    names = ", ".join(f"v{i}" for i in rules)
+
+    def posterior() -> str:
+        terms = [f"CASE v{i} WHEN 1 THEN ln(g{i} / (1 - b{i})) WHEN -1 THEN ln((1 - g{i}) / b{i}) ELSE 0 END" for i in rules]
+        return f"1 / (1 + exp(-(ln(pi / (1 - pi)) + {' + '.join(terms)})))"
+
+    def rate(right: str, voted: str, begin: float, weight: float) -> str:
+        return f"(coalesce(sum({right}), 0) + {weight} * sum(n) * {begin}) / (coalesce(sum({voted}), 0) + {weight} * sum(n))"
+
+    step = ", ".join(
+        [f"{rate('n * p', 'n', qr.START_GOOD, qr.WEIGHT_ON_GOOD)} AS pi"]
+        + [f"{rate(f'CASE WHEN v{i} = 1 THEN n * p END', f'CASE WHEN v{i} <> 0 THEN n * p END', qr.START_RIGHT_ON_GOOD, qr.WEIGHT_ON_GOOD)} AS g{i}" for i in rules]
+        + [f"{rate(f'CASE WHEN v{i} = -1 THEN n * (1 - p) END', f'CASE WHEN v{i} <> 0 THEN n * (1 - p) END', qr.START_RIGHT_ON_BAD, qr.WEIGHT_ON_BAD)} AS b{i}" for i in rules]
+    )
+    begin = ", ".join(
+        [f"{qr.START_GOOD}::DOUBLE AS pi"] + [f"{qr.START_RIGHT_ON_GOOD}::DOUBLE AS g{i}, {qr.START_RIGHT_ON_BAD}::DOUBLE AS b{i}" for i in rules]
+    )
+    steps = ",\n".join(
+        f"m{k} AS MATERIALIZED (SELECT {step} FROM (SELECT *, {posterior()} AS p FROM patterns, m{k - 1}))" for k in range(1, rounds + 1)
+    )
+    return rf"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+places AS (
+  SELECT row_no, unnest(range(len(w) - {qr.WINDOW - 1})) AS i,
+         unnest(list_transform(range(len(w) - {qr.WINDOW - 1}), lambda i: array_to_string(w[i + 1:i + {qr.WINDOW}], ' '))) AS said FROM texts WHERE len(w) >= {qr.WINDOW}),
+again AS (SELECT row_no, i FROM (SELECT *, count(*) OVER (PARTITION BY row_no, said) AS c FROM places) WHERE c > 1),
+repeats AS (SELECT row_no, count(DISTINCT i + k) AS n FROM again, range({qr.WINDOW}) ks(k) GROUP BY row_no),
+counts AS MATERIALIZED (
+  SELECT row_no, doc_id, len(w) AS n_words, coalesce(len(array_to_string(w, '')), 0) AS word_chars, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+         len(list_distinct(w)) AS n_distinct_words, len(list_intersect(w, [{common}])) AS n_function_words, {counted}
+  FROM texts LEFT JOIN repeats USING (row_no)),
+voted AS MATERIALIZED (SELECT *, {votes} FROM counts),
+patterns AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS n FROM voted GROUP BY {names}),
+m0 AS (SELECT {begin}),
+{steps},
+judged AS (
+  SELECT *, n_words < {qr.LEAST_WORDS} OR 100 * n_repeat_words > {qr.REPEAT_PERCENT} * n_words AS base_failed, {posterior()} AS posterior
+  FROM voted, m{rounds})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept, posterior
+FROM judged
+"""
+
+
 FILL_IN_MIDDLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
@@ -188,4 +244,5 @@ def statements() -> dict[str, str]:
         "op8_chat_format": CHAT_FORMAT,
         "op10_jaccard_join": JACCARD_JOIN,
         "op11_fill_in_middle": FILL_IN_MIDDLE,
+        "op12_quality_rules": quality_rules(),
     }

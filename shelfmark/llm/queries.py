@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import (
     bpe_codec, chat_format, edit_fingerprint, exact_dedup, fill_in_middle, jaccard_join, license_scan, mixing,
-    periodic_runs, pii_scan, token_counts, toxicity,
+    periodic_runs, pii_scan, quality_rules, token_counts, toxicity,
 )
 from shelfmark.llm.common import WORD, text_of
-from shelfmark.runtime import new_scratch_path
+from shelfmark.runtime import materialise, new_scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -113,6 +113,16 @@ def op11_fill_in_middle(spark, sf_dir):
     )
 
 
+@query
+def op12_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = materialise(quality_rules.measure(docs).drop("text"), "quality")
+    judged = quality_rules.judge(measured, quality_rules.fit(measured))
+    return judged.select("doc_id", *[
+        f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    ])
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``docs`` where the words of every tenth text, by a hash of its identifier, repeat from some
     word on: word i >= a becomes word a + (i - a) % p. Rows without an identifier stay as they are."""
