@@ -29,11 +29,36 @@ def first_words(text: str, n: int) -> str:
     return f"array_to_string({words(text)}[1:{n}], ' ')"
 
 
-def lead(text: str, opening: str, n: int = 40) -> str:
+def lead(text: str, opening: str, n: int) -> str:
     head = first_words(text, n)
     return f"CASE WHEN {head} <> '' THEN '{opening}' || {head} END"
 
 
+def key_sentences(name: str, source: str, key: str, opening: str, n: int = 100, longest: int = 40) -> dict[str, str]:
+    """Views that summarise the texts of ``source`` (key, text): units, their words, ranks."""
+    return {
+        f"{name}_u": rf"""
+            SELECT {key}, list_filter(all_u, lambda x, i: list_position(all_u, x) = i) AS u FROM (
+            SELECT {key}, list_filter(list_transform(flatten(list_transform(
+              list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1) || '|\n+'),
+                lambda s: {words('s')}),
+              lambda w: list_transform(range(1, greatest(len(w), 1) + 1, {longest}), lambda i: array_to_string(w[i:i + {longest - 1}], ' ')))),
+              lambda u: regexp_replace(u, '^[# ]+|[# ]+$', '', 'g')), lambda u: u <> '') AS all_u FROM {source})""",
+        f"{name}_t": rf"""
+            SELECT {key}, ord, n, total, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS term FROM (
+              SELECT {key}, ord, total, len(string_split(unit, ' ')) AS n,
+                list_distinct(list_filter(regexp_split_to_array(lower(unit), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 4)) AS t
+              FROM (SELECT {key}, len(u) AS total, unnest(u) AS unit, generate_subscripts(u, 1) AS ord FROM {name}_u))""",
+        f"{name}_r": f"""
+            SELECT *, sum(n) OVER (PARTITION BY {key} ORDER BY ord = 1 DESC, ord = total DESC, score DESC, ord) AS upto FROM (
+              SELECT {key}, ord, n, total, floor(1000 * sum(CASE WHEN c >= 2 AND 2 * c <= total THEN c ELSE 0 END) / n) AS score FROM (
+                SELECT *, count(term) OVER (PARTITION BY {key}, term) AS c FROM {name}_t) GROUP BY {key}, ord, n, total)""",
+        name: f"""
+            SELECT {key}, '{opening}' || string_agg(u[ord], ' ' ORDER BY ord) AS summary
+            FROM {name}_r JOIN {name}_u USING ({key}) WHERE upto <= {n} GROUP BY {key}""",
+    }
+
+
 def join_broken(text: str) -> str:
     return rf"regexp_replace({text}, '\n(\p{{Ll}}|ª|º)', '\1', 'g')"
 
@@ -131,10 +156,12 @@ VIEWS: dict[str, str] = {
               WHEN a.ext = 'pdf' THEN {drop_repeats('j.text')}
               WHEN a.ext IN ('docx', 'pptx') THEN {drop_repeats('a.text')} ELSE a.text END AS text
             FROM accepted a JOIN joined_lines j USING (doc_id)))""",
+    **key_sentences("whole_summaries", "documents", "doc_id", "This document "),
+    **key_sentences("doc_summaries", "texts", "doc_id", "This document "),
     "docs": f"""
         SELECT id, name, path AS file_path, folder, ext AS doc_type, hash, doc_id,
-          coalesce({lead('text', 'This document ')}, {quoted(NO_DOCUMENT_SUMMARY)}) AS summary,
-          0::BIGINT AS created_ms FROM texts""",
+          coalesce(s.summary, {quoted(NO_DOCUMENT_SUMMARY)}) AS summary,
+          0::BIGINT AS created_ms FROM texts LEFT JOIN doc_summaries s USING (doc_id)""",
     "cut_texts": "SELECT doc_id, text FROM texts WHERE ext <> 'xlsx'",
     **cut("chunks", "cut_texts", "doc_id"),
     **cut("doc_chunks", "documents", "doc_id"),
@@ -187,16 +214,25 @@ VIEWS: dict[str, str] = {
         SELECT folder, string_agg(summary, {SEP} ORDER BY summary) AS text, {mark('summary')} AS mark
         FROM docs GROUP BY folder""",
     **{
-        f"level{d}": f"""
-        SELECT *, sha256('folder:' || hash) AS id, coalesce({lead('text', 'This folder ')}, CASE
-            WHEN trim(text) = '' THEN {quoted(EMPTY_FOLDER)} ELSE {quoted(NO_FOLDER_SUMMARY)} END) AS summary
-        FROM (SELECT *, sha256(path || '+' || mark) AS hash FROM (
+        name: view
+        for d in (3, 2, 1)
+        for name, view in {
+            f"level_texts{d}": f"""
+        SELECT *, sha256(path || '+' || mark) AS hash FROM (
           SELECT t.*, {'' if d == 3 else "coalesce(k.text, '') || "}coalesce(x.text, '') AS text,
             {"''" if d == 3 else "coalesce(k.mark, '')"} || '|' || coalesce(x.mark, '') AS mark FROM tree t
           LEFT JOIN doc_texts x ON x.folder = t.path
           {'' if d == 3 else f'''LEFT JOIN (SELECT parent, string_agg(summary, {SEP} ORDER BY summary) AS text,
-            {mark('summary')} AS mark FROM level{d + 1} GROUP BY parent) k ON k.parent = t.path'''} WHERE depth = {d}))"""
-        for d in (3, 2, 1)
+            {mark('summary')} AS mark FROM level{d + 1} GROUP BY parent) k ON k.parent = t.path'''} WHERE depth = {d})""",
+            # A provider gets the first words of the text, up to the budget.
+            f"level_asked{d}": f"""
+        SELECT path, CASE WHEN len({words('text')}) > 5000 THEN {first_words('text', 5000)} ELSE text END AS text FROM level_texts{d}""",
+            **key_sentences(f"level_summaries{d}", f"level_asked{d}", "path", "This folder "),
+            f"level{d}": f"""
+        SELECT *, sha256('folder:' || hash) AS id, coalesce(s.summary, CASE
+            WHEN trim(text) = '' THEN {quoted(EMPTY_FOLDER)} ELSE {quoted(NO_FOLDER_SUMMARY)} END) AS summary
+        FROM level_texts{d} LEFT JOIN level_summaries{d} s USING (path)""",
+        }.items()
     },
     "fresh": "SELECT * FROM level3 UNION ALL SELECT * FROM level2 UNION ALL SELECT * FROM level1",
     "older": """
@@ -450,7 +486,7 @@ BODIES: dict[str, str] = {
         SELECT vec_id, {distance('e.embedding', 'q.vector')} AS distance
         FROM embeddings e JOIN queries q ON q.query_id = e.label""",
     "summarise": f"""
-        SELECT doc_id, coalesce({lead('text', 'This document ')}, 'no summary') AS summary FROM documents""",
+        SELECT d.doc_id, coalesce(s.summary, 'no summary') AS summary FROM documents d LEFT JOIN whole_summaries s USING (doc_id)""",
     "fallback_chain": f"""
         SELECT conv_id, turn, CASE WHEN length(text) <= 120 THEN text
           WHEN NOT contains(text, {NL}) THEN coalesce({lead('text', 'Lines: ', 5)}, 'no answer')

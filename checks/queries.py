@@ -136,7 +136,7 @@ def reconcile_schema(v):
 @query
 def insert_object(v):
     stored = v.stored.select("id", "file_path", "hash")
-    new = v.documents.select("id", "file_path", "hash", "name")
+    new = v.records.select("id", "file_path", "hash", "name")
     return O.insert(stored, new)
 
 
@@ -194,7 +194,7 @@ def lookup_by_path(v):
 @query
 def segments_of_document(v):
     toxic = v.table("labels").where("toxic = 1").select("doc_id")
-    owners = v.documents.join(toxic, "doc_id", "left_semi")
+    owners = v.records.join(toxic, "doc_id", "left_semi")
     return O.segments_of(v.segments, owners).select("id", "document_id")
 
 
@@ -218,7 +218,7 @@ def drop_rejected_ids(v):
 @query
 def skip_spreadsheet_segments(v):
     counts = v.segments.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return v.documents.join(counts, "id", "left").groupBy("doc_type").agg(
+    return v.records.join(counts, "id", "left").groupBy("doc_type").agg(
         F.sum(F.coalesce("n", F.lit(0))).alias("n_segments")
     )
 
@@ -268,7 +268,7 @@ def flatten_segments(v):
 
 @query
 def join_segment_document(v):
-    owners = v.documents.where(~F.col("doc_type").isin("pdf"))
+    owners = v.records.where(~F.col("doc_type").isin("pdf"))
     return O.segment_documents(v.segments, owners).select("id", "document_id", "document")
 
 
@@ -292,7 +292,7 @@ def join_folder_subfolders(v):
 
 @query
 def link_document_segments(v):
-    linked = O.linked_documents(v.documents.select("id", "name"), v.segments)
+    linked = O.linked_documents(v.records.select("id", "name"), v.segments)
     return linked.select("id", "name", joined("segments").alias("segments"))
 
 
@@ -537,7 +537,7 @@ def sort_summaries(v):
 @query
 def upsert_documents(v):
     new = O.lookup(
-        v.documents.select("id", "file_path", "hash"),
+        v.records.select("id", "file_path", "hash"),
         hashes=O.changed_or_new(v.scan, v.stored),
     )
     return O.upsert(v.stored, new)
@@ -546,7 +546,7 @@ def upsert_documents(v):
 @query
 def upsert_documents_pruned(v):
     new = O.lookup(
-        v.documents.select("id", "file_path", "hash"),
+        v.records.select("id", "file_path", "hash"),
         hashes=O.changed_or_new(v.scan, v.stored),
     )
     return O.upsert(v.stored, new, v.scan)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import (
-    document_hash, document_id, extracted_text, folder_hash, folder_id, lead_summary,
+    document_hash, document_id, extracted_text, folder_hash, folder_id,
 )
 from shelfmark.functions.text import DOCUMENT_OPENING, NO_DOCUMENT_SUMMARY
-from shelfmark.operators import ancestors, chunk_documents
+from shelfmark.operators import KeySentences, ancestors, chunk_documents, summarise
 from shelfmark.runtime import materialise, spread
 from shelfmark.sources import corpus_files
 from shelfmark.sources.files import accept
@@ -65,12 +65,20 @@ class Views:
         )
 
     @cached_property
-    def documents(self) -> DataFrame:
-        """Document records without vectors; ``doc_id`` leads back to the given tables."""
-        summary = F.coalesce(lead_summary(F.col("text"), DOCUMENT_OPENING), F.lit(NO_DOCUMENT_SUMMARY))
+    def records(self) -> DataFrame:
+        """Document records without summaries and vectors; ``doc_id`` leads back to the given tables."""
         return self.texts.select(
-            "id", "name", F.col("path").alias("file_path"), "folder", F.col("ext").alias("doc_type"),
-            "hash", summary.alias("summary"), F.lit(0).cast("long").alias("created_ms"), "doc_id",
+            "id", "name", F.col("path").alias("file_path"), "folder", F.col("ext").alias("doc_type"), "hash",
+            F.lit(0).cast("long").alias("created_ms"), "doc_id",
+        )
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        """The same with summaries."""
+        done = summarise(self.texts, "text", (KeySentences(DOCUMENT_OPENING),), message=NO_DOCUMENT_SUMMARY)
+        return done.select(
+            "id", "name", F.col("path").alias("file_path"), "folder", F.col("ext").alias("doc_type"), "hash", "summary",
+            F.lit(0).cast("long").alias("created_ms"), "doc_id",
         )
 
     @cached_property

@@ -161,7 +161,7 @@ def question_prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit(f"{_ANSWER}\n###\nQUESTION:\n"), question, F.lit("\n###\nPASSAGES:\n"), context)
 
 
-def lead_summary(text: Column, opening: str, n: int = 40) -> Column:
+def lead_summary(text: Column, opening: str, n: int) -> Column:
     """``opening`` and the first ``n`` words; null where there is no word."""
     return let(first_words(text, n), lambda head: F.when(head != "", F.concat(F.lit(opening), head)))
 

@@ -8,7 +8,7 @@ from shelfmark.operators.chunking import (
     chunk_documents, chunk_text, drop_rejected, drop_repeat_units, keep_substantial,
 )
 from shelfmark.operators.enrich import (
-    BatchModel, LeadSummary, Provider, classify_segments, embed, fallback, hashed_vectors, summarise,
+    BatchModel, KeySentences, LeadSummary, Provider, classify_segments, embed, fallback, hashed_vectors, summarise,
 )
 from shelfmark.operators.folders import (
     ancestors, beginning_texts, content_marks, count_items, nonempty_summaries, rollup, stale_folders,

@@ -1,8 +1,9 @@
 """Summaries, vectors and verdicts from pluggable batch providers.
 
-A provider is any object with ``column(text) -> Column``. The defaults are built from Spark
-expressions, need no model and always give the same result. :class:`BatchModel` wraps a
-user's own model, loaded once per Python worker and called with batches of texts.
+A provider is any object with ``column(text) -> Column`` or, if it looks at more than a row,
+``table(df, text, out) -> DataFrame``. The defaults are built from Spark expressions, need no model
+and always give the same result. :class:`BatchModel` wraps a user's own model, loaded once per
+Python worker and called with batches of texts.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.functions.text import (
-    DOCUMENT_OPENING, first_words, lead_summary, summary_or_default,
-)
+from shelfmark.functions.text import first_words, lead_summary, summary_or_default
+from shelfmark.operators.key_sentences import KeySentences
 from shelfmark.runtime import materialise
 from shelfmark.schema import VECTOR
 
@@ -28,16 +28,23 @@ from shelfmark.schema import VECTOR
 SUMMARY_WORDS = 250
 
 
-class Provider(Protocol):
+class ColumnProvider(Protocol):
     def column(self, text: Column) -> Column: ...
 
 
+class TableProvider(Protocol):
+    def table(self, df: DataFrame, text: str, out: str) -> DataFrame: ...
+
+
+Provider = ColumnProvider | TableProvider
+
+
 @dataclass(frozen=True)
 class LeadSummary:
-    """The opening phrase and the first words of the text."""
+    """The opening phrase and the first ``n`` words of the text, for when its beginning is wanted."""
 
-    opening: str = DOCUMENT_OPENING
-    n: int = 40
+    opening: str
+    n: int
 
     def column(self, text: Column) -> Column:
         return lead_summary(text, self.opening, self.n)
@@ -83,18 +90,26 @@ class BatchModel:
         return F.pandas_udf(run, self.returns).asNondeterministic()(text)
 
 
+def _answered(df: DataFrame, provider: Provider, text: str, out: str) -> DataFrame:
+    if hasattr(provider, "table"):
+        return provider.table(df, text, out)
+    return df.withColumn(out, provider.column(F.col(text)))
+
+
 def fallback(
     df: DataFrame, text: str, providers: Sequence[Provider], out: str, message: str | None = None
 ) -> DataFrame:
     """Ask each provider in turn, only for rows that still have no result; then ``message``.
 
-    One pass over ``df``: a provider gets null, and skips it, where an earlier one answered.
+    One pass over ``df`` with column providers: each gets null, and skips it, where an earlier one
+    answered. A table provider reads its input twice, so what earlier ones answered is stored first.
     """
-    answer = providers[0].column(F.col(text))
-    df = df.withColumn(out, answer)
+    df = _answered(df, providers[0], text, out)
     for provider in providers[1:]:
         df = df.withColumn("_open", F.when(F.col(out).isNull(), F.col(text)))
-        df = df.withColumn("_next", provider.column(F.col("_open")))
+        if hasattr(provider, "table"):
+            df = materialise(df, "answered")
+        df = _answered(df, provider, "_open", "_next")
         df = df.withColumn(out, F.coalesce(out, "_next")).drop("_open", "_next")
     if message is not None:
         df = df.withColumn(out, summary_or_default(F.col(out), message))
@@ -104,7 +119,7 @@ def fallback(
 def summarise(
     df: DataFrame,
     text: str,
-    providers: Sequence[Provider] = (LeadSummary(),),
+    providers: Sequence[Provider] = (KeySentences(),),
     out: str = "summary",
     message: str | None = None,
     max_words: int = SUMMARY_WORDS,

@@ -25,7 +25,7 @@ from shelfmark.functions.text import (
     FOLDER_OPENING, NO_FOLDER_SUMMARY, SUMMARY_SEPARATOR, WORD_BUDGET, embedding_input, folder_hash, folder_id,
     folder_prompt, truncate_words,
 )
-from shelfmark.operators.enrich import SUMMARY_WORDS, LeadSummary, Provider, embed, summarise
+from shelfmark.operators.enrich import SUMMARY_WORDS, KeySentences, Provider, embed, summarise
 from shelfmark.operators.grouping import hot_keys, number_rows
 from shelfmark.runtime import materialise
 from shelfmark.schema import FOLDERS, VECTOR
@@ -149,7 +149,7 @@ def rollup(
     folders: DataFrame,
     documents: DataFrame,
     stored: DataFrame | None = None,
-    providers: Sequence[Provider] = (LeadSummary(FOLDER_OPENING),),
+    providers: Sequence[Provider] = (KeySentences(FOLDER_OPENING),),
     vectors: Provider | None = None,
     prompts: bool = False,
     now_ms: Column | None = None,

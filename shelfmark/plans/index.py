@@ -15,7 +15,7 @@ from shelfmark.functions.text import (
 from shelfmark.operators.changes import cascade_delete, changed_or_new, gone_rows, stale_rows
 from shelfmark.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
 from shelfmark.operators.enrich import (
-    SUMMARY_WORDS, LeadSummary, Provider, classify_segments, embed, summarise,
+    SUMMARY_WORDS, KeySentences, Provider, classify_segments, embed, summarise,
 )
 from shelfmark.operators.folders import ancestors, rollup, upsert_folders
 from shelfmark.runtime import bounded_rows, materialise, new_scratch_path, spread, temporary_scratch
@@ -26,8 +26,8 @@ from shelfmark.sources.snapshots import new_snapshot_id, write_manifest, write_t
 class Settings:
     """What a run uses; the defaults need no model."""
 
-    document_summaries: Sequence[Provider] = (LeadSummary(DOCUMENT_OPENING),)
-    folder_summaries: Sequence[Provider] = (LeadSummary(FOLDER_OPENING),)
+    document_summaries: Sequence[Provider] = (KeySentences(DOCUMENT_OPENING),)
+    folder_summaries: Sequence[Provider] = (KeySentences(FOLDER_OPENING),)
     vectors: Provider | None = None
     prompts: bool = False
     word_budget: int = WORD_BUDGET

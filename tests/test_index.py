@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from test_key_sentences import plain_summary
 
 from shelfmark.operators import BatchModel, ancestors, classify, count_items, index_counts, rollup, stale_folders
 from shelfmark.plans import Settings, run_index
@@ -39,10 +40,6 @@ def first(spark):
     return run_index(files(spark, TREE), settings=settings())
 
 
-def lead(opening, text):
-    return opening + " ".join(text.split()[:40])
-
-
 def mark(summaries):
     lanes = [sum(int(sha(s)[15 * i : 15 * i + 15], 16) for s in summaries) for i in range(4)]
     return ":".join(map(str, [len(summaries), *lanes])) if summaries else ""
@@ -59,7 +56,7 @@ def folder_twin(summaries):
         subs = sorted(done[p][1] for p in done if p.rpartition("/")[0] == path)
         docs = sorted(s for p, s in summaries.items() if p.rpartition("/")[0] == path and s)
         text = "###\n".join(subs) + "###\n".join(docs)
-        done[path] = (sha(f"{path}+{mark(subs)}|{mark(docs)}"), lead("This folder ", text) if text.strip() else "This folder is empty")
+        done[path] = (sha(f"{path}+{mark(subs)}|{mark(docs)}"), plain_summary(text, "This folder ") if text.strip() else "This folder is empty")
     return done
 
 
