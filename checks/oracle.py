@@ -8,7 +8,7 @@ groups and marks.
 from __future__ import annotations
 
 from shelfmark.functions.text import (
-    _ANSWER, _FOLDER, _START_ONLY, _WHOLE, NO_DOCUMENT_SUMMARY, NO_FOLDER_SUMMARY,
+    ANSWER_INSTRUCTIONS, DOCUMENT_INSTRUCTIONS, EXCERPT_NOTE, FOLDER_INSTRUCTIONS, NO_DOCUMENT_SUMMARY, NO_FOLDER_SUMMARY,
 )
 from shelfmark.operators.folders import EMPTY_FOLDER
 
@@ -34,6 +34,24 @@ def lead(text: str, opening: str, n: int) -> str:
     return f"CASE WHEN {head} <> '' THEN '{opening}' || {head} END"
 
 
+def hashed(text: str, dimensions: int = 256) -> str:
+    """The places of a text's words, by the first digits of each word's MD5."""
+    found = rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    return f"list_transform({found}, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % {dimensions})"
+
+
+def hashed_vectors(name: str, source: str, key: str, text: str, dimensions: int = 256) -> dict[str, str]:
+    """Views with the vectors of the texts of ``source``."""
+    return {
+        f"{name}_n": f"""
+            SELECT {key}, place, count(*) - 1 AS n FROM (
+              SELECT {key}, unnest(list_concat(range({dimensions}), {hashed(text, dimensions)})) AS place FROM {source}) GROUP BY ALL""",
+        name: f"""
+            SELECT {key}, list((CASE WHEN norm > 0 THEN n / norm ELSE 0 END)::FLOAT ORDER BY place) AS vector FROM (
+              SELECT *, sqrt(sum(n * n) OVER (PARTITION BY {key})) AS norm FROM {name}_n) GROUP BY {key}""",
+    }
+
+
 def key_sentences(name: str, source: str, key: str, opening: str, n: int = 100, longest: int = 40) -> dict[str, str]:
     """Views that summarise the texts of ``source`` (key, text): units, their words, ranks."""
     return {
@@ -162,6 +180,9 @@ VIEWS: dict[str, str] = {
         SELECT id, name, path AS file_path, folder, ext AS doc_type, hash, doc_id,
           coalesce(s.summary, {quoted(NO_DOCUMENT_SUMMARY)}) AS summary,
           0::BIGINT AS created_ms FROM texts LEFT JOIN doc_summaries s USING (doc_id)""",
+    **hashed_vectors("text_vectors", "documents", "doc_id", "text"),
+    **hashed_vectors("item_vectors", "benchmark", "item_id", "text"),
+    **hashed_vectors("summary_vectors", "docs", "id", "summary"),
     "cut_texts": "SELECT doc_id, text FROM texts WHERE ext <> 'xlsx'",
     **cut("chunks", "cut_texts", "doc_id"),
     **cut("doc_chunks", "documents", "doc_id"),
@@ -169,6 +190,7 @@ VIEWS: dict[str, str] = {
     "segments": """
         SELECT sha256('segment:' || t.id || ':' || c.ord) AS id, t.id AS document_id, c.ord, c.text,
           0::BIGINT AS created_ms, doc_id FROM chunks c JOIN texts t USING (doc_id)""",
+    **hashed_vectors("segment_vectors", "segments", "id", "text"),
     "queries": """
         SELECT label::BIGINT AS query_id, list(x::FLOAT ORDER BY i) AS vector FROM (
           SELECT label, i, avg(x) AS x FROM (
@@ -433,10 +455,22 @@ BODIES: dict[str, str] = {
     "search_context": f"""
         SELECT q.query_id, coalesce(n, 0)::INT AS n_segments, context FROM queries q LEFT JOIN contexts USING (query_id)""",
     "search_answers": f"""
-        SELECT query_id, n::INT AS n_segments, 'A prompt of ' || length({quoted(_ANSWER)} || {NL} || '###' || {NL}
-          || 'QUESTION:' || {NL} || 'What is topic ' || query_id || '?' || {NL} || '###' || {NL} || 'PASSAGES:' || {NL}
+        SELECT query_id, n::INT AS n_segments, 'A prompt of ' || length({quoted(ANSWER_INSTRUCTIONS)} || {NL} || {NL}
+          || 'Question: What is topic ' || query_id || '?' || {NL} || {NL}
           || context) AS answer FROM contexts
         UNION ALL SELECT -1, 0, NULL""",
+    "embed": "SELECT doc_id, vector FROM text_vectors",
+    "search_texts": f"""
+        SELECT {_HIT_COLUMNS}, d.name, d.file_path, d.summary FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM (
+            SELECT q.item_id AS query_id, v.id, {distance('q.vector', 'v.vector')} AS distance FROM item_vectors q, summary_vectors v)) h
+        JOIN docs d USING (id) WHERE rank <= 20""",
+    "search_cells": f"""
+        SELECT count(DISTINCT query_id) AS n_queries, round(sum(distance), 3) AS exact_distances, true AS recall_reached
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance) AS rank FROM (
+            SELECT s.doc_id AS query_id, {distance('q.vector', 'v.vector')} AS distance
+            FROM segments s JOIN segment_vectors q USING (id), segment_vectors v WHERE s.doc_id % 50 = 0 AND s.ord = 0))
+        WHERE rank <= 10""",
     "limit_rows": "SELECT path, ord, text FROM units ORDER BY path, ord LIMIT 5000",
     "sort_summaries": f"""
         SELECT folder, (rn - 1) // 1000 AS part,
@@ -459,13 +493,11 @@ BODIES: dict[str, str] = {
         SELECT doc_id, CASE WHEN len(w) > 5000 THEN array_to_string(w[1:5000], ' ') ELSE text END AS text,
           len(w) > 5000 AS truncated FROM (SELECT doc_id, text, {words('text')} AS w FROM documents)""",
     "build_prompt": f"""
-        SELECT path, CASE WHEN len(w) > 400 THEN replace({quoted(_START_ONLY)}, '%s', ext)
-            ELSE replace({quoted(_WHOLE)}, '%s', ext) END
-          || {NL} || '###' || {NL} || 'DOCUMENT:' || {NL} || '###' || {NL}
-          || CASE WHEN len(w) > 400 THEN array_to_string(w[1:400], ' ') ELSE text END AS prompt
+        SELECT path, replace({quoted(DOCUMENT_INSTRUCTIONS)}, '%s', ext) || {NL} || {NL}
+          || CASE WHEN len(w) > 400 THEN {quoted(EXCERPT_NOTE)} || {NL} || {NL} || array_to_string(w[1:400], ' ') ELSE text END AS prompt
         FROM (SELECT path, ext, text, {words('text')} AS w FROM texts)""",
     "build_folder_prompt": f"""
-        SELECT folder, {quoted(_FOLDER)} || ' ' || {NL} || '###' || {NL} || ' ' || CASE
+        SELECT folder, {quoted(FOLDER_INSTRUCTIONS)} || {NL} || {NL} || CASE
             WHEN len(w) > 5000 THEN array_to_string(w[1:5000], ' ') ELSE text END AS prompt
         FROM (SELECT folder, text, {words('text')} AS w FROM doc_texts)""",
     "summary_or_default": f"""

@@ -512,6 +512,22 @@ def search_ann_stored(v):
     return nearest_stored(v.queries, path, k=10)
 
 
+@query
+def search_cells(v):
+    """How well the inverted file finds: the first segment of every fiftieth document asks for its
+    ten nearest among all segments, by words. Distances are those of the exact search."""
+    vectors = materialise(O.embed(v.segments, "text").select("id", "doc_id", "ord", "vector"), "vectors")
+    asked = vectors.where("doc_id % 50 = 0 AND ord = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    path = new_scratch_path(v.spark, "cells")
+    O.write_cells(vectors, path)
+    exact = materialise(O.nearest(asked, vectors, k=10), "exact")
+    found = O.recall(exact, O.nearest(asked, vectors, k=10, cells=path, probes=16))
+    summed = exact.agg(F.round(F.sum("distance"), 3).alias("exact_distances"))
+    return found.agg(F.count(F.lit(1)).alias("n_queries"), (F.sum("n_found") / F.sum("n") >= 0.9).alias("recall_reached")).join(
+        summed, F.lit(True)
+    )
+
+
 @query
 def search_texts(v):
     """Texts as queries over documents embedded by the default provider, as a user asks."""

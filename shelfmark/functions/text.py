@@ -124,41 +124,43 @@ def truncate_words(text: Column, n: int = WORD_BUDGET) -> Column:
 
 # --- prompts and summaries -------------------------------------------------------------
 
-_WHOLE = (
-    "Write a short summary of this %s document. Keep its meaning as close to the text as you "
-    "can. Leave the name of the document out. If the text makes no sense, say that the text "
-    "could not be read. Begin with 'This document'"
-)
-_START_ONLY = (
-    "Write a short summary of this %s document. Only its beginning is given, because it is "
-    "long; write a summary that holds for the whole. Leave the name of the document out. If "
-    "the text makes no sense, say that the text could not be read. Begin with 'This document'"
-)
-_FOLDER = (
-    "These are summaries of what a folder holds, with ### between them. Describe briefly what "
-    "the folder is about as a whole, without naming single documents or folders. If there are "
-    "no summaries, say that the folder is empty. Begin with 'This folder'"
-)
-_ANSWER = (
-    "Answer the question from the passages below and from nothing else. If they do not hold the "
-    "answer, say so."
-)
-
-
-def document_prompt(doc_type: Column, text: Column, truncated: Column) -> Column:
-    instruction = F.when(truncated, F.format_string(_START_ONLY, doc_type)).otherwise(
-        F.format_string(_WHOLE, doc_type)
-    )
-    return F.concat(instruction, F.lit("\n###\nDOCUMENT:\n###\n"), text)
+# What a model is asked. The opening phrases are fixed values: summaries begin with them.
+DOCUMENT_INSTRUCTIONS = f"""\
+Purpose: one entry of a search index over files.
+Tell a searcher in plain sentences which subjects, names, places, dates and figures this %s file
+covers and what it could be needed for. Use the terms of the text itself.
+First words of your answer: {DOCUMENT_OPENING.strip()}"""
+EXCERPT_NOTE = "What follows is an excerpt from the start of a longer text."
+FOLDER_INSTRUCTIONS = f"""\
+Purpose: one entry of a search index over folders, and input for the entry of the folder above.
+You get the entries of what lies in one folder. Name the subjects they have in common and the
+range they span, so that a searcher knows whether to look inside.
+First words of your answer: {FOLDER_OPENING.strip()}"""
+ANSWER_INSTRUCTIONS = """\
+Purpose: an answer for somebody who searches the files that these passages come from.
+Passages come nearest first. Rely on them alone; where they are silent, that is the answer."""
+
+
+def _asked(*parts: Column | str) -> Column:
+    """Parts with a blank line between them; those that are null are left out."""
+    return F.concat_ws("\n\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def document_prompt(
+    doc_type: Column, text: Column, truncated: Column, instructions: str = DOCUMENT_INSTRUCTIONS
+) -> Column:
+    """Instructions, with the type in place of ``%s``, and the text; null without a text."""
+    note = F.when(truncated, F.lit(EXCERPT_NOTE))
+    return F.when(text.isNotNull(), _asked(F.replace(F.lit(instructions), F.lit("%s"), doc_type), note, text))
 
 
-def folder_prompt(text: Column) -> Column:
-    return F.concat(F.lit(f"{_FOLDER} \n###\n "), text)
+def folder_prompt(text: Column, instructions: str = FOLDER_INSTRUCTIONS) -> Column:
+    return F.when(text.isNotNull(), _asked(instructions, text))
 
 
-def question_prompt(question: Column, context: Column) -> Column:
+def question_prompt(question: Column, context: Column, instructions: str = ANSWER_INSTRUCTIONS) -> Column:
     """What a model is asked to answer from the context; null without a context."""
-    return F.concat(F.lit(f"{_ANSWER}\n###\nQUESTION:\n"), question, F.lit("\n###\nPASSAGES:\n"), context)
+    return F.when(context.isNotNull(), _asked(instructions, F.concat(F.lit("Question: "), question), context))
 
 
 def lead_summary(text: Column, opening: str, n: int) -> Column:

@@ -4,6 +4,7 @@ from shelfmark.operators.changes import (
     cascade_delete, changed_or_new, classify, gone_rows, index_counts, insert, stale_rows,
     unchanged_documents, upsert, without,
 )
+from shelfmark.operators.cells import compared, nearest_in_cells, recall, write_cells
 from shelfmark.operators.chunking import (
     chunk_documents, chunk_text, drop_rejected, drop_repeat_units, keep_substantial,
 )

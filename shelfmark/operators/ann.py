@@ -62,7 +62,7 @@ def _compared(
         np.array([r["vector"] for r in asked], dtype=np.float64),
         np.array([r["buckets"] for r in asked], dtype=np.int64),
     ))
-    matrix, best = _kernel()
+    matrix, best, _ = _kernel()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -163,7 +163,7 @@ def nearest_stored(queries: DataFrame, path: str, k: int = DEFAULT_K, digits: in
     spark = queries.sparkSession
     few = bounded_rows(_vectors(queries, "query_id", "vector"), MAX_QUERIES)
     if few is None:
-        return _in_batches(queries, MAX_QUERIES, lambda part: nearest_stored(part, path, k, digits))
+        return _in_batches(queries, MAX_QUERIES, k, lambda part: nearest_stored(part, path, k, digits))
     if not few:
         return nearest(queries, queries.selectExpr("string(query_id) id", "vector"), k)
     model = BucketedRandomProjectionLSHModel.load(f"{path}/model")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,15 +131,17 @@ def summarise(
 
 
 def hashed_vectors(df: DataFrame, text: str, out: str = "vector", dimensions: int = 256) -> DataFrame:
-    """The default embedding: hashed word counts, scaled to unit length. No shuffle."""
+    """The default embedding: word counts, hashed by the first digits of each word's MD5, scaled
+    to unit length. No shuffle."""
     df = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    tokens = RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern="[^\\p{L}\\p{N}]+")
-    counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dimensions)
+    tokens = RegexTokenizer(inputCol="_text", outputCol="_words", pattern="[^\\p{L}\\p{N}]+")
+    place = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions).cast("string")
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dimensions)], inputCol="_tokens", outputCol="_counts")
     scaled = Normalizer(inputCol="_counts", outputCol="_scaled", p=2.0)
-    for step in (tokens, counts, scaled):
-        df = step.transform(df)
+    df = tokens.transform(df).withColumn("_tokens", F.transform("_words", place))
+    df = scaled.transform(counts.transform(df))
     return df.withColumn(out, vector_to_array("_scaled", "float32")).drop(
-        "_text", "_tokens", "_counts", "_scaled"
+        "_text", "_words", "_tokens", "_counts", "_scaled"
     )
 
 

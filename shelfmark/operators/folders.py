@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import ancestor_paths, base_name, parent_path
 from shelfmark.functions.text import (
-    FOLDER_OPENING, NO_FOLDER_SUMMARY, SUMMARY_SEPARATOR, WORD_BUDGET, embedding_input, folder_hash, folder_id,
+    FOLDER_INSTRUCTIONS, FOLDER_OPENING, NO_FOLDER_SUMMARY, SUMMARY_SEPARATOR, WORD_BUDGET, embedding_input, folder_hash, folder_id,
     folder_prompt, truncate_words,
 )
 from shelfmark.operators.enrich import SUMMARY_WORDS, KeySentences, Provider, embed, summarise
@@ -155,6 +155,7 @@ def rollup(
     now_ms: Column | None = None,
     word_budget: int = WORD_BUDGET,
     summary_words: int = SUMMARY_WORDS,
+    instructions: str = FOLDER_INSTRUCTIONS,
 ) -> DataFrame:
     """Folder records, leaves first: each level is summarised from the level below it.
 
@@ -163,7 +164,7 @@ def rollup(
     grouped once, before. Every level is written to the shared folder, so the lineage stays
     one level deep. A folder whose hash is in ``stored`` keeps the stored record, and no
     provider is called for it. Providers get the first ``word_budget`` words of a folder's
-    text or, with ``prompts``, the prompt around them.
+    text or, with ``prompts``, ``instructions`` and these.
     """
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
 
@@ -189,14 +190,14 @@ def rollup(
             "hash": folder_hash(F.col("path"), F.concat_ws("|", "_fm", "_dm")),
         }).drop("_ft", "_fm", "_dt", "_dm")
         known = None if stored is None else stored.where(F.col("depth") == depth)
-        below = materialise(_summarised(level, known, providers, prompts, now_ms, summary_words), f"level{depth}")
+        below = materialise(_summarised(level, known, providers, instructions if prompts else None, now_ms, summary_words), f"level{depth}")
         levels.append(below)
     if not levels:
         return folders.sparkSession.createDataFrame([], FOLDERS)
     return _with_vectors(reduce(DataFrame.unionByName, levels), vectors)
 
 
-def _summarised(level, stored, providers, prompts, now_ms, summary_words) -> DataFrame:
+def _summarised(level, stored, providers, instructions, now_ms, summary_words) -> DataFrame:
     """Records of one level; a summary is asked for only where the hash is not stored yet.
 
     New records have no vector so far. A provider gets null, and skips it, for known folders.
@@ -208,7 +209,7 @@ def _summarised(level, stored, providers, prompts, now_ms, summary_words) -> Dat
     else:
         known = stored.select("hash", *[F.col(c).alias(f"_{c}") for c in fields]).dropDuplicates(["hash"])
         level = level.join(known, "hash", "left")
-    text = folder_prompt(F.col("_text")) if prompts else F.col("_text")
+    text = F.col("_text") if instructions is None else folder_prompt(F.col("_text"), instructions)
     level = level.withColumn("_asked", F.when(F.col("_id").isNull(), text))
     done = summarise(level, "_asked", providers, max_words=summary_words)
     missing = F.when(F.trim("_text") == "", EMPTY_FOLDER).otherwise(NO_FOLDER_SUMMARY)

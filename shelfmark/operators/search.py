@@ -2,9 +2,9 @@
 
 Every query vector has to be compared with every corpus vector, but no pair is ever a row:
 a task multiplies its block of corpus vectors with a block of queries and keeps the k best
-per query, so what leaves it is k rows per query. Up to ``MAX_QUERIES`` query vectors are
-broadcast and the corpus is read in place, without a shuffle. More queries go in batches of
-that size, one after the other, each past the corpus where it lies.
+per query, so what leaves it is k rows per query. Up to ``MAX_QUERIES`` query vectors (and
+``QUERY_BYTES``) are broadcast, compared in blocks inside a task, and the corpus is read once, in
+place, without a shuffle. More queries go in batches of that size, one after the other.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import WORD_BUDGET, break_to_html, count_words, question_prompt
 from shelfmark.operators.enrich import Provider
 from shelfmark.operators.grouping import child_pages
-from shelfmark.runtime import bounded_rows, materialise, small
+from shelfmark.runtime import materialise, small
 
 # Fixed value: hits per query where the caller names no number.
 DEFAULT_K = 20
 DIGITS = 6
-MAX_QUERIES = 4096
+# Query vectors that are broadcast at once: rows, and bytes.
+MAX_QUERIES = 16_384
+QUERY_BYTES = 64 << 20
 MERGE_SALT = 64
 
 _HITS = "query_id long, id string, distance double"
@@ -56,7 +58,39 @@ def _kernel():
         order = np.lexsort((ids[places].astype(str), distances[places]))
         return places[order[:k]]
 
-    return matrix, best
+    def keeper(n_queries: int, k: int):
+        """``keep(queries, distances, ids)`` holds the k best of each query so far; only distances up
+        to a query's present k-th are looked at. ``rows_of(names)`` gives them as a batch."""
+        kept_ids = [np.array([], dtype=object) for _ in range(n_queries)]
+        kept = [np.array([], dtype=np.float64) for _ in range(n_queries)]
+        border = np.full(n_queries, np.inf)
+
+        def keep(queries: np.ndarray, distances: np.ndarray, ids: np.ndarray) -> None:
+            near = distances <= border[queries][:, None]
+            for i in np.flatnonzero(near.any(axis=1)):
+                q, places = queries[i], np.flatnonzero(near[i])
+                all_ids = np.concatenate([kept_ids[q], ids[places]])
+                all_d = np.concatenate([kept[q], distances[i, places]])
+                again = best(all_d, all_ids, k)
+                kept_ids[q], kept[q] = all_ids[again], all_d[again]
+                if len(again) == k:
+                    border[q] = kept[q][-1]
+
+        def rows_of(names: list[int]) -> Iterator[pa.RecordBatch]:
+            for q, name in enumerate(names):
+                if len(kept[q]):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([name] * len(kept[q]), pa.int64()),
+                            pa.array(kept_ids[q].tolist(), pa.string()),
+                            pa.array(kept[q] + 0.0, pa.float64()),
+                        ],
+                        names=["query_id", "id", "distance"],
+                    )
+
+        return keep, rows_of
+
+    return matrix, best, keeper
 
 
 def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -65,60 +99,43 @@ def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def _broadcast_scores(queries: list, corpus: DataFrame, k: int, digits: int) -> DataFrame:
+def _broadcast_scores(queries: pa.Table, corpus: DataFrame, k: int, digits: int) -> DataFrame:
     """(query_id, id, distance): the k best of each corpus partition."""
-    matrix, best = _kernel()
-    qids = [int(r[0]) for r in queries]
-    packed = np.array([list(r[1]) for r in queries], dtype=np.float32)
-    shared = corpus.sparkSession.sparkContext.broadcast((qids, packed))
+    matrix, _, keeper = _kernel()
+    ids = queries.column("query_id").to_pylist()
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix(queries.column("vector"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pyarrow as pa
-
-        names, raw = shared.value
-        raw = raw.astype(np.float64)
-        norms = np.linalg.norm(raw, axis=1, keepdims=True)
-        unit = np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
-        kept_ids = [np.array([], dtype=object) for _ in names]
-        kept = [np.array([], dtype=np.float64) for _ in names]
+
+        names, unit = shared.value
+        keep, rows_of = keeper(len(names), k)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             rows = matrix(batch.column(1))
             for start in range(0, len(names), 256):
-                scores = np.round(1.0 - unit[start : start + 256] @ rows.T, digits)
-                for q, distances in enumerate(scores, start):
-                    near = best(distances, ids, k)
-                    all_ids = np.concatenate([kept_ids[q], ids[near]])
-                    all_d = np.concatenate([kept[q], distances[near]])
-                    again = best(all_d, all_ids, k)
-                    kept_ids[q], kept[q] = all_ids[again], all_d[again]
-        for q, name in enumerate(names):
-            if len(kept[q]):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(kept[q]), pa.int64()),
-                        pa.array(kept_ids[q].tolist(), pa.string()),
-                        pa.array(kept[q] + 0.0, pa.float64()),
-                    ],
-                    names=["query_id", "id", "distance"],
-                )
+                part = np.arange(start, min(start + 256, len(names)))
+                keep(part, np.round(1.0 - unit[part] @ rows.T, digits), ids)
+        yield from rows_of(names)
 
     return corpus.mapInArrow(scan, _HITS)
 
 
-def _in_batches(queries: DataFrame, max_queries: int, ask) -> DataFrame:
+def _in_batches(queries: DataFrame, max_queries: int, k: int, ask) -> DataFrame:
     """Hits of more queries than are broadcast: ``ask`` for each batch, stored before the next.
 
-    Batches are dealt by hash, half full on average; one that is too full is dealt again.
+    Batches are dealt by hash, half full on average; one that is too full is dealt again. Rows that
+    repeat count once, and rows of one ``query_id`` may go to several batches,
+    hence the last ranking.
     """
+    queries = materialise(queries.distinct(), "queries")
     parts = -(-2 * queries.count() // max_queries)
-    batch = F.pmod(F.xxhash64("query_id", F.lit(parts)), F.lit(parts))
+    batch = F.pmod(F.xxhash64("query_id", "vector", F.lit(parts)), F.lit(parts))
     dealt = materialise(queries.withColumn("_batch", batch), "queries")
     found = [materialise(ask(dealt.where(F.col("_batch") == i).drop("_batch")), "hits") for i in range(parts)]
-    return reduce(DataFrame.unionByName, found)
+    return top_k(reduce(DataFrame.unionByName, found).drop("rank"), k)
 
 
 def top_k(scored: DataFrame, k: int, salt: int = MERGE_SALT) -> DataFrame:
@@ -147,6 +164,8 @@ def nearest(
     exact: bool = True,
     digits: int = DIGITS,
     max_queries: int = MAX_QUERIES,
+    cells: str | None = None,
+    probes: int | None = None,
     **lsh,
 ) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest corpus vectors of each query.
@@ -154,20 +173,30 @@ def nearest(
     ``queries`` is (query_id, vector), ``corpus`` (id, vector). Distance is cosine distance,
     rounded to ``digits`` so that the order does not hang on the last bits of a sum. With
     ``exact=False`` only vectors that share a hash bucket with the query are compared; see
-    :func:`shelfmark.operators.ann.nearest_in_buckets` for the options.
+    :func:`shelfmark.operators.ann.nearest_in_buckets` for the options. With ``cells`` the hits come
+    from the ``probes`` nearest cells of the vectors that
+    :func:`shelfmark.operators.cells.write_cells` has stored there from this corpus.
+
+    Up to ``max_queries`` queries, and ``QUERY_BYTES``, pass the corpus at once.
     """
-    queries = _vectors(queries, "query_id", "vector")
+    queries = _vectors(queries, "query_id", "vector").withColumn("query_id", F.col("query_id").cast("long"))
     corpus = _vectors(corpus, "id", "vector").withColumn("id", F.col("id").cast("string"))
-    few = bounded_rows(queries, max_queries)
-    if few == []:
+    size = queries.select(F.size("vector")).first()
+    if size is None:
         return queries.sparkSession.createDataFrame([], f"{_HITS}, rank int")
-    if few is None:
+    max_queries = max(1, min(max_queries, QUERY_BYTES // (4 * max(size[0], 1))))
+    if cells is not None:
+        from shelfmark.operators.cells import PROBES, nearest_in_cells
+
+        return nearest_in_cells(queries, cells, k, probes or PROBES, digits, max_queries)
+    few = queries.limit(max_queries + 1).toArrow()
+    if few.num_rows > max_queries:
         again = lambda part: nearest(part, corpus, k, exact, digits, max_queries, **lsh)
-        return _in_batches(queries, max_queries, again)
+        return _in_batches(queries, max_queries, k, again)
     if not exact:
         from shelfmark.operators.ann import nearest_in_buckets
 
-        return nearest_in_buckets(few, corpus, k, digits, **lsh)
+        return nearest_in_buckets([(r["query_id"], r["vector"]) for r in few.to_pylist()], corpus, k, digits, **lsh)
     return top_k(_broadcast_scores(few, corpus, k, digits), k)
 
 

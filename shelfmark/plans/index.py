@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import (
-    DOCUMENT_OPENING, FOLDER_OPENING, NO_DOCUMENT_SUMMARY, WORD_BUDGET, document_hash, document_id,
+    DOCUMENT_INSTRUCTIONS, DOCUMENT_OPENING, FOLDER_INSTRUCTIONS, FOLDER_OPENING, NO_DOCUMENT_SUMMARY, WORD_BUDGET,
+    document_hash, document_id,
     document_prompt, embedding_input, extracted_text, is_substantial, truncate_words,
 )
 from shelfmark.operators.changes import cascade_delete, changed_or_new, gone_rows, stale_rows
@@ -30,6 +31,8 @@ class Settings:
     folder_summaries: Sequence[Provider] = (KeySentences(FOLDER_OPENING),)
     vectors: Provider | None = None
     prompts: bool = False
+    document_instructions: str = DOCUMENT_INSTRUCTIONS
+    folder_instructions: str = FOLDER_INSTRUCTIONS
     word_budget: int = WORD_BUDGET
     summary_words: int = SUMMARY_WORDS
     check_segments: bool = False
@@ -57,7 +60,9 @@ def document_records(texts: DataFrame, settings: Settings) -> DataFrame:
     if settings.prompts:
         cut = truncate_words(F.col("text"), settings.word_budget)
         texts = texts.withColumn("_cut", cut).withColumn(
-            "_prompt", document_prompt(F.col("ext"), F.col("_cut.text"), F.col("_cut.truncated"))
+            "_prompt", document_prompt(
+                F.col("ext"), F.col("_cut.text"), F.col("_cut.truncated"), settings.document_instructions
+            )
         )
         asked = "_prompt"
     done = summarise(
@@ -119,7 +124,7 @@ def run_index(
     folders = rollup(
         ancestors(files, settings.root), visited, stored and stored["folders"],
         settings.folder_summaries, settings.vectors, settings.prompts, settings.created(),
-        settings.word_budget, settings.summary_words,
+        settings.word_budget, settings.summary_words, settings.folder_instructions,
     )
     if stored is not None and not settings.prune:
         folders = upsert_folders(stored["folders"], folders)

@@ -13,7 +13,7 @@ QUERIES, TWINS = queries.registered(), oracle.statements()
 
 def test_twins_belong_to_queries():
     assert set(TWINS) <= set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) - set(TWINS) == {"search_ann", "search_ann_stored", "search_texts", "embed"}
+    assert set(QUERIES) - set(TWINS) == {"search_ann", "search_ann_stored"}
 
 
 @pytest.fixture(scope="module")

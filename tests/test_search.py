@@ -134,3 +134,82 @@ def test_a_text_finds_itself(spark):
     assert got[(1, 2)][0] == "3" and got[(4, 1)] == ("1", 1.0)
     table = {r["id"]: np.array(r["vector"], dtype=np.float64) for r in corpus.collect()}
     assert got[(3, 2)] == ("1", pytest.approx(round(1 - float(table["1"] @ table["3"]), 6), abs=1e-6))
+
+
+# --- inverted file -----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """20,000 vectors around 40 directions, of which one has a third of all, stored by cell."""
+    from shelfmark.operators import write_cells
+
+    rng = np.random.default_rng(5)
+    around = rng.normal(size=(40, 24))
+    label = np.where(rng.random(20_000) < 1 / 3, 0, rng.integers(1, 40, 20_000))
+    corpus = (around[label] + 0.5 * rng.normal(size=(20_000, 24))).astype(np.float32)
+    corpus[7] = 0
+    queries = corpus[:: 20_000 // 50] + 0.05
+    table = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(corpus)], "id string, vector array<float>").repartition(8)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vector array<float>")
+    path = str(tmp_path_factory.mktemp("cells"))
+    write_cells(table, path, n_cells=60, sample_rows=4000)
+    return corpus, queries, table, asked, path
+
+
+def test_cells_find_with_few_comparisons(clustered):
+    from shelfmark.operators import compared, recall
+
+    corpus, queries, table, asked, path = clustered
+    exact, found = nearest(asked, table, 10), nearest(asked, table, 10, cells=path, probes=5)
+    report = recall(exact, found).collect()
+    assert len(report) == 50 and sum(r["n_found"] for r in report) >= 0.9 * sum(r["n"] for r in report)
+    d = np.round(1 - unit(queries) @ unit(corpus).T, 6)
+    for (query, _), (ident, distance) in hits(found).items():
+        assert distance == pytest.approx(d[query][int(ident)], abs=2e-6)
+    share = np.mean([r["n_compared"] for r in compared(asked, path, 5).collect()]) / len(corpus)
+    assert share <= 0.3
+    assert np.mean([r["n_compared"] for r in compared(asked, path, 1).collect()]) / len(corpus) < share
+
+
+def test_all_cells_are_the_exact_search(clustered, monkeypatch):
+    _, _, table, asked, path = clustered
+    want = hits(nearest(asked, table, 10))
+    same(hits(nearest(asked, table, 10, cells=path, probes=60)), want)
+    same(hits(nearest(asked, table, 10, cells=path, probes=60, max_queries=9)), want)
+    assert nearest(asked.limit(0), table, 10, cells=path).count() == 0
+
+
+def test_only_asked_cells_are_read(clustered):
+    _, _, table, asked, path = clustered
+    plan = nearest(asked.limit(1), table, 10, cells=path, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+
+
+def test_cells_of_odd_corpora(spark, tmp_path):
+    from shelfmark.operators import nearest_in_cells, write_cells
+
+    schema = "id long, vector array<float>"
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>")
+    for i, rows in enumerate(([], [(1, [0.0, 0.0])], [(1, [1.0, 1.0]), (2, None), (1, [1.0, 1.0])])):
+        write_cells(spark.createDataFrame(rows, schema), str(tmp_path / str(i)))
+        found = nearest_in_cells(asked, str(tmp_path / str(i))).collect()
+        assert len(found) == sum(v is not None for _, v in rows)
+
+
+def test_ten_thousand_queries_pass_the_corpus_once(spark, data):
+    corpus, _, c, _ = data
+    rng = np.random.default_rng(3)
+    many = rng.normal(size=(10_000, corpus.shape[1]))
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(many)], "query_id long, vector array<float>")
+    found = nearest(asked, c, 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    some = {key: hit for key, hit in hits(found).items() if key[0] % 100 == 0}
+    want = {(q * 100, r): h for (q, r), h in brute(corpus, many[::100].astype(np.float32), 3).items()}
+    same(some, want)
+
+
+def test_repeated_queries_end(spark, data):
+    _, _, c, q = data
+    again = q.limit(1).crossJoin(spark.range(40)).drop("id")
+    assert nearest(again, c, 2, max_queries=3).count() == 2

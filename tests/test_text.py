@@ -89,9 +89,12 @@ def test_prompt_variants(spark):
     prompts = apply(
         spark, lambda t: C.document_prompt(F.lit("pdf"), t, F.length(t) > 3), ["abc", "abcd"]
     )
-    assert all(p.endswith(f"\n###\nDOCUMENT:\n###\n{t}") for p, t in zip(prompts, ["abc", "abcd"]))
-    assert "beginning" in prompts[1] and "beginning" not in prompts[0]
-    assert all("pdf document" in p and "'This document'" in p for p in prompts)
+    assert all(p.endswith(f"\n\n{t}") for p, t in zip(prompts, ["abc", "abcd"]))
+    assert "excerpt" in prompts[1] and "excerpt" not in prompts[0]
+    assert all("this pdf file" in p and "This document" in p for p in prompts)
+    assert apply(spark, lambda t: C.document_prompt(F.lit("x"), t, F.lit(True), "A %s!"), ["abc", None]) == [
+        "A x!\n\nWhat follows is an excerpt from the start of a longer text.\n\nabc", None,
+    ]
 
 
 def test_json_flag(spark):
