@@ -10,8 +10,8 @@ of one task (``HOT_SHARE``) is not sorted at all: its copies are grouped where t
 DataFrame functions only.
 
 Cases: a null text equals the empty text. A null identifier is smaller than any other. Rows
-that repeat identifier and text count in ``group_size``, and exactly one of them is kept. An
-empty table gives an empty table. Other columns are passed through untouched.
+that repeat identifier and text count in ``group_size``, and exactly one of them is kept. Very
+long texts are compared whole; their copies are hot by their characters. An empty table gives an empty table. Other columns are passed through untouched.
 """
 
 from __future__ import annotations
@@ -21,34 +21,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import fresh
-from shelfmark.runtime import bounded_rows
+from shelfmark.runtime import materialise, small
 
 # Characters of a text in a splitter.
 HEAD_CHARS = 24
-# A text is hot if it holds this share of all rows of one of the sort's tasks, or more.
+# A text is hot if its copies hold this share of the rows or the characters of one of the sort's
+# tasks, or more.
 HOT_SHARE = 0.25
-# Below this many copies no text is hot: so short a run costs nothing.
+# Below these no text is hot: so short a run costs nothing.
 HOT_LEAST = 500
+HOT_LEAST_CHARS = 16 << 20
+# Hot texts are broadcast up to this many, and else joined.
 MAX_HOT = 200_000
+# Rows of a hot text that tie for staying are numbered in so many slices first.
+TIE_SLICES = 64
 
 
 def _hot_digests(contents: DataFrame, content: str, n_tasks: int) -> DataFrame | None:
-    """64-bit digests of the texts with too many copies for one task, as a broadcast table.
+    """64-bit digests of the texts with too many copies for one task, as a stored table.
 
-    A count over eight bytes a row, combined on the map side. At most ``n_tasks / HOT_SHARE``
-    digests can pass the threshold, so the table is bounded.
+    Counts over sixteen bytes a row, combined on the map side. At most ``2 * n_tasks / HOT_SHARE``
+    digests can pass the thresholds.
     """
-    total = contents.count()
+    size = F.length(content).cast("long")
+    total, chars = contents.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     least = max(HOT_LEAST, int(total / n_tasks * HOT_SHARE))
-    if total <= least:
+    least_chars = max(HOT_LEAST_CHARS, int(chars / n_tasks * HOT_SHARE))
+    if total <= least and chars <= least_chars:
         return None
-    counts = contents.groupBy(F.xxhash64(content).alias("hot")).agg(F.count(F.lit(1)).alias("n"))
-    rows = bounded_rows(counts.where(F.col("n") > least).select("hot"), MAX_HOT)
-    if rows is None:
-        raise ValueError(f"more than {MAX_HOT} hot texts; lower spark.sql.shuffle.partitions")
-    if not rows:
-        return None
-    return F.broadcast(contents.sparkSession.createDataFrame(rows, "hot long"))
+    counts = contents.groupBy(F.xxhash64(content).alias("hot")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars"))
+    hot = counts.where((F.col("n") > least) | ((F.col("n") > 1) & (F.col("chars") > least_chars)))
+    hot = materialise(hot.select("hot"), "hot")
+    return small(hot, MAX_HOT) if hot.head(1) else None
 
 
 def mark_duplicates(
@@ -61,8 +65,8 @@ def mark_duplicates(
     ``normalise`` maps the text column to what is compared. If ``docs`` has a column ``dedup``
     the new one is ``_dedup``.
     """
-    out, was_null, content, hot, first, head, mark = fresh(
-        docs, "dedup", "was_null", "content", "hot", "first", "head", "mark"
+    out, was_null, content, hot, first, head, mark, tie, nth = fresh(
+        docs, "dedup", "was_null", "content", "hot", "first", "head", "mark", "tie", "nth"
     )
     spark = docs.sparkSession
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -110,8 +114,8 @@ def mark_duplicates(
             .otherwise(F.min(id_col) if keep == "smallest" else F.max(id_col)).alias("keep_id"),
             F.count(F.lit(1)).alias("group_size"),
         ).select(F.sha2("content", 256).alias("text_sha256"), "keep_id", "group_size")
-        totals = totals.select(F.struct("*").alias(first))
-        joined = copies.join(F.broadcast(totals), sha == F.col(f"{first}.text_sha256"))
+        totals = small(materialise(totals.select(F.struct("*").alias(first)), "totals"), MAX_HOT)
+        joined = copies.join(totals, sha == F.col(f"{first}.text_sha256"))
         is_best = F.col(id_col).eqNullSafe(F.col(f"{first}.keep_id"))
         # Only rows with the best identifier are numbered: one per text, unless rows repeat.
         def pack(rows: DataFrame, kept: Column) -> DataFrame:
@@ -119,10 +123,14 @@ def mark_duplicates(
                 F.col(f"{first}.keep_id").alias("keep_id"), F.col(f"{first}.group_size").alias("group_size"),
                 kept.alias("kept"), F.col(f"{first}.text_sha256").alias("text_sha256"),
             ).alias(out))
-        tied = W.partitionBy(f"{first}.text_sha256").orderBy(F.lit(1))
-        marked = marked.unionByName(pack(joined.where(~is_best), F.lit(False))).unionByName(
-            pack(joined.where(is_best), F.row_number().over(tied) == 1)
-        )
+        # Ties are numbered in slices, then the first rows of the slices among themselves.
+        tied = joined.where(is_best).withColumn(tie, F.pmod(F.monotonically_increasing_id(), F.lit(TIE_SLICES)))
+        slices = W.partitionBy(f"{first}.text_sha256", tie).orderBy(F.lit(1))
+        tied = tied.withColumn(nth, F.row_number().over(slices))
+        group = F.when(F.col(nth) == 1, F.lit(-1)).otherwise(F.col(tie))
+        among = W.partitionBy(f"{first}.text_sha256", group).orderBy(nth, tie)
+        one = (F.col(nth) == 1) & (F.row_number().over(among) == 1)
+        marked = marked.unionByName(pack(joined.where(~is_best), F.lit(False))).unionByName(pack(tied, one))
     if plain:
         marked = marked.withColumn(text_col, F.when(~F.col(was_null), F.col(text_col)))
     return marked.select(*docs.columns, out)

@@ -27,10 +27,17 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import map_batches, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "account", "ssn")
+KINDS = (*BASE_KINDS, "url", "account", "ssn", "secret", "handle")
 SCHEMES = ("http://", "https://", "ftp://")
 IBAN_CUES = ("iban",)
 SSN_CUES = ("ssn", "social security")
+# What names a credential, before a colon or equals sign and its value; and how issued keys begin.
+SECRET_CUES = (
+    "api key", "api_key", "api-key", "apikey", "access key", "access_key", "accesskey", "secret key", "secret_key", "secret",
+    "token", "password", "passwd", "pwd", "private_key", "client_secret",
+)
+PASSWORD_CUES = ("password", "passwd", "pwd")
+KEY_SHAPES = {"akia": r"AKIA[0-9A-Z]{16}", "ghp_": r"ghp_[A-Za-z0-9]{36}", "xoxb-": r"xoxb-[0-9A-Za-z-]{20,}"}
 CUE_REACH = 24  # characters between a cue and what it announces
 
 _DIGITS = frozenset("0123456789")
@@ -51,8 +58,11 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 _LENGTH_OF = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
-_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
-
+_SSN = re.compile(r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
+# A value is quoted, or ends at white space or a mark that closes a clause.
+_SECRET = re.compile(r"""["']?[ \t]{0,2}[:=][ \t]{0,2}(?:"([^"\s]+)"|'([^'\s]+)'|([^\s"',;]+))""")
+_KEY_SHAPE = {cue: re.compile(rf"{shape}(?![0-9A-Za-z])") for cue, shape in KEY_SHAPES.items()}
+_HANDLE = re.compile(r"[A-Za-z0-9_]{2,30}(?![A-Za-z0-9_@])")
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,6 +73,7 @@ def _automaton():
 
     anchors = {"@": "at", "+": "plus", **{d: "digit" for d in _DIGITS}}
     anchors |= {s: "scheme" for s in SCHEMES} | {c: "iban" for c in IBAN_CUES} | {c: "ssn" for c in SSN_CUES}
+    anchors |= {c: "secret" for c in SECRET_CUES} | {c: "key" for c in KEY_SHAPES}
     automaton = ahocorasick.Automaton()
     for word, kind in anchors.items():
         automaton.add_word(word, (kind, len(word)))
@@ -110,6 +121,22 @@ def lower_case(text: str) -> str:
     return lower if len(lower) == len(text) else text.translate(_LOWER)
 
 
+def find_secret(text: str, cue: str, start: int, end: int) -> tuple[int, int] | None:
+    """The value that a credential's name at ``start`` to ``end`` is given, if it looks like one: six
+    characters that are not letters only for a password, else eight with letters and digits."""
+    if start and text[start - 1].isalpha():
+        return None
+    match = _SECRET.match(text, end)
+    if not match:
+        return None
+    begin, finish = next(match.span(i) for i in (1, 2, 3) if match.group(i))
+    finish = begin + len(text[begin:finish].rstrip(".!?)"))
+    value = text[begin:finish]
+    letters, digits = any(c.isalpha() for c in value), any(c in _DIGITS for c in value)
+    good = len(value) >= 6 and not value.isalpha() if cue in PASSWORD_CUES else len(value) >= 8 and letters and digits
+    return (begin, finish) if good else None
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by kind in the order of ``KINDS``, then start."""
     found: dict[str, list[tuple[int, int]]] = {}
@@ -122,7 +149,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         if good:
             found.setdefault(kind, []).append((start, end))
 
-    for last, (anchor, length) in _automaton().iter(lower_case(text)):
+    lower = lower_case(text)
+    for last, (anchor, length) in _automaton().iter(lower):
         if anchor == "digit":
             if last >= runs:
                 # A maximal run of digits with single blanks or hyphens between them.
@@ -144,6 +172,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 start -= 1
             if start < last and (domain := _DOMAIN.match(text, last + 1)):
                 add("email", start, domain.end(), True)
+            elif (not last or text[last - 1] not in _LOCAL_CHARS | {"@"}) and (name := _HANDLE.match(text, last + 1)):
+                add("handle", last, name.end(), any(c.isalpha() for c in name.group()))
         elif anchor == "plus":
             if phone := _PHONE.match(text, last):
                 n = sum(c in _DIGITS for c in phone.group())
@@ -156,6 +186,15 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         elif anchor == "iban":
             if span := find_iban(text, max(last + 1, done["account"]), last + 1 + CUE_REACH):
                 add("account", *span, True)
+        elif anchor == "secret":
+            start = last - length + 1
+            if start >= done["secret"] and (span := find_secret(text, lower[start : last + 1], start, last + 1)):
+                add("secret", *span, True)
+        elif anchor == "key":
+            start = last - length + 1
+            shape = _KEY_SHAPE[lower[start : last + 1]].match(text, start)
+            if shape and start >= done["secret"] and not (start and text[start - 1].isalnum()):
+                add("secret", *shape.span(), True)
         else:
             near = _SSN.search(text, last + 1, last + 1 + CUE_REACH + 42)
             if near and near.start() <= last + 1 + CUE_REACH and near.start() >= done["ssn"]:

@@ -73,15 +73,16 @@ def word_buckets(rows: dict[int, int] | None = None) -> Callable[[str], list[int
     return buckets
 
 
-def _padded(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array, each followed by zero rows; and where each begins."""
+def _padded(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one array, each followed by zero rows; where each begins, and where its windows
+    stop beginning: after its last word, or after one zero row if it has none."""
     gap = max(WIDTHS)
     starts = np.zeros(len(lists), np.int64)
     np.cumsum([len(x) + gap for x in lists[:-1]], out=starts[1:])
     flat = np.zeros(sum(len(x) for x in lists) + gap * len(lists), np.int32)
     for start, x in zip(starts, lists):
         flat[start : start + len(x)] = x
-    return flat, starts
+    return flat, starts, starts + np.maximum([len(x) for x in lists], 1)
 
 
 @dataclass
@@ -115,22 +116,24 @@ class Model:
         """Per width and position the responses of every word."""
         return [[self.embedding @ f[k] for k in range(w)] for w, f in zip(WIDTHS, self.filters)]
 
-    def pooled(self, flat: np.ndarray, starts: np.ndarray, tables=None) -> tuple[np.ndarray, list[np.ndarray]]:
+    def pooled(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables=None) -> tuple[np.ndarray, list[np.ndarray]]:
         """(texts, filters) largest responses before the ReLU, and the responses per width."""
         tables = tables or self.tables()
         tops, maps = [], []
+        # From each start to its end; what lies between an end and the next start is left out.
+        borders = np.column_stack((starts, ends)).ravel()
         for w, bias, parts in zip(WIDTHS, self.biases, tables):
             response = parts[0].take(flat, axis=0)
             for k in range(1, w):
                 response[:-k] += parts[k].take(flat[k:], axis=0)
             response += bias
-            tops.append(np.maximum.reduceat(response, starts, axis=0))
+            tops.append(np.maximum.reduceat(response, borders, axis=0)[::2])
             maps.append(response)
         return np.hstack(tops), maps
 
     def logits(self, lists: list[list[int]], tables=None) -> np.ndarray:
-        flat, starts = _padded(lists)
-        tops, _ = self.pooled(flat, starts, tables)
+        flat, starts, ends = _padded(lists)
+        tops, _ = self.pooled(flat, starts, ends, tables)
         return np.maximum(tops, 0) @ self.weights + self.bias
 
 
@@ -188,19 +191,18 @@ def train(lists: list[list[int]], labels: np.ndarray, epochs: int = EPOCHS, seed
         adam.rate = RATE * (1 - epoch / epochs)
         for begin in range(0, len(order), BATCH_TEXTS):
             chosen = order[begin : begin + BATCH_TEXTS]
-            flat, starts = _padded([lists[i] for i in chosen])
+            flat, starts, ends = _padded([lists[i] for i in chosen])
             y = labels[chosen].astype(np.float32)
             # Only the words at hand have a response: fold the tables for those.
             used, local = np.unique(flat, return_inverse=True)
             words = model.embedding[used]
             parts = [[words @ f[k] for k in range(w)] for w, f in zip(WIDTHS, model.filters)]
-            tops, maps = model.pooled(local, starts, parts)
+            tops, maps = model.pooled(local, starts, ends, parts)
             active = np.maximum(tops, 0)
             error = (_sigmoid(active @ model.weights + model.bias) - y) * np.where(y > 0, lift, 1.0) / len(chosen)
             error = error.astype(np.float32)
             grad_tops = error[:, None] * model.weights * (tops > 0)
             grad_words = np.zeros_like(words)
-            ends = np.append(starts[1:], len(flat))
             for j, w in enumerate(WIDTHS):
                 block = slice(j * FILTERS, (j + 1) * FILTERS)
                 # The first place at which a filter reaches its maximum in each text.
@@ -291,8 +293,9 @@ def fit(
     rows = sizes.join(F.broadcast(chosen), "id").orderBy("h", "id", "c").limit(2 * max_texts).collect()
     ids, total = {}, [0, 0]
     for row in rows:
-        total[row["toxic"]] += row["chars"]
-        if total[row["toxic"]] <= max_chars or total[row["toxic"]] == row["chars"]:
+        # A text that does not fit is left out; the next may fit.
+        if not total[row["toxic"]] or total[row["toxic"]] + row["chars"] <= max_chars:
+            total[row["toxic"]] += row["chars"]
             ids[row["id"], row["c"]] = row["toxic"]
     taken = [sum(v == c for v in ids.values()) for c in (0, 1)]
     if not all(taken):
@@ -370,8 +373,9 @@ def score_texts(docs: DataFrame, model: Model | None, text_col: str = "text") ->
         def _long(words):
             reach, tops = max(WIDTHS) - 1, []
             for a in range(0, len(words), BATCH_WORDS):
-                flat, starts = _padded([words[a : a + BATCH_WORDS + reach]])
-                tops.append(own.pooled(flat, starts, tables)[0][0])
+                # Windows of a stretch begin in it; only the text's last ones reach past its end.
+                flat, starts, ends = _padded([words[a : a + BATCH_WORDS + reach]])
+                tops.append(own.pooled(flat, starts, np.minimum(ends, BATCH_WORDS), tables)[0][0])
             best = np.maximum(np.max(tops, axis=0), 0)
             return _sigmoid(np.array([best @ own.weights + own.bias + own.shift]))
 
