@@ -1,16 +1,22 @@
 """Jaccard join of word-shingle sets by universe partition and pigeonhole.
 
 Two sets that reach the similarity differ in at most H elements, where H follows from the size
-of the smaller. The universe is dealt by hash into segments, more than H of them, so linked
-sets agree in a whole segment; their signatures are hashes of (size band, segment, the set's
-elements in it). A set takes part in the scheme of its own size band and of the lower bands
-where smaller partners may be.
-
-Segments are allotted by cost. With exact segments only, there are more than the pigeonhole asks
-for, and empty segments, or those with at most one element, which many strangers share, are left
-out; only sets with more such segments than the slack covers keep theirs. Small sets use half as many segments
-and their one-deletion neighbourhoods: two sets must then agree in some segment up to one
-element. Each band takes the slack, or the deletions, expected to be cheapest.
+of the smaller. The universe is dealt by hash into segments. A segment is indexed as it is, or
+with its one-deletion neighbourhood, that is also without each one of its elements in turn; in the
+first kind linked sets must agree exactly to meet, in the second up to one element gone, or one
+exchanged. A segment that they do not meet in holds one difference at least, or two. So with e
+segments of the first kind and d of the second, e + 2 d > H, linked sets meet in some segment. Signatures are
+hashes of (size band, segment, the set's elements in it). A set takes part in the scheme of its own
+size band and of the lower bands where smaller partners may be.
+
+Each size band has a scheme of its own (``Scheme``), allotted by cost: exact segments, some more
+than the pigeonhole asks for, so that of a set's segments only the subset that tells it apart is
+indexed (not those that are empty or have one element, which many strangers share; only sets with
+more such segments than the slack covers keep theirs); deletion neighbourhoods alone, half as many
+segments of twice the size; or some of either. What a scheme costs is counted on a sample of the
+sets: the signatures it gives, and how many of them meet others. Exact segments give the fewest
+signatures; where many sets share most of what they have, as texts of one template do, deletion
+neighbourhoods of larger segments keep them apart. Each choice is complete, so the sample decides the cost only.
 
 Sets meet in the buckets of their signatures. Linked sets share a known number of signatures, so
 a set that meets others in fewer of a scheme's buckets leaves them. A bucket's leader is the
@@ -21,7 +27,7 @@ the leader: x and y differ where these differ, so one look over short lists is a
 comparing whole sets. Large groups are compared block by block; no pair becomes a row.
 
 Cases: a null text is empty; empty texts and texts without words have no links. Equal sets are
-one set. Rows that repeat are members of the same component. Null identifiers count as the
+one set. Rows that repeat are members of the same component. Very long texts give their whole set. Null identifiers count as the
 largest: a component of null identifiers only has component_id null. An empty table gives an
 empty table. Other columns are ignored.
 """
@@ -29,7 +35,9 @@ empty table. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +51,18 @@ from shelfmark.runtime import materialise, small
 
 BAND_RATIO = 1.3
 SLACKS = (1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.8, 2.0)
-# What signatures of segments with one element, and of empty ones, cost more than others: strangers
-# meet in them.
+# What signatures of segments with one element, and of empty ones, cost more than others by the
+# formula that picks a band's exact scheme: strangers meet in them.
 SINGLE_COST, EMPTY_COST = 0.5, 25
+# Sets, about, on which schemes are compared, and what a signature that meets another costs there.
+SAMPLE_SETS = 4000
+MEET_COST = 20
 # Elements whose signatures are made at a time.
 BATCH_TOKENS = 500_000
 # Elements of differences in a block of members.
 BLOCK_TOKENS = 250_000
+# Members of one leader that are compared with each other at a time, about.
+BLOCK_MEMBERS = 4096
 PEELINGS = 3
 _U = np.uint64
 
@@ -71,13 +84,20 @@ def differences(size: int, percent: int) -> int:
     return size * (100 - percent) // percent
 
 
+class Scheme(NamedTuple):
+    """``exact`` segments, of which those with up to ``weak`` elements are left out, and
+    ``deletion`` segments, twice as large."""
+
+    exact: int
+    deletion: int
+    weak: int
+
+
 @lru_cache(maxsize=512)
-def allotment(low: int, high: int, percent: int) -> tuple[int, bool, int]:
-    """Segments of a band, whether they use one-deletion neighbourhoods, and up to how many
-    elements a segment is left out as weak."""
+def schemes(low: int, high: int, percent: int) -> tuple[Scheme, Scheme, Scheme]:
+    """The schemes that are compared for a band: exact, mixed, deletion."""
     h = differences(high, percent)
-    deletion = math.ceil((h + 1) / 2)
-    best = (deletion + high, deletion, True, -1)
+    best = None
     for slack in SLACKS:
         exact = math.ceil((h + 1) * slack)
         # Segments with none and with one element, in the band's smallest sets.
@@ -88,18 +108,15 @@ def allotment(low: int, high: int, percent: int) -> tuple[int, bool, int]:
             spread = math.sqrt(2 * exact * left_out * (1 - left_out))
             lacking = math.erfc((exact - h - 0.5 - exact * left_out) / spread) / 2
             cost = exact * (1 - left_out + single * SINGLE_COST + lacking * left_out * EMPTY_COST)
-            best = min(best, (cost, exact, False, weak))
-    return best[1:]
+            best = min(best or (cost, exact, weak), (cost, exact, weak))
+    some = (h + 1) // 2
+    return Scheme(best[1], 0, best[2]), Scheme(some, math.ceil((h + 1 - some) / 2), -1), Scheme(0, math.ceil((h + 1) / 2), -1)
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, signature, need) of the sets; owner is the place in ``sets``. ``need`` is how many
-    signatures of the scheme its owner shares with any linked set, at least. The last eight
-    bits of a signature are the scheme."""
+def taking_part(sizes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(band, places of the sets that take part in its scheme)."""
     low, high = bands(percent)
-    sizes = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(high, sizes)
-    owners, found, needs = [], [], []
     for step in range(len(low)):
         band = own - step
         fits = (sizes > 0) & (band >= 0)
@@ -109,23 +126,36 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
             if not fits.any():
                 break
         for b in np.unique(band[fits]):
-            if differences(int(high[b]), percent) < 1:
-                continue  # linked sets of this size are equal
-            members = np.flatnonzero(fits & (band == b))
-            o, s, need = _band_signatures([sets[i] for i in members], int(b), int(low[b]), int(high[b]), percent)
-            owners.append(members[o])
-            found.append((s & ~_U(255)) | _U(b & 255))
-            needs.append(need)
+            if differences(int(high[b]), percent) > 0:  # else linked sets of this size are equal
+                yield int(b), np.flatnonzero(fits & (band == b))
+
+
+def signatures(sets: list[np.ndarray], percent: int, chosen: dict[int, Scheme]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, signature, need) of the sets; owner is the place in ``sets``. ``need`` is how many
+    signatures of the scheme its owner shares with any linked set, at least. The last eight
+    bits of a signature are the band. Bands that are not in ``chosen`` have their exact scheme."""
+    low, high = bands(percent)
+    owners, found, needs = [], [], []
+    for b, members in taking_part(np.array([len(s) for s in sets], np.int64), percent):
+        scheme = chosen.get(b) or schemes(int(low[b]), int(high[b]), percent)[0]
+        o, s, need = band_signatures([sets[i] for i in members], b, differences(int(high[b]), percent), scheme)
+        owners.append(members[o])
+        found.append((s & ~_U(255)) | _U(b & 255))
+        needs.append(need)
     if not owners:
         return (np.zeros(0, np.int64),) * 3
     return np.concatenate(owners), np.concatenate(found).view(np.int64), np.concatenate(needs)
 
 
-def _band_signatures(sets, band, low, high, percent):
-    segments, deletions, least = allotment(low, high, percent)
+def band_signatures(sets: list[np.ndarray], band: int, h: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets, of which linked ones differ in up to ``h`` elements, under a scheme."""
+    exact, deletion, least = scheme
+    segments = exact + deletion
     tokens = mix(np.concatenate(sets) + _U(band * 2 + 1))
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    cell = owner * segments + ((tokens >> _U(33)) % _U(segments)).astype(np.int64)
+    part = ((tokens >> _U(33)) % _U(exact + 2 * deletion)).astype(np.int64)
+    part = np.where(part < exact, part, exact + (part - exact) // 2)
+    cell = owner * segments + part
     n_cells = len(sets) * segments
     # Sums modulo 2**64 from two halves, each exact in a double.
     low_half = np.bincount(cell, (tokens & _U(0xFFFFFFFF)).astype(np.float64), n_cells).astype(np.uint64)
@@ -135,16 +165,56 @@ def _band_signatures(sets, band, low, high, percent):
     salts = np.tile(salt, len(sets))
     whole = mix(content + salts)
     cells = np.arange(n_cells)
-    if deletions:
-        without = mix(content[cell] - tokens + salts[cell])
-        return np.concatenate((cells // segments, owner)), np.concatenate((whole, without)), np.ones(n_cells + len(owner), np.int64)
-    count = np.bincount(cell, minlength=n_cells)
-    weak = count <= least
-    n_weak = weak.reshape(len(sets), segments).sum(axis=1)
-    need = segments - differences(high, percent) - n_weak
-    lacking = need < 1
+    weak = (np.bincount(cell, minlength=n_cells) <= least) & (cells % segments < exact)
+    # Segments that linked sets meet in, a deletion segment counting twice, are more than slack.
+    slack = exact + 2 * deletion - h - weak.reshape(len(sets), segments).sum(axis=1)
+    lacking = slack < 1
+    need = np.where(lacking, 1, -(-slack // 2) if deletion else slack)
     kept = ~weak | np.repeat(lacking, segments)
-    return cells[kept] // segments, whole[kept], np.repeat(np.where(lacking, 1, need), segments)[kept]
+    owners, found = cells[kept] // segments, whole[kept]
+    if deletion:
+        near = part >= exact
+        without = mix(content[cell[near]] - tokens[near] + salts[cell[near]])
+        owners, found = np.concatenate((owners, owner[near])), np.concatenate((found, without))
+    return owners, found, need[owners]
+
+
+def allotment(texts: DataFrame, text_col: str, k: int, percent: int, n_sets: int, sample_sets: int = SAMPLE_SETS) -> dict[int, Scheme]:
+    """The cheapest scheme of each band that a sample of the ``n_sets`` different sets reaches.
+
+    About ``sample_sets`` texts, by hash, are indexed under every scheme. A signature costs one,
+    and ``MEET_COST`` more if another text of the sample has it. What comes to the driver
+    is two numbers for each band and scheme.
+    """
+    low, high = bands(percent)
+    content = text_of(text_col).alias("content")
+    whole = 1 << 30
+    rows = texts.select(content)
+    if n_sets > sample_sets:
+        rows = rows.where(F.pmod(F.xxhash64("content", F.lit(percent)), F.lit(whole)) < max(1, whole * sample_sets // n_sets))
+    rows = rows.dropDuplicates(["content"])
+
+    def make():
+        def step(batch):
+            for start in range(0, batch.num_rows, 64):
+                sets = list(shingle_sets(batch.column("content").slice(start, 64).to_pylist(), k))
+                found = {"band": [], "kind": [], "sig": []}
+                for b, members in taking_part(np.array([len(s) for s in sets], np.int64), percent):
+                    for kind, scheme in enumerate(schemes(int(low[b]), int(high[b]), percent)):
+                        _, sig, _ = band_signatures([sets[i] for i in members], b, differences(int(high[b]), percent), scheme)
+                        found["band"].append(np.full(len(sig), b)), found["kind"].append(np.full(len(sig), kind)), found["sig"].append(sig.view(np.int64))
+                if found["sig"]:
+                    yield {c: pa.array(np.concatenate(v)) for c, v in found.items()}
+
+        return step
+
+    counts = map_batches(rows, "band int, kind int, sig long", make).groupBy("band", "kind", "sig").agg(F.count(F.lit(1)).alias("n"))
+    met = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    costs = counts.groupBy("band", "kind").agg((F.sum("n") + MEET_COST * met).alias("cost")).collect()
+    cheapest = {}
+    for r in sorted(costs, key=lambda r: (r["band"], r["cost"], r["kind"])):
+        cheapest.setdefault(r["band"], schemes(int(low[r["band"]]), int(high[r["band"]]), percent)[r["kind"]])
+    return cheapest
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -166,7 +236,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
     return map_batches(rows, f"doc_id {kind}, h long, n long, d1 long, d2 long", make)
 
 
-def _signature_rows(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
+def _signature_rows(docs: DataFrame, text_col: str, k: int, percent: int, chosen: dict[int, Scheme]) -> DataFrame:
     """(sig, d1, need) of every set; sets that a task meets again give nothing."""
 
     def make():
@@ -188,7 +258,7 @@ def _signature_rows(docs: DataFrame, text_col: str, k: int, percent: int) -> Dat
                 yield rows(held, keys)
 
         def rows(held, keys):
-            owner, sig, need = signatures(held, percent)
+            owner, sig, need = signatures(held, percent, chosen)
             return {"sig": pa.array(sig), "d1": pa.array(np.array(keys, np.int64)[owner]), "need": pa.array(need, pa.int32())}
 
         return step
@@ -312,7 +382,7 @@ def _within_clusters(compared: DataFrame, labels: DataFrame, percent: int) -> Da
     named = materialise(named, "named")
     clusters = named.groupBy("a").agg(
         F.count(F.lit(1)).alias("members"), F.count_if("odd").alias("n_odd"),
-        F.ceil(F.sum(F.size("diff") + 1) / BLOCK_TOKENS).alias("blocks"),
+        F.greatest(F.ceil(F.sum(F.size("diff") + 1) / BLOCK_TOKENS), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"),
     ).where("members > 1 AND n_odd > 0").select("a", "blocks")
     open_rows = named.join(clusters, "a")
     # A member of block i goes to every pair of blocks that has i.
@@ -329,9 +399,11 @@ def _within_clusters(compared: DataFrame, labels: DataFrame, percent: int) -> Da
     )
 
     def links(n, odd, label, block, across, offsets, tokens):
-        """Places (x, y) of linked members with different labels, x odd."""
+        """Places (x, y) of linked members, x odd, that no earlier link of the block connects: fewer
+        than it has labels."""
         found = []
         values, flat = np.unique(tokens, return_inverse=True)
+        group = np.unique(label, return_inverse=True)[1]
         sizes = np.diff(offsets)
         filled = np.flatnonzero(sizes)
         mark = np.zeros(len(values), np.int64)
@@ -343,10 +415,13 @@ def _within_clusters(compared: DataFrame, labels: DataFrame, percent: int) -> Da
             mark[mine] = 0
             apart = sizes[x] + sizes - 2 * both
             common = (n[x] + n - apart) / 2
-            good = (common * 100 >= (n[x] + n - common) * percent) & (label != label[x])
+            good = (common * 100 >= (n[x] + n - common) * percent) & (group != group[x])
             if across:
                 good &= block != block[x]
-            found += [(x, y) for y in np.flatnonzero(good)]
+            places = np.flatnonzero(good)
+            joined, first = np.unique(group[places], return_index=True)
+            found += [(x, y) for y in places[first]]
+            group[np.isin(group, joined)] = group[x]
         return found
 
     def run(batches):
@@ -396,7 +471,8 @@ def join_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     nodes = materialise(
         table.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "nodes"
     )
-    members = _peeled(materialise(_buckets(_signature_rows(texts, "text", k, percent)), "buckets"))
+    chosen = allotment(texts, "text", k, percent, nodes.count())
+    members = _peeled(materialise(_buckets(_signature_rows(texts, "text", k, percent, chosen)), "buckets"))
     stars = materialise(_stars(members), "stars")
 
     # The sets of all that met another, from one document of each.
