@@ -535,6 +535,10 @@ BODIES: dict[str, str] = {
     "refresh_index": """
         SELECT id, name, file_path, hash, summary, coalesce(n, 0)::BIGINT AS n_segments FROM docs LEFT JOIN (
           SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) USING (doc_id)""",
+    "refresh_snapshot": """
+        SELECT id, name, file_path, hash, summary, coalesce(n, 0)::BIGINT AS n_segments FROM docs LEFT JOIN (
+          SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) USING (doc_id)
+        UNION ALL SELECT id, name, path, hash, summary, NULL FROM fresh""",
     "run_index": "SELECT id, name, file_path, folder, doc_type, hash, summary FROM docs",
 }
 

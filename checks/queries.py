@@ -782,6 +782,29 @@ def refresh_index(v):
     )
 
 
+@query
+def refresh_snapshot(v):
+    """A snapshot of an older state, refreshed by a layer of what changed since, and restored."""
+    from shelfmark.plans import Settings, index_to_snapshot
+    from shelfmark.plans import refresh_snapshot as refresh
+
+    settings, root = Settings(root="/corpus", now_ms=F.lit(0).cast("long"), prune=True), new_scratch_path(v.spark, "snapshots")
+    # Every fifth file had other text, every seventh was not there, and one in eleven has gone since.
+    older = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Older.\n"), "text")).otherwise(F.col("text"))
+    moved = F.when(F.col("doc_id") % 11 == 0, F.concat("folder", F.lit("/old"))).otherwise(F.col("folder"))
+    files = v.accepted.where("doc_id % 7 <> 0").withColumns({"text": older, "folder": moved}).withColumn(
+        "path", F.concat("folder", F.lit("/"), "name")
+    )
+    first = index_to_snapshot(files.select(v.accepted.columns), root, "/corpus", settings=settings)
+    tables = S.restore_snapshot(v.spark, root, refresh(v.accepted, root, "/corpus", settings))
+    assert first != S.newest_snapshot(v.spark, root)
+    counts = tables["segments"].groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    folders = tables["folders"].select("id", "name", "file_path", "hash", "summary", F.lit(None).cast("long").alias("n_segments"))
+    return tables["documents"].join(counts, "id", "left").select(
+        "id", "name", "file_path", "hash", "summary", F.coalesce("n", F.lit(0)).alias("n_segments")
+    ).unionByName(folders)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: fn(Views(spark, sf_dir))

@@ -27,7 +27,7 @@ from shelfmark.functions.text import (
 )
 from shelfmark.operators.enrich import SUMMARY_WORDS, KeySentences, Provider, embed, summarise
 from shelfmark.operators.grouping import hot_keys, number_rows
-from shelfmark.runtime import materialise
+from shelfmark.runtime import materialise, small
 from shelfmark.schema import FOLDERS, VECTOR
 
 PART_SIZE = 1000
@@ -161,35 +161,51 @@ def rollup(
 
     ``folders`` is (path, name, parent, depth), ``documents`` has (folder, id, summary).
     There is one pass per level of the tree, over that level's folders only; documents are
-    grouped once, before. Every level is written to the shared folder, so the lineage stays
+    grouped once, before. With ``stored``, each level reads the summaries of documents once more, for
+    its folders whose hash is new; the digests of all are sums, combined where they are read. Every level is written to the shared folder, so the lineage stays
     one level deep. A folder whose hash is in ``stored`` keeps the stored record, and no
     provider is called for it. Providers get the first ``word_budget`` words of a folder's
     text or, with ``prompts``, ``instructions`` and these.
     """
     now_ms = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
 
-    def read(children: DataFrame, key: str, text: str, mark: str, hot) -> DataFrame:
-        found = content_marks(children, key).join(beginning_texts(children, key, word_budget, hot), key, "left")
-        return found.select(F.col(key).alias("path"), F.col("text").alias(text), F.col("mark").alias(mark))
+    def marks(children: DataFrame, key: str, name: str) -> DataFrame:
+        return content_marks(children, key).select(F.col(key).alias("path"), F.col("mark").alias(name))
 
-    base = materialise(folders.join(read(documents, "folder", "_dt", "_dm", "count"), "path", "left"), "folders")
+    def texts(children: DataFrame, key: str, name: str, hot="count") -> DataFrame:
+        return beginning_texts(children, key, word_budget, hot).select(F.col(key).alias("path"), F.col("text").alias(name))
+
+    base = folders.join(marks(documents, "folder", "_dm"), "path", "left")
+    if stored is None:
+        base = base.join(texts(documents, "folder", "_dt"), "path", "left")
+    base = materialise(base, "folders")
     deepest = base.agg(F.max("depth")).first()[0] or 0
-    crowded = hot_keys(base.where(F.col("parent").isNotNull()), "parent", word_budget)
+    crowded = hot_keys(base.where(F.col("parent").isNotNull()), "parent", word_budget) if stored is None else None
 
     levels: list[DataFrame] = []
     below: DataFrame | None = None
     for depth in range(deepest, 0, -1):
         level = base.where(F.col("depth") == depth)
         if below is None:
-            level = level.withColumns({"_ft": F.lit(""), "_fm": F.lit("")})
+            level = level.withColumn("_fm", F.lit(""))
         else:
-            level = level.join(read(below, "parent", "_ft", "_fm", crowded), "path", "left")
-        level = level.na.fill("", ["_ft", "_fm", "_dt", "_dm"])
+            level = level.join(marks(below, "parent", "_fm"), "path", "left")
+        level = level.na.fill("", ["_fm", "_dm"]).withColumn("hash", folder_hash(F.col("path"), F.concat_ws("|", "_fm", "_dm")))
+        known = None if stored is None else stored.where(F.col("depth") == depth)
+        if known is None:
+            under = None if below is None else texts(below, "parent", "_ft", crowded)
+        else:
+            # Texts only of the folders that are not stored as they are.
+            level = materialise(level, "level")
+            asked = small(materialise(level.join(known.select("hash"), "hash", "left_anti").select("path"), "asked"))
+            of_asked = lambda df, key: df.join(asked.withColumnRenamed("path", key), key, "left_semi")  # noqa: B023, E731
+            level = level.join(texts(of_asked(documents, "folder"), "folder", "_dt"), "path", "left")
+            under = None if below is None else texts(of_asked(below, "parent"), "parent", "_ft")
+        level = level.withColumn("_ft", F.lit("")) if under is None else level.join(under, "path", "left")
+        level = level.na.fill("", ["_ft", "_dt"])
         level = level.withColumns({
             "_text": truncate_words(F.concat("_ft", "_dt"), word_budget)["text"],
-            "hash": folder_hash(F.col("path"), F.concat_ws("|", "_fm", "_dm")),
         }).drop("_ft", "_fm", "_dt", "_dm")
-        known = None if stored is None else stored.where(F.col("depth") == depth)
         below = materialise(_summarised(level, known, providers, instructions if prompts else None, now_ms, summary_words), f"level{depth}")
         levels.append(below)
     if not levels:
