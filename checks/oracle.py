@@ -154,6 +154,9 @@ def cut(name: str, source: str, key: str) -> dict[str, str]:
 
 
 VIEWS: dict[str, str] = {
+    "text_tree": """
+        SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS folder, text,
+          CASE doc_id % 10 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || doc_id || '.txt' AS name FROM documents""",
     "files": """
         SELECT doc_id, '/corpus/' || source || '/' || lang AS folder, name,
           '/corpus/' || source || '/' || lang || '/' || name AS path,
@@ -313,11 +316,11 @@ _HIT_COLUMNS = "h.query_id, h.rank, h.distance, h.id"
 
 BODIES: dict[str, str] = {
     "scan_files": """
-        SELECT 'source=' || source || '/lang=' || lang AS folder, 'txt' AS ext,
-          sum(octet_length(encode(text)) + 1)::BIGINT AS n_bytes FROM documents GROUP BY ALL""",
-    "read_text_files": """
-        SELECT 'source=' || source || '/lang=' || lang AS folder, sum(length(text) + 1)::BIGINT AS n_chars,
-          0::BIGINT AS n_errors FROM documents GROUP BY ALL""",
+        SELECT folder || '/' || name AS file, name, 'txt' AS ext, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes
+        FROM text_tree""",
+    "read_text_files": r"""
+        SELECT folder || '/' || name AS file, length(t)::BIGINT AS n_chars, md5(t) AS text_md5, NULL::VARCHAR AS error FROM (
+          SELECT *, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM text_tree)""",
     "render_cells": f"""
         SELECT '/sheets/user_' || user_id || '.xlsx' AS path, event_id // 1000 AS part,
           string_agg(event_type || ' ' || user_id || ' ' || coalesce(nullif(event_type, 'error'), 'None')

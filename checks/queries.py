@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from shelfmark import sources as S
 from shelfmark.functions import paths as P
 from shelfmark.runtime import materialise, new_scratch_path, spread
 from shelfmark.schema import DOCUMENTS
+from shelfmark.sources.tree import normal_root
 
 IGNORE = ("/corpus/src1", "de", "")
 BAR = " | "
@@ -37,29 +39,44 @@ def joined(array: str | Column) -> Column:
 
 
 def _text_tree(v: Views) -> str:
-    """The documents written as a tree of text files, one line end after each."""
-    root = new_scratch_path(v.spark, "corpus")
-    v.table("documents").select("text", "source", "lang").write.option(
-        "maxRecordsPerFile", 100_000
-    ).partitionBy("source", "lang").text(root)
+    """The documents written as a tree with a file for each; a tenth of the names each begin
+    with ``_`` and with ``.``, and a document without text is an empty file."""
+    root = normal_root(new_scratch_path(v.spark, "corpus"))
+
+    def write(batches):
+        for batch in batches:
+            for name, source, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{root}/{source or 'none'}/{lang or 'none'}"
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/{name}", "wb") as file:
+                    file.write(text.encode())
+        yield from ()
+
+    digit = F.col("doc_id") % 10
+    name = F.concat(
+        F.when(digit == 0, "_").when(digit == 1, ".").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt")
+    )
+    files = spread(v.table("documents").select("doc_id", "source", "lang", "text"))
+    files = files.select(name.alias("name"), "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    files.mapInArrow(write, "n int").write.format("noop").mode("overwrite").save()
     return root
 
 
-def _relative(folder: str = "folder") -> Column:
-    return F.regexp_extract(folder, "source=[^/]+/lang=[^/]+$", 0)
+def _below(root: str) -> Column:
+    return F.substring("path", len(root) + 2, 1 << 20)
 
 
 @query
 def scan_files(v):
-    listing = S.scan_files(v.spark, _text_tree(v))
-    return listing.groupBy(_relative().alias("folder"), "ext").agg(F.sum("length").alias("n_bytes"))
+    root = _text_tree(v)
+    return S.scan_files(v.spark, root).select(_below(root).alias("file"), "name", "ext", F.col("length").alias("n_bytes"))
 
 
 @query
 def read_text_files(v):
-    files = S.read_text_files(v.spark, _text_tree(v))
-    return files.groupBy(_relative().alias("folder")).agg(
-        F.sum(F.length("text")).alias("n_chars"), F.count("error").alias("n_errors")
+    root = _text_tree(v)
+    return S.read_text_files(v.spark, root).select(
+        _below(root).alias("file"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "error"
     )
 
 

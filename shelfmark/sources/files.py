@@ -10,25 +10,17 @@ from pyspark.sql import functions as F
 from shelfmark.functions.paths import (
     AVOID_NAMES, FILE_TYPES, accepted_name, base_name, document_type, ignored_folder, parent_path,
 )
+from shelfmark.sources.tree import list_tree, read_contents
 
 
-def _local_path(path: Column) -> Column:
-    """``file:/a/b`` and ``file:///a/b`` as ``/a/b``; other schemes stay."""
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
-def _tree(spark: SparkSession, root: str) -> DataFrame:
-    # Every Spark file source leaves out empty files and names that start with "_" or ".".
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = _local_path(F.col("path"))
-    return found.select(
-        path.alias("path"),
+def _named(files: DataFrame, *others: str | Column) -> DataFrame:
+    path = F.col("path")
+    return files.select(
+        "path",
         base_name(path).alias("name"),
         parent_path(path).alias("folder"),
         document_type(path).alias("ext"),
-        "length",
-        F.col("modificationTime").alias("last_modified"),
-        "content",
+        *others,
     )
 
 
@@ -54,9 +46,10 @@ def scan_files(
 ) -> DataFrame:
     """Recursive listing (path, name, folder, ext, length, last_modified) of accepted files.
 
-    The content column is left out, so no file is opened.
+    Executors list the folders; no file is opened. Empty files and names that start with
+    ``_`` or ``.`` are files like any other.
     """
-    return accept(_tree(spark, root).drop("content"), file_types, avoid_names, ignore)
+    return accept(_named(list_tree(spark, root, ignore), "length", "last_modified"), file_types, avoid_names, ignore)
 
 
 def read_text_files(
@@ -67,15 +60,15 @@ def read_text_files(
 ) -> DataFrame:
     """One row per text file: (path, name, folder, ext, text, error).
 
-    Line ends become ``\\n``. A file that is not UTF-8 gives a null text and an error
-    instead of stopping the run.
+    Line ends become ``\\n``; an empty file has an empty text. A file that is not UTF-8 or
+    cannot be read gives a null text and an error instead of stopping the run.
     """
-    files = accept(_tree(spark, root), file_types, (), ignore)
+    found = read_contents(scan_files(spark, root, file_types, (), ignore))
     decoded = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select(
-        "path", "name", "folder", "ext",
+    return _named(
+        found,
         F.regexp_replace(decoded, "\r\n?", "\n").alias("text"),
-        F.when(decoded.isNull(), F.lit("not UTF-8 text")).alias("error"),
+        F.coalesce("error", F.when(decoded.isNull(), F.lit("not UTF-8 text"))).alias("error"),
     )
 
 

@@ -1,13 +1,16 @@
 """Listing, reading, sheets, snapshots, schema growth and exports, on real folders."""
 
 import datetime as dt
+import os
 
+import pyarrow.fs as pafs
 import pytest
 from shelfmark.schema import DOCUMENTS
 from shelfmark.sources import (
     blobs_under, export_contents, latest_snapshot, read_text_files, reconcile, render_cells,
     restore_snapshot, scan_files, schema_difference, sheet_texts, write_snapshot,
 )
+from shelfmark.sources.tree import list_tree, read_contents, store_entries
 
 
 @pytest.fixture()
@@ -27,7 +30,7 @@ def tree(tmp_path):
 def test_scan(spark, tree):
     rows = scan_files(spark, tree, ignore=["skip", ""]).collect()
     assert {r["path"].removeprefix(tree) for r in rows} == {
-        "/a.txt", "/sub/b c+d%20e.txt", "/sub/deep/y.pdf", "/bad.txt",
+        "/a.txt", "/sub/b c+d%20e.txt", "/sub/deep/y.pdf", "/bad.txt", "/empty.txt",
     }
     row = next(r for r in rows if r["name"] == "y.pdf")
     assert (row["ext"], row["folder"], row["length"]) == ("pdf", f"{tree}/sub/deep", 4)
@@ -40,16 +43,70 @@ def test_scan_opens_no_file(spark, tree):
 
 def test_ignored_prefix(spark, tree):
     rows = scan_files(spark, tree, ignore=[f"{tree}/sub"]).collect()
-    assert {r["name"] for r in rows} == {"a.txt", "z.txt", "bad.txt"}
+    assert {r["name"] for r in rows} == {"a.txt", "z.txt", "bad.txt", "empty.txt"}
 
 
 def test_read(spark, tree):
     rows = {r["name"]: r for r in read_text_files(spark, tree).collect()}
     assert rows["b c+d%20e.txt"]["text"] == "é\nzwei\ndrei"
-    assert "empty.txt" not in rows  # no Spark file source lists empty files
+    assert rows["empty.txt"]["text"] == "" and rows["empty.txt"]["error"] is None
     assert rows["bad.txt"]["text"] is None and rows["bad.txt"]["error"]
 
 
+def test_every_file_of_a_tree(spark, tmp_path):
+    want = {}
+    for i in range(40):
+        folder = tmp_path / "/".join(f"{'_.'[i % 2]}d{d}" for d in range(i % 7)) / f"f{i}"
+        folder.mkdir(parents=True)
+        for name in ("_a.txt", ".b.txt", "c.txt"):
+            want[str(folder / name)] = f"{i}{name}" * (i % 3)
+            (folder / name).write_bytes(want[str(folder / name)].encode())
+    (tmp_path / "round").symlink_to(tmp_path)
+    (tmp_path / "link.txt").symlink_to(folder / "c.txt")
+    (tmp_path / "dangling.txt").symlink_to(tmp_path / "nowhere")
+    os.mkdir(os.fsencode(str(tmp_path)) + b"/\xff")
+    with open(os.fsencode(str(tmp_path)) + b"/\xff/x.txt", "wb") as file:
+        file.write(b"x")
+    want[str(tmp_path / "link.txt")] = want[str(folder / "c.txt")]
+    walked = {str(tmp_path / "\ufffd" / "x.txt")}
+    for folders_a_task in (1, 3, 1000):
+        rows = list_tree(spark, f"file://{tmp_path}/", folders_a_task=folders_a_task).collect()
+        assert sorted(r["path"] for r in rows) == sorted([*want, *walked])
+        assert all(r["length"] == len(want[r["path"]]) for r in rows if r["path"] in want)
+    read = {r["path"]: r for r in read_text_files(spark, str(tmp_path)).collect()}
+    assert {p: read[p]["text"] for p in want} == want
+    assert all(read[p]["text"] is None and "not readable" in read[p]["error"] for p in walked)
+    ignored = list_tree(spark, str(tmp_path), ignore=["_d0"], folders_a_task=1).collect()
+    assert {r["path"] for r in ignored} == {p for p in [*want, *walked] if "/_d0/" not in p}
+
+
+def test_empty_and_missing_trees(spark, tmp_path):
+    assert scan_files(spark, str(tmp_path)).count() == 0
+    assert read_text_files(spark, str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        scan_files(spark, str(tmp_path / "none"))
+
+
+def test_files_that_go_away_or_are_too_large(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a")
+    files = spark.createDataFrame(
+        [(str(tmp_path / "a.txt"), 1), (str(tmp_path / "gone.txt"), 5), (str(tmp_path / "huge.txt"), 1 << 40)],
+        "path string, length long",
+    )
+    rows = {r["path"][len(str(tmp_path)) + 1:]: r for r in read_contents(files).collect()}
+    assert bytes(rows["a.txt"]["content"]) == b"a" and rows["a.txt"]["error"] is None
+    assert rows["gone.txt"]["content"] is None and "not readable" in rows["gone.txt"]["error"]
+    assert rows["huge.txt"]["content"] is None and "more than a value" in rows["huge.txt"]["error"]
+
+
+def test_store_listing_has_whole_uris(tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "_a.txt").write_text("abc")
+    found = {e[0]: e[1:3] for e in store_entries(pafs.LocalFileSystem(), "s3://", str(tmp_path))}
+    inside = str(tmp_path).lstrip("/")
+    assert found == {f"s3://{inside}/sub": (True, 0), f"s3://{inside}/_a.txt": (False, 3)}
+
+
 def test_sheets(spark):
     cells = spark.createDataFrame(
         [("s", r, c, None if (r + c) % 3 == 0 else f"{r}/{c}") for r in range(25) for c in range(3)],
