@@ -342,6 +342,10 @@ BODIES: dict[str, str] = {
         FROM docs JOIN vectors USING (doc_id)
         UNION ALL SELECT 'folders', id, name, file_path, hash, summary, round(list_sum(vector::DOUBLE[]), 4) FROM folders""",
     "reconcile_schema": "SELECT doc_id, text, 9 AS n_null FROM documents",
+    "reconcile_types": """
+        SELECT doc_id, n_chars::BIGINT AS n_chars, lang, NULL::VARCHAR AS source, (doc_id % 7)::BIGINT AS day, NULL::VARCHAR AS by_whom
+        FROM documents
+        UNION ALL SELECT doc_id + 1000000000000, n_chars::BIGINT, lang, source, (doc_id % 7)::BIGINT, 'x' FROM documents""",
     "insert_object": """
         SELECT id, file_path, hash, NULL AS name FROM stored
         UNION ALL SELECT id, file_path, hash, name FROM docs""",

@@ -150,6 +150,32 @@ def reconcile_schema(v):
     )
 
 
+@query
+def reconcile_types(v):
+    """Two stored versions of one table, the older with narrower types and without a nested
+    field, read as what is declared now."""
+    root = new_scratch_path(v.spark, "versions")
+    docs = v.table("documents")
+    older = docs.select(
+        "doc_id", F.col("n_chars").cast("int").alias("n_chars"), F.struct("lang").alias("about"),
+        F.array(F.struct((F.col("doc_id") % 7).cast("smallint").alias("day"))).alias("visits"),
+    )
+    newer = docs.select(
+        (F.col("doc_id") + 1_000_000_000_000).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"),
+        F.struct("lang", "source").alias("about"),
+        F.array(F.struct((F.col("doc_id") % 7).cast("long").alias("day"), F.lit("x").alias("by"))).alias("visits"),
+    )
+    versions = []
+    for name, version in (("older", older), ("newer", newer)):
+        version.write.parquet(f"{root}/{name}")
+        versions.append(S.reconcile(v.spark.read.parquet(f"{root}/{name}"), newer.schema, refuse=True))
+    visit = F.col("visits")[0]
+    return versions[0].unionByName(versions[1]).select(
+        "doc_id", "n_chars", F.col("about.lang").alias("lang"), F.col("about.source").alias("source"),
+        visit["day"].alias("day"), visit["by"].alias("by_whom"),
+    )
+
+
 @query
 def insert_object(v):
     stored = v.stored.select("id", "file_path", "hash")

@@ -2,13 +2,15 @@
 
 import datetime as dt
 import os
+from decimal import Decimal
 
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import types as T
 from shelfmark.schema import DOCUMENTS
 from shelfmark.sources import (
-    blobs_under, export_contents, latest_snapshot, read_text_files, reconcile, render_cells,
-    restore_snapshot, scan_files, schema_difference, sheet_texts, write_snapshot,
+    blobs_under, export_contents, latest_snapshot, read_text_files, reconcile, reconcile_tables, render_cells,
+    restore_snapshot, scan_files, schema_changes, schema_difference, sheet_texts, write_snapshot,
 )
 from shelfmark.sources.tree import list_tree, read_contents, store_entries
 
@@ -163,6 +165,54 @@ def test_schema_growth(spark):
     assert {r["property"] for r in missing.collect()} == set(DOCUMENTS.names) - {"id"}
 
 
+def test_typed_growth(spark):
+    old = spark.sql("""
+        select 1 as a, cast(2 as bigint) as b, named_struct('x', 3, 'gone', 'g') as s, array(named_struct('y', 4)) as l,
+          map('k', 5) as m, cast(1.5 as decimal(3, 1)) as d, null as v, date'2024-01-02' as t, cast(0.1 as float) as f
+        union all select null, null, null, null, null, null, null, null, null""")
+    declared = T._parse_datatype_string("""
+        a bigint, b double, s struct<n: string, x: bigint>, l array<struct<y: double, z: int>>, m map<string, bigint>,
+        d decimal(10, 3), v string, t timestamp_ntz, f double, new int""")
+    grown = reconcile(old, declared)
+    assert grown.schema.simpleString() == (
+        "struct<a:bigint,b:bigint,s:struct<x:bigint,gone:string,n:string>,l:array<struct<y:double,z:int>>,"
+        "m:map<string,bigint>,d:decimal(10,3),v:string,t:timestamp_ntz,f:double,new:int>"
+    )
+    full, empty = sorted(grown.collect(), key=lambda r: r["a"] is None)
+    assert (full["a"], full["b"], full["s"].asDict()) == (1, 2, {"x": 3, "gone": "g", "n": None})
+    assert (full["l"][0].asDict(), full["m"], full["d"]) == ({"y": 4.0, "z": None}, {"k": 5}, Decimal("1.500"))
+    assert (full["t"], full["v"], full["new"]) == (dt.datetime(2024, 1, 2), None, None) and abs(full["f"] - 0.1) < 1e-7
+    assert all(value is None for value in empty)
+    with pytest.raises(TypeError, match="b: bigint to double"):
+        reconcile(old, declared, refuse=True)
+    found = {
+        r["property"]: r["change"]
+        for r in schema_changes(spark, {"t": declared, "u": declared}, {"t": old.schema}).where("table = 't'").collect()
+    }
+    assert found == {
+        "a": "widened", "b": "refused", "s.n": "added", "s.x": "widened", "l.element.y": "widened", "l.element.z": "added",
+        "m.value": "widened", "d": "widened", "v": "widened", "t": "widened", "f": "widened", "new": "added",
+    }
+    tables = reconcile_tables(spark, {"t": old, "other": old}, {"t": declared, "u": declared})
+    assert tables["u"].count() == 0 and tables["u"].schema == declared
+    assert tables["other"].schema == old.schema and tables["t"].schema == grown.schema
+
+
+@pytest.mark.parametrize(("stored", "declared", "widens"), [
+    ("int", "tinyint", False), ("int", "float", False), ("smallint", "float", True), ("bigint", "decimal(19,0)", True),
+    ("bigint", "decimal(20,2)", False), ("decimal(5,2)", "decimal(5,3)", False), ("string", "int", False),
+    ("int", "string", False), ("double", "float", False), ("timestamp", "date", False),
+    ("array<int>", "int", False), ("struct<a: int>", "array<int>", False),
+])
+def test_widening_rules(spark, stored, declared, widens):
+    df = spark.createDataFrame([], f"x {stored}")
+    kind = T._parse_datatype_string(f"x {declared}")
+    assert reconcile(df, kind).schema["x"].dataType == (kind if widens else df.schema)["x"].dataType
+    if not widens:
+        with pytest.raises(TypeError, match="x: "):
+            reconcile(df, kind, refuse=True)
+
+
 def test_export_replaces_the_older_one(spark, documents, tmp_path):
     folders = spark.createDataFrame(
         [("/r", None, "r", "top"), ("/r/f0", "/r", "f0", "zero"), ("/r/f1", "/r", "f1", "one"), ("/r/e", "/r", "e", "empty")],
