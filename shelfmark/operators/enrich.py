@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark.ml.feature import RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,17 +132,34 @@ def summarise(
 
 def hashed_vectors(df: DataFrame, text: str, out: str = "vector", dimensions: int = 256) -> DataFrame:
     """The default embedding: word counts, hashed by the first digits of each word's MD5, scaled
-    to unit length. No shuffle."""
-    df = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    to unit length. No shuffle; a word is hashed once a batch."""
+
+    def run(words: pa.Array) -> pa.Array:
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        found = words.flatten().dictionary_encode()
+        hashed = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions for w in found.dictionary.to_pylist()]
+        places = np.array(hashed, np.int64)[found.indices.to_numpy(zero_copy_only=False)]
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+        vectors = np.empty((len(words), dimensions), np.float32)
+        for start in range(0, len(words), 1024):
+            upto = ends[start : start + 1025]
+            rows = np.repeat(np.arange(len(upto) - 1), np.diff(upto))
+            size = (len(upto) - 1) * dimensions
+            counts = np.bincount(rows * dimensions + places[upto[0] : upto[-1]], minlength=size).reshape(-1, dimensions)
+            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            vectors[start : start + 1024] = counts / np.maximum(norms, 1)
+        offsets = np.arange(0, vectors.size + 1, dimensions, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))
+
+    run.__annotations__ = {"words": pa.Array, "return": pa.Array}
     tokens = RegexTokenizer(inputCol="_text", outputCol="_words", pattern="[^\\p{L}\\p{N}]+")
-    place = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions).cast("string")
-    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dimensions)], inputCol="_tokens", outputCol="_counts")
-    scaled = Normalizer(inputCol="_counts", outputCol="_scaled", p=2.0)
-    df = tokens.transform(df).withColumn("_tokens", F.transform("_words", place))
-    df = scaled.transform(counts.transform(df))
-    return df.withColumn(out, vector_to_array("_scaled", "float32")).drop(
-        "_text", "_words", "_tokens", "_counts", "_scaled"
-    )
+    df = tokens.transform(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
+    counted = F.arrow_udf(run, T.ArrayType(T.FloatType(), False))
+    return df.withColumn(out, counted("_words")).drop("_text", "_words")
 
 
 def embed(

@@ -7,21 +7,24 @@ until the budget of words is used; they are given in text order. A short text is
 Words of four characters and more count, by the number of units that have them, unless they are in
 one unit only or in more than half of them. Scores are whole numbers, ties go to the earlier unit.
 
-Different texts are brought together by digest once. Words, scores and ranks then stay in the
-partition of their text: the windows and groups below need no exchange of their own.
+Different texts are brought together by digest once. Units and words are Spark expressions on the row
+of their text; counts, scores and ranks are made for many texts at a time where these lie, so a word
+is never a row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import DOCUMENT_OPENING, sentences, words
 
 LEAST_LETTERS = 4
+# Words that a Python worker counts at once, at most about; a text is not cut.
+TERMS_AT_ONCE = 500_000
 TERM_GAP = "[^\\p{L}\\p{N}]+"
 
 
@@ -42,23 +45,61 @@ def terms(unit: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(unit), TERM_GAP), lambda t: F.length(t) >= LEAST_LETTERS))
 
 
+def _places(n: int):
+    """For each text the places of its kept units, from the terms and the sizes of its units.
+
+    Terms are counted as numbers, for some texts at a time.
+    """
+
+    def kept(terms: pa.ListArray, sizes: pa.ListArray) -> pa.ListArray:
+        import numpy as np
+        import pyarrow as pa
+
+        lengths = lambda lists: lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        counts, units = lengths(terms), terms.flatten()
+        total = int(counts.sum())
+        text = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+        unit = np.repeat(np.arange(total), lengths(units))
+        found = units.flatten().dictionary_encode()
+        pairs = text[unit] * max(len(found.dictionary), 1) + found.indices.to_numpy(zero_copy_only=False)
+        _, which, shared = np.unique(pairs, return_inverse=True, return_counts=True)
+        weight = shared[which]
+        weight = np.where((weight >= 2) & (2 * weight <= counts[text[unit]]), weight, 0)
+        size = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        score = np.floor(1000 * np.bincount(unit, weight, total) / size)
+        order = np.lexsort((place, -score, place != counts[text] - 1, place != 0, text))
+        upto = np.cumsum(size[order])
+        before = np.concatenate([[0], upto])[np.cumsum(counts) - counts]
+        taken = np.sort(order[upto - before[text] <= n])
+        ends = np.searchsorted(text[taken], np.arange(len(counts) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(place[taken].astype(np.int32)))
+
+    def run(terms: pa.Array, sizes: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa
+
+        per_text = np.diff(terms.flatten().offsets.to_numpy()[terms.offsets.to_numpy() - terms.offsets[0].as_py()])
+        share = (np.cumsum(per_text) - per_text) // TERMS_AT_ONCE
+        starts = [*np.flatnonzero(np.diff(share, prepend=-1)), len(terms)]
+        done = [kept(terms[a:b], sizes[a:b]) for a, b in zip(starts, starts[1:])]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
+
+    run.__annotations__ = {"terms": pa.Array, "sizes": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<int>")
+
+
+def _with_kept(texts: DataFrame, key: str, text: str, n: int, longest: int) -> DataFrame:
+    """(key, _units, _kept): the units of each text, and places of those that make the summary."""
+    rows = texts.select(key, F.coalesce(units(F.col(text), longest), F.array().cast("array<string>")).alias("_units"))
+    # A unit has single blanks, so they count its words.
+    size = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1
+    return rows.select(key, "_units", _places(n)(F.transform("_units", terms), F.transform("_units", size)).alias("_kept"))
+
+
 def kept_units(texts: DataFrame, key: str, text: str, n: int, longest: int) -> DataFrame:
     """(key, kept): places of the units that make the summary, for texts with a key of their own."""
-    rows = texts.select(key, units(F.col(text), longest).alias("_units")).select(
-        key, F.size("_units").alias("_count"), F.posexplode("_units").alias("_ord", "_unit")
-    )
-    by_term = rows.select(
-        key, "_count", "_ord", F.size(F.split("_unit", " ")).alias("_n"), F.explode_outer(terms(F.col("_unit"))).alias("_term")
-    )
-    shared = F.count("_term").over(W.partitionBy(key, "_term"))
-    weight = F.when((shared >= 2) & (2 * shared <= F.col("_count")), shared).otherwise(0)
-    scored = by_term.withColumn("_weight", weight).groupBy(key, "_count", "_ord", "_n").agg(
-        F.floor(1000 * F.sum("_weight") / F.col("_n")).alias("_score")
-    )
-    is_last = F.col("_ord") == F.col("_count") - 1
-    order = W.partitionBy(key).orderBy((F.col("_ord") == 0).desc(), is_last.desc(), F.col("_score").desc(), "_ord")
-    upto = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return scored.withColumn("_upto", upto).where(F.col("_upto") <= n).groupBy(key).agg(F.collect_list("_ord").alias("_kept"))
+    return _with_kept(texts, key, text, n, longest).select(key, "_kept")
 
 
 @dataclass(frozen=True)
@@ -76,9 +117,7 @@ class KeySentences:
         """``df``, which is read twice, with a summary for the text of each row."""
         keyed = df.withColumn("_digest", F.sha2(F.col(text), 256))
         texts = keyed.where(F.col(text).isNotNull()).groupBy("_digest").agg(F.first(text).alias("_text"))
-        kept = kept_units(texts, "_digest", "_text", self.n, self.longest)
-        chosen = F.filter(units(F.col("_text"), self.longest), lambda u, i: F.array_contains(F.col("_kept"), i))
-        summaries = texts.join(kept, "_digest").select(
-            "_digest", F.concat(F.lit(self.opening), F.array_join(chosen, " ")).alias(out)
-        )
+        kept = _with_kept(texts, "_digest", "_text", self.n, self.longest)
+        chosen = F.array_join(F.transform("_kept", lambda i: F.get("_units", i)), " ")
+        summaries = kept.select("_digest", F.when(F.size("_kept") > 0, F.concat(F.lit(self.opening), chosen)).alias(out))
         return keyed.join(summaries, "_digest", "left").drop("_digest")
