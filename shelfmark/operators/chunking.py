@@ -14,6 +14,8 @@ from shelfmark.functions.text import is_substantial, segment_id
 # Characters in a segment, characters carried over, what joins sentences.
 CHUNK_SIZE, CHUNK_OVERLAP = 450, 30
 JOINER = "\n\n"
+# Bytes of texts that a Python worker cuts at once, at most about; a text is not split up.
+BYTES_AT_ONCE = 2 << 20
 
 
 def chunk_text(
@@ -53,27 +55,38 @@ def chunk_text(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         # The rule of functions.text.sentences, with lengths in characters.
         gap = re.compile(r"(?<=[.!?])[ \t\r\n]+|\n+")
-        for batch in batches:
+
+        def segments(part: pa.RecordBatch) -> pa.RecordBatch:
             source, places, chunks = [], [], []
-            for row, value in enumerate(batch.column(len(kept)).to_pylist()):
+            for row, value in enumerate(part.column(len(kept))):
+                value = value.as_py()
                 packed = pack([p for p in gap.split(value) if p]) if value else []
                 source += [row] * len(packed)
                 places += range(len(packed))
                 chunks += packed
             rows = pa.array(source, pa.int32())
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(i).take(rows) for i in range(len(kept))],
+                    *[part.column(i).take(rows) for i in range(len(kept))],
                     pa.array(places, pa.int32()),
                     pa.array(chunks, pa.string()),
                 ],
                 names=schema.names,
             )
 
+        for batch in batches:
+            # Some texts of a batch at a time: what a worker holds does not grow with its partition.
+            held = np.cumsum(pc.binary_length(batch.column(len(kept))).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            starts = [*np.flatnonzero(np.diff(held // BYTES_AT_ONCE, prepend=-1)), batch.num_rows]
+            for start, end in zip(starts, starts[1:]):
+                yield segments(batch.slice(start, end - start))
+
     return df.select(*[f.name for f in kept], text).mapInArrow(cut, schema)
 
 

@@ -36,3 +36,17 @@ def test_a_word_is_hashed_once_a_batch(spark):
     got = [r["vector"] for r in hashed_vectors(rows, "text").collect()]
     assert sorted(x for x in got[0] if x) == [np.float32(1 / 5**0.5), np.float32(2 / 5**0.5)] and not any(got[1]) and not any(got[2])
     assert {len(v) for v in got} == {256}
+
+
+def test_texts_are_cut_in_shares_of_a_batch(spark, monkeypatch):
+    df = spark.createDataFrame([(0, "x")], "id int, text string")
+    taken = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: taken.append(fn) or self)
+    chunk_text(df)
+    text = "A sentence of some words. " * 4000
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(100), pa.int32()), "text": [text] * 99 + [None]})
+    made = list(taken[0](iter([batch.slice(0, 0), batch])))
+    assert max(part.get_total_buffer_size() for part in made) < 3 * chunking.BYTES_AT_ONCE
+    ids = [i for part in made for i in part.column(0).to_pylist()]
+    assert ids == sorted(ids) and set(ids) == set(range(99))
+    assert sum(part.num_rows for part in made) == 99 * made[0].column(0).to_pylist().count(0)
