@@ -67,7 +67,9 @@ def _nearest_centres(df: DataFrame, centres: np.ndarray, n: int, columns: str) -
             rows = matrix(batch.column(batch.schema.get_field_index("vector")))
             for start in range(0, len(rows), 1024):
                 scores = np.round(rows[start : start + 1024] @ unit.T, 9)
-                found.append(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32))
+                # The first of equal cells either way; one cell needs no sort of all.
+                best = scores.argmax(axis=1)[:, None] if n == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                found.append(best.astype(np.int32))
             cells = np.concatenate(found)
             offsets = np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -140,7 +142,7 @@ def nearest_in_cells(
         raw = raw.astype(np.float64)
         norms = np.linalg.norm(raw, axis=1, keepdims=True)
         unit = np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
-        keep, rows_of = keeper(len(names), k)
+        keep, _, rows_of = keeper(len(names), k)
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -76,6 +76,20 @@ def _kernel():
                 if len(again) == k:
                     border[q] = kept[q][-1]
 
+        def keep_near(queries: np.ndarray, asked: np.ndarray, rows: np.ndarray, asked32: np.ndarray, rows32: np.ndarray, ids: np.ndarray, digits: int) -> None:
+            """``keep`` for unit vectors. Products in single precision, whose error is bounded, tell which
+            rows may be within a query's border; their distances are in double precision, as are all of a
+            query that has no border yet."""
+            new = np.isinf(border[queries])
+            if new.any():
+                keep(queries[new], np.round(1.0 - asked[new] @ rows.T, digits), ids)
+                queries, asked, asked32 = queries[~new], asked[~new], asked32[~new]
+            slack = (rows.shape[1] + 4) * 2.0**-23 + 10.0**-digits
+            near = asked32 @ rows32.T >= (1.0 - border[queries] - slack).astype(np.float32)[:, None]
+            for i in np.flatnonzero(near.any(axis=1)):
+                places = np.flatnonzero(near[i])
+                keep(queries[i : i + 1], np.round(1.0 - asked[i : i + 1] @ rows[places].T, digits), ids[places])
+
         def rows_of(names: list[int]) -> Iterator[pa.RecordBatch]:
             for q, name in enumerate(names):
                 if len(kept[q]):
@@ -88,7 +102,7 @@ def _kernel():
                         names=["query_id", "id", "distance"],
                     )
 
-        return keep, rows_of
+        return keep, keep_near, rows_of
 
     return matrix, best, keeper
 
@@ -109,15 +123,17 @@ def _broadcast_scores(queries: pa.Table, corpus: DataFrame, k: int, digits: int)
         import numpy as np
 
         names, unit = shared.value
-        keep, rows_of = keeper(len(names), k)
+        unit32 = unit.astype(np.float32)
+        _, keep_near, rows_of = keeper(len(names), k)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             rows = matrix(batch.column(1))
+            rows32 = rows.astype(np.float32)
             for start in range(0, len(names), 256):
                 part = np.arange(start, min(start + 256, len(names)))
-                keep(part, np.round(1.0 - unit[part] @ rows.T, digits), ids)
+                keep_near(part, unit[part], rows, unit32[part], rows32, ids, digits)
         yield from rows_of(names)
 
     return corpus.mapInArrow(scan, _HITS)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from shelfmark.operators import KeySentences, chunk_text, chunking, hashed_vectors, key_sentences
+from shelfmark.operators import KeySentences, cells, chunk_text, chunking, hashed_vectors, key_sentences
 from shelfmark.operators import search as search_module
 from shelfmark.sources import tree
 
@@ -50,3 +50,31 @@ def test_texts_are_cut_in_shares_of_a_batch(spark, monkeypatch):
     ids = [i for part in made for i in part.column(0).to_pylist()]
     assert ids == sorted(ids) and set(ids) == set(range(99))
     assert sum(part.num_rows for part in made) == 99 * made[0].column(0).to_pylist().count(0)
+
+
+def test_rows_beyond_the_border_get_no_double_precision():
+    """Of later blocks only rows that may be among the k best are compared exactly; hits are the same."""
+    rng = np.random.default_rng(5)
+    matrix, _, keeper = search_module._kernel()
+    as_rows = lambda a: matrix(pa.array(a.tolist(), pa.list_(pa.float32())))
+    asked, rows = as_rows(rng.normal(size=(20, 32))), as_rows(rng.normal(size=(4000, 32)))
+    rows[1000:2000] = rows[1000]
+    ids = np.array([f"{i:05d}" for i in range(4000)], dtype=object)
+    keep, _, plain = keeper(20, 5)
+    _, keep_near, near = keeper(20, 5)
+    for start in range(0, 4000, 500):
+        part, names = rows[start : start + 500], ids[start : start + 500]
+        keep(np.arange(20), np.round(1.0 - asked @ part.T, 6), names)
+        keep_near(np.arange(20), asked, part, asked.astype(np.float32), part.astype(np.float32), names, 6)
+    assert [b.to_pylist() for b in near(list(range(20)))] == [b.to_pylist() for b in plain(list(range(20)))]
+
+
+def test_one_cell_is_chosen_without_a_sort_of_all(spark, monkeypatch):
+    df = spark.createDataFrame([(0, "x")], "id int, text string")
+    taken = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: taken.append(fn) or self)
+    centres = np.array([[1, 0], [0, 1], [1, 0], [0, 1]], np.float32)
+    cells._nearest_centres(df, centres, 1, "vector array<float>")
+    monkeypatch.setattr(np, "argsort", None)
+    batch = pa.RecordBatch.from_pydict({"vector": pa.array([[2, 1], [1, 2], [1, 1], [0, 0]], pa.list_(pa.float32()))})
+    assert [c for b in taken[0](iter([batch])) for c in b.column(1).to_pylist()] == [[0], [1], [0], [0]]
