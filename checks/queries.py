@@ -45,7 +45,9 @@ def _text_tree(v: Views) -> str:
 
     def write(batches):
         for batch in batches:
-            for name, source, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # Value by value: only one text of a batch is a Python string at a time.
+            for name, source, lang, text in zip(*batch.columns, strict=True):
+                name, source, lang, text = name.as_py(), source.as_py(), lang.as_py(), text.as_py()
                 folder = f"{root}/{source or 'none'}/{lang or 'none'}"
                 os.makedirs(folder, exist_ok=True)
                 with open(f"{folder}/{name}", "wb") as file:

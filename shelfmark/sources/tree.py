@@ -28,7 +28,7 @@ from shelfmark.runtime import new_scratch_path
 FOLDERS_A_TASK = 256
 WAITING = 10_000
 BATCH_ROWS = 4_096
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 TASK_BYTES = 512 << 20
 TASK_FILES = 20_000
 LARGEST = (1 << 31) - (1 << 20)
@@ -192,7 +192,7 @@ def read_contents(files: DataFrame) -> DataFrame:
     """(path, content, error) of each listed file (path, length).
 
     The listing is dealt out so that a task reads some 512 MB or 20,000 files, whatever
-    folder they lie in, and holds 32 MB of them or one file at a time. A file that went away, may not be read or exceeds a value gives a null
+    folder they lie in, and holds 4 MB of them or one file at a time. A file that went away, may not be read or exceeds a value gives a null
     content and the reason.
     """
     total = files.agg(F.sum(F.when(F.col("length") <= LARGEST, F.col("length"))).alias("n_bytes"), F.count(F.lit(1)).alias("n")).first()

@@ -52,6 +52,17 @@ def test_texts_are_cut_in_shares_of_a_batch(spark, monkeypatch):
     assert sum(part.num_rows for part in made) == 99 * made[0].column(0).to_pylist().count(0)
 
 
+def test_files_are_read_in_small_batches(tmp_path):
+    paths = []
+    for i in range(40):
+        paths.append(str(tmp_path / f"{i}.txt"))
+        (tmp_path / f"{i}.txt").write_bytes(b"x" * 500_000)
+    listed = pa.RecordBatch.from_pydict({"path": paths, "length": [500_000] * 40})
+    made = list(tree._read(iter([listed])))
+    assert sum(part.num_rows for part in made) == 40
+    assert max(part.get_total_buffer_size() for part in made) < 6 << 20
+
+
 def test_rows_beyond_the_border_get_no_double_precision():
     """Of later blocks only rows that may be among the k best are compared exactly; hits are the same."""
     rng = np.random.default_rng(5)
