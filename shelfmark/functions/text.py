@@ -17,7 +17,8 @@ DOCUMENT_OPENING = "This document "
 FOLDER_OPENING = "This folder "
 
 WORD_GAP = "[ \\t\\n\\r\\f]+"
-SENTENCE_GAP = "(?<=[.!?])[ \\t\\r\\n]+|\\n+"
+# ``(?<=[.!?])[ \t\r\n]+|\n+``, but only looked into where a blank or a line end stands.
+SENTENCE_GAP = "[ \\t\\r\\n](?:(?<=[.!?][ \\t\\r\\n])[ \\t\\r\\n]*|(?<=\\n)\\n*)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

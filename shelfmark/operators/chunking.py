@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.functions.text import is_substantial, segment_id
+from shelfmark.functions.text import SENTENCE_GAP, is_substantial, segment_id
 
 # Characters in a segment, characters carried over, what joins sentences.
 CHUNK_SIZE, CHUNK_OVERLAP = 450, 30
@@ -60,7 +60,7 @@ def chunk_text(
         import pyarrow.compute as pc
 
         # The rule of functions.text.sentences, with lengths in characters.
-        gap = re.compile(r"(?<=[.!?])[ \t\r\n]+|\n+")
+        gap = re.compile(SENTENCE_GAP)
 
         def segments(part: pa.RecordBatch) -> pa.RecordBatch:
             source, places, chunks = [], [], []

@@ -141,8 +141,10 @@ def hashed_vectors(df: DataFrame, text: str, out: str = "vector", dimensions: in
         import pyarrow as pa
 
         found = words.flatten().dictionary_encode()
-        hashed = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions for w in found.dictionary.to_pylist()]
-        places = np.array(hashed, np.int64)[found.indices.to_numpy(zero_copy_only=False)]
+        # Digests in one piece; the first four bytes of each are the number of its word.
+        digests = b"".join(hashlib.md5(w).digest() for w in found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False))
+        hashed = (np.frombuffer(digests, ">u4")[::4] % dimensions).astype(np.int64)
+        places = hashed[found.indices.to_numpy(zero_copy_only=False)]
         ends = words.offsets.to_numpy() - words.offsets[0].as_py()
         vectors = np.empty((len(words), dimensions), np.float32)
         for start in range(0, len(words), 1024):

@@ -1,11 +1,13 @@
 """What a Python worker holds and does at once: figures that must not grow with the input."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import SENTENCE_GAP, sentences
 from shelfmark.operators import KeySentences, cells, chunk_text, chunking, hashed_vectors, key_sentences
 from shelfmark.operators import search as search_module
 from shelfmark.sources import tree
@@ -18,6 +20,23 @@ def test_a_summary_makes_no_row_of_a_word(spark):
     assert plan.count("sequence(") == 1  # units are made once
 
 
+def test_a_summary_is_made_where_the_text_lies(spark):
+    """Texts are not moved, sorted or joined, and read once."""
+    texts = spark.range(10).select("id", F.concat_ws(" ", F.lit("One. Two words."), "id").alias("text"))
+    plan = KeySentences("S: ").table(texts, "text", "s")._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Join", "Sort", "Aggregate"))
+    assert plan.count("Range (") == 1
+
+
+def test_sentence_gaps_are_those_of_the_plain_rule(spark):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choices("aé.!? \t\r\n\f\u2028", k=rnd.randint(0, 40))) for _ in range(3000)]
+    want = [[p for p in re.split(r"(?<=[.!?])[ \t\r\n]+|\n+", t) if p] for t in texts]
+    assert [[p for p in re.split(SENTENCE_GAP, t) if p] for t in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    assert [r["s"] for r in df.select(sentences(F.col("text")).alias("s")).collect()] == want
+
+
 def test_a_summary_does_not_hang_on_the_share_counted_at_once(spark, monkeypatch):
     rnd = random.Random(8)
     texts = [". ".join(" ".join(rnd.choices(["river", "bridge", "stone", "of", "x"], k=rnd.randint(1, 60))) for _ in range(rnd.randint(0, 30))) for _ in range(60)]
