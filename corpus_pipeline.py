@@ -44,7 +44,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens of each document, and whether the ids decode to its text."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     digested = docs.select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
-    tokens = bpe_codec.encode(digested, ranks, pattern, keep_text=False)
+    # Stored, so that a task has one Python worker and not two: idle workers keep their memory.
+    tokens = materialise(bpe_codec.encode(digested, ranks, pattern, keep_text=False), "ids")
     return bpe_codec.decode(tokens, ranks, pattern).select(
         "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
         (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),

@@ -57,8 +57,9 @@ SINGLE_COST, EMPTY_COST = 0.5, 25
 # Sets, about, on which schemes are compared, and what a signature that meets another costs there.
 SAMPLE_SETS = 4000
 MEET_COST = 20
-# Elements whose signatures are made at a time.
-BATCH_TOKENS = 500_000
+# Texts of a batch that are read at a time, and elements whose signatures are made at a time.
+TEXTS_AT_ONCE = 100
+BATCH_TOKENS = 100_000
 # Elements of differences in a block of members.
 BLOCK_TOKENS = 250_000
 # Members of one leader that are compared with each other at a time, about.
@@ -217,6 +218,12 @@ def allotment(texts: DataFrame, text_col: str, k: int, percent: int, n_sets: int
     return cheapest
 
 
+def _sets(content: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The set of each text of a column."""
+    for start in range(0, len(content), TEXTS_AT_ONCE):
+        yield from shingle_sets(content.slice(start, TEXTS_AT_ONCE).to_pylist(), k)
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(doc_id, h, n, d1, d2): set size and digests of each document; h is a hash of its text."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -226,7 +233,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
     def make():
         def step(batch):
             sizes, first, second = [], [], []
-            for tokens in shingle_sets(batch.column("content").to_pylist(), k):
+            for tokens in _sets(batch.column("content"), k):
                 a, b = set_digest(tokens)
                 sizes.append(len(tokens)), first.append(a), second.append(b)
             return {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n": sizes, "d1": first, "d2": second}
@@ -244,7 +251,7 @@ def _signature_rows(docs: DataFrame, text_col: str, k: int, percent: int, chosen
 
         def step(batch):
             held, keys, total = [], [], 0
-            for tokens in shingle_sets(batch.column("content").to_pylist(), k):
+            for tokens in _sets(batch.column("content"), k):
                 d1, _ = set_digest(tokens)
                 if not len(tokens) or d1 in seen:
                     continue
@@ -514,8 +521,8 @@ def _tokens(texts: DataFrame, k: int) -> DataFrame:
 
     def make():
         def step(batch):
-            for start in range(0, batch.num_rows, 256):
-                sets = list(shingle_sets(batch.column("content").slice(start, 256).to_pylist(), k))
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                sets = list(_sets(batch.column("content").slice(start, TEXTS_AT_ONCE), k))
                 digests = [set_digest(s) for s in sets]
                 yield {
                     "d1": [a for a, _ in digests], "d2": [b for _, b in digests],

@@ -12,7 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
-BATCH_BYTES = 1_000_000
+# Bytes of text hashed at a time; what a worker needs for it is some sixty times as much.
+BATCH_BYTES = 250_000
 _SEED = 731
 _U = np.uint64
 
