@@ -14,6 +14,7 @@ gives an empty table. Other columns are passed through.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,10 +23,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from shelfmark.llm.common import fresh, map_batches, text_of
+from shelfmark.llm.common import fresh, map_batches, shares, text_of
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
+# What a worker encodes or decodes at a time.
+SHARE_BYTES = 1 << 20
+SHARE_IDS = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -45,13 +49,14 @@ def _splitter(pattern: str):
     return regex.compile(pattern)
 
 
-def _id_lists(lists: list[list[int]]) -> pa.Array:
+def _id_lists(lists: Iterator[list[int]]) -> pa.Array:
     import numpy as np
 
-    offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1])) if len(lists) > 1 else np.array(lists[0] if lists else [], np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    # Ids as numbers of Python take eight times the room, so one text has them at a time.
+    arrays = [np.array(x, np.int32) for x in lists]
+    offsets = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(x) for x in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32)))
 
 
 def _kept(batch: pa.RecordBatch, names: list[str]) -> dict:
@@ -68,11 +73,10 @@ def _encode_whole(
         codec = encoding(rank_file, pattern)
 
         def step(batch):
-            # A few rows at a time, so that ids of many long texts are never held together.
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            # A share at a time, so that ids of many long texts are never held together.
+            for part in shares(batch, text, SHARE_BYTES):
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                yield _kept(part, kept) | {out: _id_lists([codec.encode_ordinary(t or "") for t in texts])}
+                yield _kept(part, kept) | {out: _id_lists(codec.encode_ordinary(t or "") for t in texts)}
 
         return step
 
@@ -84,12 +88,16 @@ def _chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
 
     def make():
         def step(batch):
-            for digest, text in zip(*(c.to_pylist() for c in batch.columns)):
-                starts = range(0, len(text), chunk)
-                yield {
-                    "digest": [digest] * len(starts), "k": list(range(len(starts))), "start": list(starts),
-                    "part": [text[s : s + chunk + overlap] for s in starts],
-                }
+            at_once = max(1, SHARE_BYTES // chunk)
+            for digest, text in zip(*batch.columns):
+                digest, text = digest.as_py(), text.as_py()
+                n = -(-len(text) // chunk)
+                for first in range(0, n, at_once):
+                    ks = range(first, min(first + at_once, n))
+                    yield {
+                        "digest": [digest] * len(ks), "k": list(ks), "start": [k * chunk for k in ks],
+                        "part": [text[k * chunk : (k + 1) * chunk + overlap] for k in ks],
+                    }
 
         return step
 
@@ -103,15 +111,16 @@ def _borders(chunks: DataFrame, chunk: int, overlap: int, pattern: str) -> DataF
         split = _splitter(pattern)
 
         def step(batch):
-            head, tail = [], []
-            for start, part in zip(batch.column("start").to_pylist(), batch.column("part").to_pylist()):
-                ends = [m.end() for m in split.finditer(part)]
-                if len(part) == chunk + overlap:
-                    # The last two may look different with more text to the right.
-                    ends = ends[:-2]
-                head.append([start, *(start + e for e in ends if e < overlap)] if start else [])
-                tail.append([start + e for e in ends if e >= chunk])
-            yield _kept(batch, ["digest", "k", "start", "part"]) | {"head": head, "tail": tail}
+            for share in shares(batch, "part", SHARE_BYTES):
+                head, tail = [], []
+                for start, part in zip(share.column("start").to_pylist(), share.column("part").to_pylist()):
+                    ends = [m.end() for m in split.finditer(part)]
+                    if len(part) == chunk + overlap:
+                        # The last two may look different with more text to the right.
+                        ends = ends[:-2]
+                    head.append([start, *(start + e for e in ends if e < overlap)] if start else [])
+                    tail.append([start + e for e in ends if e >= chunk])
+                yield _kept(share, ["digest", "k", "start", "part"]) | {"head": head, "tail": tail}
 
         return step
 
@@ -185,8 +194,7 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids"
         codec = encoding(rank_file, pattern)
 
         def step(batch):
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in shares(batch, ids_col, SHARE_IDS):
                 lists = part.column(part.schema.get_field_index(ids_col))
                 decoded = [codec.decode_bytes(x.values.to_pylist() if x.is_valid else []) for x in lists]
                 yield _kept(part, kept) | {out: pa.array(decoded, pa.binary())}
