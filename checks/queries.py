@@ -565,8 +565,9 @@ def search_cells(v):
     asked = vectors.where("doc_id % 50 = 0 AND ord = 0").select(F.col("doc_id").alias("query_id"), "vector")
     path = new_scratch_path(v.spark, "cells")
     O.write_cells(vectors, path)
-    exact = materialise(O.nearest(asked, vectors, k=10), "exact")
-    found = O.recall(exact, O.nearest(asked, vectors, k=10, cells=path, probes=16))
+    near = materialise(O.nearest(asked, vectors, k=10, cells=path, probes=16), "near")
+    exact = materialise(O.nearest(asked, vectors, k=10, within=near), "exact")
+    found = O.recall(exact, near)
     summed = exact.agg(F.round(F.sum("distance"), 3).alias("exact_distances"))
     return found.agg(F.count(F.lit(1)).alias("n_queries"), (F.sum("n_found") / F.sum("n") >= 0.9).alias("recall_reached")).join(
         summed, F.lit(True)

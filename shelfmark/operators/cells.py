@@ -15,37 +15,163 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Normalizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.search import DEFAULT_K, DIGITS, MAX_QUERIES, _HITS, _in_batches, _kernel, _vectors, top_k
-from shelfmark.runtime import bounded_rows
+from shelfmark.runtime import materialise
 
 # Rows that centres are found on, at most about; bytes of all centres, which are broadcast.
 SAMPLE_ROWS = 200_000
 CENTRE_BYTES = 64 << 20
+STEPS = 8
+# Products of numbers that the driver makes, at most about, to reduce the starts to centres.
+REDUCE_PRODUCTS = 1 << 40
 PROBES = 8
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
+def _unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """A column of few vectors at unit length, in single precision."""
+    return _kernel()[0](vectors).astype(np.float32)
+
+
 def find_centres(corpus: DataFrame, n_cells: int | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> np.ndarray:
     """Unit vectors, one per cell; by default as many as the root of the number of rows, and no
-    more than ``CENTRE_BYTES``. Found on all rows or, by a hash of the id, on about ``sample_rows``."""
+    more than ``CENTRE_BYTES``. Found on all rows or, by a hash of the id, on about ``sample_rows``.
+
+    k-means by cosine: starts drawn in two rounds (k-means||), then ``STEPS`` steps. Points stay in
+    their tasks, which multiply blocks of them with all centres and send one sum per cell."""
     n = corpus.count()
     first = corpus.select(F.size("vector")).first()
     if first is None:
         return np.zeros((0, 0), np.float32)
     n_cells = min(n_cells or math.isqrt(n), max(1, CENTRE_BYTES // (4 * max(first[0], 1))), n)
-    chosen = corpus.where(F.exists("vector", lambda x: x != 0))
+    chosen = corpus
     if n > sample_rows:
         chosen = chosen.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
-    points = Normalizer(inputCol="raw", outputCol="features").transform(chosen.select(array_to_vector("vector").alias("raw"))).select("features")
-    if not points.head(1):
+    chosen = chosen.where(F.exists("vector", lambda x: x != 0)).select("vector", F.xxhash64("id", "vector", F.lit(seed)).alias("_at"))
+    points = materialise(chosen.repartition(2 * corpus.sparkSession.sparkContext.defaultParallelism), "points")
+    centres = _starts(points, max(n_cells, 2), seed)
+    if not len(centres):
         return np.zeros((1, first[0]), np.float32)
-    model = KMeans(k=max(n_cells, 2), seed=seed, maxIter=8, distanceMeasure="cosine").fit(points)
-    return np.array(model.clusterCenters(), np.float32)
+    for _ in range(STEPS):
+        centres = _step(points, centres)
+    return centres
+
+
+def _starts(points: DataFrame, k: int, seed: int) -> np.ndarray:
+    """At most ``k`` unit vectors far from each other, of about 4 ``k`` points: each round draws 2 ``k``,
+    the sooner the farther a point is from those drawn before."""
+    drawn = _unit_rows(points.orderBy("_at", "vector").limit(1).select("vector").toArrow().column(0))
+    for i in range(1, 3) if len(drawn) else ():
+        apart = materialise(_apart(points, drawn), "apart")
+        total = apart.agg(F.sum("apart")).first()[0]
+        draw = F.pmod(F.xxhash64("_at", F.lit(seed + i)), F.lit(1 << 30)) / (1 << 30)
+        new = apart.where(draw * total < 2 * k * F.col("apart")).select("vector").distinct().toArrow()
+        # In an order of their own, so that a run is repeated.
+        drawn = np.concatenate([drawn, np.unique(_unit_rows(new.column(0)), axis=0)]) if new.num_rows else drawn
+    if len(drawn) <= k:
+        return drawn
+    sizes = _nearest_centres(points.select("vector"), drawn, 1, "vector array<float>").groupBy(F.get("cells", F.lit(0)).alias("i")).count()
+    weight = np.zeros(len(drawn))
+    for row in sizes.collect():
+        weight[row["i"]] = row["count"]
+    return _reduced(drawn, weight, k, seed)
+
+
+def _reduced(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` centres of few weighted unit vectors, on the driver: k-means++, then as many steps, up to 30,
+    as change something and ``REDUCE_PRODUCTS`` allows."""
+    draw = np.random.default_rng(seed)
+    apart, taken = np.ones(len(points)), []
+    while len(taken) < k:
+        chance = weight * apart
+        some = min(max(1, k // 2048), k - len(taken), np.count_nonzero(chance))
+        if not some:
+            break
+        new = draw.choice(len(points), some, replace=False, p=chance / chance.sum())
+        taken.extend(new)
+        # What rounding leaves of the distance of a point to itself is none.
+        near = 1.0 - (points @ points[new].T).max(axis=1)
+        apart = np.minimum(apart, np.where(near > 1e-6, near, 0))
+        apart[new] = 0
+    centres, cells = points[taken], None
+    for _ in range(max(1, min(30, REDUCE_PRODUCTS // (points.size * k)))):
+        before, cells = cells, np.concatenate([(points[i : i + 1024] @ centres.T).argmax(axis=1) for i in range(0, len(points), 1024)])
+        if before is not None and (before == cells).all():
+            break
+        order = np.argsort(cells, kind="stable")
+        there, starts = np.unique(cells[order], return_index=True)
+        centres[there] = _unit(np.add.reduceat((points * weight[:, None])[order], starts)).astype(np.float32)
+    return centres
+
+
+def _apart(points: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``points`` with ``apart``, the distance from the nearest of ``centres``."""
+    matrix, _, _ = _kernel()
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            far = []
+            for start in range(0, batch.num_rows, 1024):
+                rows = matrix(batch.column(0).slice(start, 1024)).astype(np.float32)
+                far.append(np.maximum(1.0 - (rows @ shared.value.T).max(axis=1).astype(np.float64), 0.0))
+            if far:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(far))], names=["vector", "_at", "apart"])
+
+    return points.mapInArrow(run, "vector array<float>, _at long, apart double")
+
+
+def _step(points: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The mean direction of the points nearest to each centre; a centre that is nearest to none stays."""
+    matrix, _, _ = _kernel()
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+
+    def batch_of(cells: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        import numpy as np
+        import pyarrow as pa
+
+        order = np.argsort(cells, kind="stable")
+        there, starts = np.unique(cells[order], return_index=True)
+        total = np.add.reduceat(rows[order], starts)
+        offsets = np.arange(0, total.size + 1, total.shape[1], dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(there.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(total.ravel()))], names=["cell", "total"]
+        )
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, cells = matrix(batch.column(0)), []
+            for start in range(0, len(rows), 1024):
+                cells.append((rows[start : start + 1024].astype(np.float32) @ shared.value.T).argmax(axis=1))
+            yield batch_of(np.concatenate(cells), rows)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        parts = [(b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows]
+        if parts:
+            yield batch_of(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    form = "cell int, total array<double>"
+    found = points.select("vector").mapInArrow(sums, form).repartition("cell").mapInArrow(added, form).toArrow()
+    moved = centres.copy()
+    if found.num_rows:
+        moved[found.column("cell").to_numpy()] = _unit_rows(found.column("total"))
+    return moved
 
 
 def _nearest_centres(df: DataFrame, centres: np.ndarray, n: int, columns: str) -> DataFrame:
@@ -60,15 +186,28 @@ def _nearest_centres(df: DataFrame, centres: np.ndarray, n: int, columns: str) -
         raw = shared.value.astype(np.float64)
         norms = np.linalg.norm(raw, axis=1, keepdims=True)
         unit = np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
+        unit32 = unit.astype(np.float32)
+        # Twice the error of a product in single precision, and of the rounding.
+        slack = 2 * ((unit.shape[1] + 4) * 2.0**-23 + 1e-9)
+
+        def first(rows: np.ndarray) -> np.ndarray:
+            """The first of the nearest cells. Single precision tells which may be it; few rows have more than one."""
+            scores = rows.astype(np.float32) @ unit32.T
+            cells = scores.argmax(axis=1)
+            close = scores >= scores[np.arange(len(rows)), cells][:, None] - np.float32(slack)
+            for i in np.flatnonzero(np.count_nonzero(close, axis=1) > 1):
+                places = np.flatnonzero(close[i])
+                cells[i] = places[np.round(unit[places] @ rows[i], 9).argmax()]
+            return cells[:, None]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             found = []
             rows = matrix(batch.column(batch.schema.get_field_index("vector")))
             for start in range(0, len(rows), 1024):
-                scores = np.round(rows[start : start + 1024] @ unit.T, 9)
-                # The first of equal cells either way; one cell needs no sort of all.
-                best = scores.argmax(axis=1)[:, None] if n == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                part = rows[start : start + 1024]
+                best = first(part) if n == 1 else np.argsort(-np.round(part @ unit.T, 9), axis=1, kind="stable")[:, :n]
                 found.append(best.astype(np.int32))
             cells = np.concatenate(found)
             offsets = np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)
@@ -121,27 +260,24 @@ def nearest_in_cells(
     than are broadcast go in batches.
     """
     spark = queries.sparkSession
-    few = bounded_rows(_asked(queries, path, probes), max_queries)
-    if few is None:
+    few = _asked(queries, path, probes).limit(max_queries + 1).toArrow()
+    if few.num_rows > max_queries:
         return _in_batches(queries, max_queries, k, lambda part: nearest_in_cells(part, path, k, probes, digits, max_queries))
-    if not few:
+    if not few.num_rows:
         return spark.createDataFrame([], f"{_HITS}, rank int")
-    by_cell: dict[int, list[int]] = {}
-    for i, row in enumerate(few):
-        for cell in row["cells"]:
-            by_cell.setdefault(cell, []).append(i)
-    shared = spark.sparkContext.broadcast((
-        [r["query_id"] for r in few], np.array([r["vector"] for r in few], np.float32), {c: np.array(q) for c, q in by_cell.items()}
-    ))
+    probed = few.column("cells").combine_chunks()
+    cells, asker = probed.flatten().to_numpy(), np.repeat(np.arange(few.num_rows, dtype=np.int32), probed.value_lengths().to_numpy())
+    order = np.argsort(cells, kind="stable")
+    wanted, starts = np.unique(cells[order], return_index=True)
+    by_cell = dict(zip(wanted.tolist(), np.split(asker[order], starts[1:])))
+    vectors = few.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(few.num_rows, -1)
+    shared = spark.sparkContext.broadcast((few.column("query_id").to_pylist(), vectors, by_cell))
     matrix, _, keeper = _kernel()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         names, raw, askers = shared.value
-        raw = raw.astype(np.float64)
-        norms = np.linalg.norm(raw, axis=1, keepdims=True)
-        unit = np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
         keep, _, rows_of = keeper(len(names), k)
         for batch in batches:
             if not batch.num_rows:
@@ -150,10 +286,11 @@ def nearest_in_cells(
             rows = matrix(batch.column(1))
             for cell in np.unique(cells):
                 inside = np.flatnonzero(cells == cell)
+                ids_there, there = ids[inside], rows[inside]
                 asking = askers[int(cell)]
                 for start in range(0, len(asking), 256):
                     part = asking[start : start + 256]
-                    keep(part, np.round(1.0 - unit[part] @ rows[inside].T, digits), ids[inside])
+                    keep(part, np.round(1.0 - matrix(raw[part]) @ there.T, digits), ids_there)
         yield from rows_of(names)
 
     near = _stored(spark, path).where(F.col("cell").isin(sorted(by_cell)))

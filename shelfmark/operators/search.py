@@ -4,7 +4,8 @@ Every query vector has to be compared with every corpus vector, but no pair is e
 a task multiplies its block of corpus vectors with a block of queries and keeps the k best
 per query, so what leaves it is k rows per query. Up to ``MAX_QUERIES`` query vectors (and
 ``QUERY_BYTES``) are broadcast, compared in blocks inside a task, and the corpus is read once, in
-place, without a shuffle. More queries go in batches of that size, one after the other.
+place, without a shuffle. More queries go in batches of that size, one after the other. Up to
+``MAX_BOUNDED`` go at once where a task keeps few hits of each, as it knows how near they have to be.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ DEFAULT_K = 20
 DIGITS = 6
 # Query vectors that are broadcast at once: rows, and bytes.
 MAX_QUERIES = 16_384
+MAX_BOUNDED = 65_536
 QUERY_BYTES = 64 << 20
+# Corpus vectors that a task multiplies at once.
+ROWS_AT_ONCE = 2_048
 MERGE_SALT = 64
 
 _HITS = "query_id long, id string, distance double"
@@ -39,14 +43,17 @@ def _kernel():
     import numpy as np
     import pyarrow as pa
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        """Rows of a list column at unit length; a zero vector stays zero."""
+    def matrix(column: pa.Array | np.ndarray) -> np.ndarray:
+        """Rows of a list column, or of a matrix, at unit length; a zero vector stays zero."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        rows = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+        if not isinstance(column, np.ndarray):
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            column = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+        rows = column.astype(np.float64)
         norms = np.linalg.norm(rows, axis=1, keepdims=True)
-        return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+        rows[~(norms[:, 0] > 0)] = 0
+        return np.divide(rows, norms, out=rows, where=norms > 0)
 
     def best(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         """Places of the k smallest by (distance, id), ties at the border included."""
@@ -58,12 +65,13 @@ def _kernel():
         order = np.lexsort((ids[places].astype(str), distances[places]))
         return places[order[:k]]
 
-    def keeper(n_queries: int, k: int):
+    def keeper(n_queries: int, k: int, within: np.ndarray | None = None):
         """``keep(queries, distances, ids)`` holds the k best of each query so far; only distances up
-        to a query's present k-th are looked at. ``rows_of(names)`` gives them as a batch."""
-        kept_ids = [np.array([], dtype=object) for _ in range(n_queries)]
-        kept = [np.array([], dtype=np.float64) for _ in range(n_queries)]
-        border = np.full(n_queries, np.inf)
+        to a query's present k-th are looked at, and up to ``within`` from the start. ``rows_of(names)``
+        gives them, 1,024 queries a batch."""
+        no_ids, none = np.array([], dtype=object), np.array([], dtype=np.float64)
+        kept_ids, kept = [no_ids] * n_queries, [none] * n_queries
+        border = np.full(n_queries, np.inf) if within is None else within.copy()
 
         def keep(queries: np.ndarray, distances: np.ndarray, ids: np.ndarray) -> None:
             near = distances <= border[queries][:, None]
@@ -74,33 +82,34 @@ def _kernel():
                 again = best(all_d, all_ids, k)
                 kept_ids[q], kept[q] = all_ids[again], all_d[again]
                 if len(again) == k:
-                    border[q] = kept[q][-1]
+                    border[q] = min(border[q], kept[q][-1])
 
         def keep_near(queries: np.ndarray, asked: np.ndarray, rows: np.ndarray, asked32: np.ndarray, rows32: np.ndarray, ids: np.ndarray, digits: int) -> None:
-            """``keep`` for unit vectors. Products in single precision, whose error is bounded, tell which
-            rows may be within a query's border; their distances are in double precision, as are all of a
-            query that has no border yet."""
+            """``keep`` for unit ``rows``; ``asked`` may have any length. Products in single precision, whose error
+            is bounded, tell which rows may be within a query's border; their distances are in double precision,
+            as are all of a query that has no border yet."""
             new = np.isinf(border[queries])
             if new.any():
-                keep(queries[new], np.round(1.0 - asked[new] @ rows.T, digits), ids)
+                keep(queries[new], np.round(1.0 - matrix(asked[new]) @ rows.T, digits), ids)
                 queries, asked, asked32 = queries[~new], asked[~new], asked32[~new]
             slack = (rows.shape[1] + 4) * 2.0**-23 + 10.0**-digits
             near = asked32 @ rows32.T >= (1.0 - border[queries] - slack).astype(np.float32)[:, None]
             for i in np.flatnonzero(near.any(axis=1)):
                 places = np.flatnonzero(near[i])
-                keep(queries[i : i + 1], np.round(1.0 - asked[i : i + 1] @ rows[places].T, digits), ids[places])
+                keep(queries[i : i + 1], np.round(1.0 - matrix(asked[i : i + 1]) @ rows[places].T, digits), ids[places])
 
         def rows_of(names: list[int]) -> Iterator[pa.RecordBatch]:
-            for q, name in enumerate(names):
-                if len(kept[q]):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([name] * len(kept[q]), pa.int64()),
-                            pa.array(kept_ids[q].tolist(), pa.string()),
-                            pa.array(kept[q] + 0.0, pa.float64()),
-                        ],
-                        names=["query_id", "id", "distance"],
-                    )
+            some = [q for q in range(len(names)) if len(kept[q])]
+            for start in range(0, len(some), 1024):
+                part = some[start : start + 1024]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([names[q] for q in part for _ in kept[q]], pa.int64()),
+                        pa.array([i for q in part for i in kept_ids[q].tolist()], pa.string()),
+                        pa.array(np.concatenate([kept[q] for q in part]) + 0.0, pa.float64()),
+                    ],
+                    names=["query_id", "id", "distance"],
+                )
 
         return keep, keep_near, rows_of
 
@@ -113,27 +122,41 @@ def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def _broadcast_scores(queries: pa.Table, corpus: DataFrame, k: int, digits: int) -> DataFrame:
+def _borders(names: list[int], within: DataFrame | None, k: int, digits: int) -> np.ndarray | None:
+    """For each of a batch of queries the distance of its k-th known hit, and what rounding may add; a query
+    with fewer hits has no border."""
+    if within is None:
+        return None
+    asked = within.sparkSession.createDataFrame(pa.table({"query_id": pa.array(names, pa.int64())})).distinct()
+    known = within.where(F.col("rank") == k).join(F.broadcast(asked), "query_id", "left_semi").select("query_id", "distance").toArrow()
+    border = dict(zip(known.column(0).to_pylist(), known.column(1).to_pylist()))
+    return np.array([border.get(name, np.inf) for name in names]) + 10.0**-digits
+
+
+def _broadcast_scores(queries: pa.Table, corpus: DataFrame, k: int, digits: int, within: DataFrame | None = None) -> DataFrame:
     """(query_id, id, distance): the k best of each corpus partition."""
     matrix, _, keeper = _kernel()
-    ids = queries.column("query_id").to_pylist()
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix(queries.column("vector"))))
+    names, n = queries.column("query_id").to_pylist(), queries.num_rows
+    vectors = queries.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    border = _borders(names, within, k, digits)
+    shared = corpus.sparkSession.sparkContext.broadcast((names, vectors, border))
+    at_once = ROWS_AT_ONCE
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        names, unit = shared.value
-        unit32 = unit.astype(np.float32)
-        _, keep_near, rows_of = keeper(len(names), k)
+        names, raw, border = shared.value
+        starts = range(0, len(names), 256)
+        unit32 = np.concatenate([matrix(raw[i : i + 256]).astype(np.float32) for i in starts])
+        _, keep_near, rows_of = keeper(len(names), k, border)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = matrix(batch.column(1))
-            rows32 = rows.astype(np.float32)
-            for start in range(0, len(names), 256):
-                part = np.arange(start, min(start + 256, len(names)))
-                keep_near(part, unit[part], rows, unit32[part], rows32, ids, digits)
+            for at in range(0, len(ids), at_once):
+                rows = matrix(batch.column(1).slice(at, at_once))
+                rows32 = rows.astype(np.float32)
+                for i in starts:
+                    part = np.arange(i, min(i + 256, len(names)))
+                    keep_near(part, raw[i : i + 256], rows, unit32[i : i + 256], rows32, ids[at : at + at_once], digits)
         yield from rows_of(names)
 
     return corpus.mapInArrow(scan, _HITS)
@@ -179,9 +202,10 @@ def nearest(
     k: int = DEFAULT_K,
     exact: bool = True,
     digits: int = DIGITS,
-    max_queries: int = MAX_QUERIES,
+    max_queries: int | None = None,
     cells: str | None = None,
     probes: int | None = None,
+    within: DataFrame | None = None,
     **lsh,
 ) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest corpus vectors of each query.
@@ -193,13 +217,18 @@ def nearest(
     from the ``probes`` nearest cells of the vectors that
     :func:`shelfmark.operators.cells.write_cells` has stored there from this corpus.
 
-    Up to ``max_queries`` queries, and ``QUERY_BYTES``, pass the corpus at once.
+    ``within`` are hits that an approximate search has found for these queries in this corpus, with the same
+    ``k`` and ``digits``. The exact search still compares all vectors, but keeps none beyond a query's k-th known hit.
+
+    Up to ``max_queries`` queries, and ``QUERY_BYTES``, pass the corpus at once; by default ``MAX_QUERIES``,
+    or ``MAX_BOUNDED`` with ``cells`` or ``within``.
     """
     queries = _vectors(queries, "query_id", "vector").withColumn("query_id", F.col("query_id").cast("long"))
     corpus = _vectors(corpus, "id", "vector").withColumn("id", F.col("id").cast("string"))
     size = queries.select(F.size("vector")).first()
     if size is None:
         return queries.sparkSession.createDataFrame([], f"{_HITS}, rank int")
+    max_queries = max_queries or (MAX_QUERIES if cells is None and within is None else MAX_BOUNDED)
     max_queries = max(1, min(max_queries, QUERY_BYTES // (4 * max(size[0], 1))))
     if cells is not None:
         from shelfmark.operators.cells import PROBES, nearest_in_cells
@@ -207,13 +236,13 @@ def nearest(
         return nearest_in_cells(queries, cells, k, probes or PROBES, digits, max_queries)
     few = queries.limit(max_queries + 1).toArrow()
     if few.num_rows > max_queries:
-        again = lambda part: nearest(part, corpus, k, exact, digits, max_queries, **lsh)
+        again = lambda part: nearest(part, corpus, k, exact, digits, max_queries, within=within, **lsh)
         return _in_batches(queries, max_queries, k, again)
     if not exact:
         from shelfmark.operators.ann import nearest_in_buckets
 
         return nearest_in_buckets([(r["query_id"], r["vector"]) for r in few.to_pylist()], corpus, k, digits, **lsh)
-    return top_k(_broadcast_scores(few, corpus, k, digits), k)
+    return top_k(_broadcast_scores(few, corpus, k, digits, within), k)
 
 
 # --- the three collections -------------------------------------------------------------

@@ -213,3 +213,57 @@ def test_repeated_queries_end(spark, data):
     _, _, c, q = data
     again = q.limit(1).crossJoin(spark.range(40)).drop("id")
     assert nearest(again, c, 2, max_queries=3).count() == 2
+
+
+# --- known hits and cell centres -----------------------------------------------------------
+
+
+def test_known_hits_bound_the_exact_search(clustered, spark):
+    """The same hits as without them; a task keeps only what is as near as the k-th known one."""
+    from shelfmark.operators import search
+
+    corpus, queries, table, asked, path = clustered
+    want, known = hits(nearest(asked, table, 10)), nearest(asked, table, 10, cells=path, probes=2).cache()
+    same(hits(nearest(asked, table, 10, within=known)), want)
+    same(hits(nearest(asked, table, 10, within=known, max_queries=9)), want)
+    twice = asked.unionByName(asked.limit(5))
+    again = nearest(twice, table, 10, cells=path, probes=2)
+    same(hits(nearest(twice, table, 10, within=again)), hits(nearest(twice, table, 10)))
+    # Of some queries nothing is known, of others fewer hits than wanted.
+    some = known.where("query_id > 5 AND NOT (query_id = 7 AND rank > 4)")
+    same(hits(nearest(asked, table, 10, within=some)), want)
+    few, wide = asked.toArrow(), table.repartition(40)
+    far = max(r["distance"] for r in known.where("rank = 10").collect())
+    assert search._broadcast_scores(few, wide, 10, 6, known).count() < 3 * 50 * 10 < search._broadcast_scores(few, wide, 10, 6).count()
+    assert max(r["distance"] for r in search._broadcast_scores(few, wide, 10, 6, known).collect()) <= far + 1e-6
+
+
+def test_centres_are_found_in_tasks(clustered, spark, monkeypatch):
+    """A centre near each of 40 directions, one of which has a third of the vectors; the driver gets neither
+    points nor more than one sum per cell."""
+    from shelfmark.operators import cells
+
+    corpus, _, table, _, _ = clustered
+    got, to_arrow = [], type(table).toArrow
+    monkeypatch.setattr(type(table), "toArrow", lambda self: got.append(to_arrow(self)) or got[-1])
+    centres = cells.find_centres(table, 60)
+    assert len(centres) == 60 and np.allclose(np.linalg.norm(centres, axis=1), 1, atol=1e-6)
+    assert max(t.num_rows for t in got) <= 4 * 60
+    near = unit(np.random.default_rng(5).normal(size=(40, 24))) @ centres.T
+    assert (near.max(axis=1) > 0.9).mean() >= 0.9
+    copies = spark.createDataFrame([(str(i), [1.0, float(i % 7 == 0) * i]) for i in range(3000)], "id string, vector array<float>")
+    found = cells.find_centres(copies, 20)
+    assert 2 <= len(found) <= 20 and (found @ unit(np.array([1.0, 0.0])[None]).T).max() > 0.9999
+    assert len(cells.find_centres(copies.where("id in ('1', '2')"), 20)) == 1
+
+
+def test_nearest_centre_in_single_precision_is_the_first_of_the_nearest(spark):
+    from shelfmark.operators import cells
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(50, 16)).astype(np.float32)
+    centres[30:40] = centres[5] * 2
+    rows = np.vstack([rng.normal(size=(300, 16)), centres[3:4] + centres[9:10], np.zeros((1, 16)), centres[35:36]]).astype(np.float32)
+    df = spark.createDataFrame([(v.tolist(),) for v in rows], "vector array<float>").coalesce(1)
+    got = [r["cells"][0] for r in cells._nearest_centres(df, centres, 1, "vector array<float>").collect()]
+    assert got == np.round(unit(rows) @ unit(centres).T, 9).argmax(axis=1).tolist()
