@@ -99,7 +99,7 @@ def _places(n: int):
         return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int32()))
 
     run.__annotations__ = {"lines": pa.Array, "sizes": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<int>")
+    return F.arrow_udf(run, "array<int>").asNondeterministic()
 
 
 def _with_kept(texts: DataFrame, text: str, n: int, longest: int) -> DataFrame:

@@ -112,3 +112,13 @@ def test_behind_a_model_that_fails(spark, tmp_path):
     done = summarise(df, "text", [BatchModel(load), KeySentences("S: ")], message="none").collect()
     assert {r["id"]: r["summary"] for r in done} == {1: "GOOD ONE", 2: "S: bad one", 3: "none", 4: "S: bad two"}
     assert sum(len(p.read_text()) for p in tmp_path.glob("*.log")) == 3
+
+
+def test_summaries_are_filtered_again_and_again(spark):
+    """A filter on a summary is not moved below the function that makes it; every run in a session gives the same."""
+    from shelfmark.operators import nonempty_summaries
+
+    for _ in range(3):
+        texts = spark.createDataFrame([(1, "A b. C d.", "x"), (2, "E f.", "y"), (3, None, "x")], "id int, text string, kind string")
+        done = summarise(texts.repartition(2, "id"), "text").withColumn("summary", F.when(F.col("kind") != "y", F.col("summary")))
+        assert [r["id"] for r in nonempty_summaries(done).select("id", "summary").collect()] == [1]
