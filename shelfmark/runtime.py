@@ -65,6 +65,12 @@ def new_scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def drop_scratch(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _scratch_paths.remove(name)
+
+
 @contextmanager
 def temporary_scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the scratch tables that are made inside, once their results are stored elsewhere."""
@@ -73,9 +79,7 @@ def temporary_scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for name in _scratch_paths[before:]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        del _scratch_paths[before:]
+            drop_scratch(spark, name)
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

@@ -4,7 +4,8 @@ Spark's own file sources list on the driver and leave out empty files and names
 with ``_`` or ``.``. Here folders are rows: a task lists the folders it is dealt and those
 below them, up to a number of folders, and hands the rest on to the next round, in which they
 are spread over all tasks again. Rounds are written to the shared folder, so the driver holds
-no path and a lost executor costs the folders of its tasks.
+no path and a lost executor costs the folders of its tasks. Only a listing of few files ends as a
+local table, and leaves nothing in the shared folder.
 
 Roots are local paths, ``file:`` URIs (a folder that all executors mount), or URIs of a store
 that ``pyarrow.fs`` opens (``s3``, ``gs``, ``hdfs``, ``abfs``).
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.paths import ignored_folder
-from shelfmark.runtime import new_scratch_path
+from shelfmark.runtime import drop_scratch, new_scratch_path
 
 FOLDERS_A_TASK = 256
 WAITING = 10_000
 BATCH_ROWS = 4_096
+# Files of a listing that the driver holds instead of the shared folder, at most.
+LOCAL_FILES = 4_096
 BATCH_BYTES = 4 << 20
 TASK_BYTES = 512 << 20
 TASK_FILES = 20_000
@@ -152,7 +155,12 @@ def list_tree(
         pending = left.repartition(min(n_left, 4 * spark.sparkContext.defaultParallelism))
         n_round += 1
     files = spark.read.schema(_ENTRIES).parquet(out).where("not is_folder")
-    return files.select("path", "length", "last_modified")
+    files = files.select("path", "length", "last_modified")
+    few = files.limit(LOCAL_FILES + 1).collect()
+    if len(few) > LOCAL_FILES:
+        return files
+    drop_scratch(spark, out)
+    return spark.createDataFrame(few, files.schema)
 
 
 def _content(path: str, length: int) -> tuple[bytes | None, str | None]:

@@ -240,3 +240,24 @@ def test_restore_by_path_and_missing_tables(spark, documents, tmp_path):
         restore_snapshot(spark, root, path="/none")
     with pytest.raises(LookupError):
         restore_snapshot(spark, f"{root}/empty")
+
+
+def test_small_and_large_listings_are_the_same(spark, tmp_path, monkeypatch):
+    """A listing of few files leaves nothing in the shared folder; a larger one stays there."""
+    import os
+
+    from shelfmark.runtime import scratch_dir
+    from shelfmark.sources import tree
+
+    (tmp_path / "a").mkdir()
+    for name in ("one.txt", "a/_two", "a/.three"):
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    kept = lambda: len(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    before, got = kept(), []
+    for limit in (3, 2):
+        monkeypatch.setattr(tree, "LOCAL_FILES", limit)
+        got.append(sorted(map(tuple, list_tree(spark, str(tmp_path)).collect())))
+        assert kept() == before + (limit == 2)
+    assert got[0] == got[1] and [r[1] for r in got[0]] == [8, 6, 7]
+    (tmp_path / "none").mkdir()
+    assert list_tree(spark, str(tmp_path / "none")).count() == 0
